@@ -15,12 +15,13 @@ the other's prefix: no link is lost. g grows with d, and a size next to a step
 of g is signed for both steps, so pairs number O(d), and lists of frequent tokens are never
 scanned for a token alone. Tokens met in one prefix only are dropped at once.
 
-Verification in rounds. Equal posting lists are one list. In a round each list
-names a few pivots (1, 4, 16, ...), all members of other components are verified
-against them on their full sets, links join components, and pairs already
-compared or joined are not looked at again: a group of thousands of near copies
-costs about one comparison a member, not all pairs. Rounds end when no list
-holds two components that were not compared, so components are exact.
+Verification in rounds. Equal posting lists are one list. In the first rounds each
+list names a few pivots (1, then 16) and its members of other components are
+verified against them on their full sets; links join components, and lists of one
+component are done: a group of thousands of near copies costs a few comparisons a
+member, not all pairs. A last round takes the pairs between components that are
+left in any list, so components are exact. A pair is emitted only if the sizes and
+the parity bitmaps of the two sets (computed inside the join) still allow a link.
 
 Defined results: null or empty texts have no tokens and link with nothing;
 texts shorter than a shingle are one token; a null id counts as larger than any
@@ -35,13 +36,15 @@ from collections import OrderedDict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel  # noqa: F401  (kept out of the plan: tables are written instead)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 FREQUENT = 64
+PIVOTS = (1, 16)
+LONGS = 8  # of a set's parity bitmap
+MAPS = [f"m{i}" for i in range(LONGS)]
 BROADCAST_ROWS = 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -86,16 +89,32 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, misses(n, percent) + 1 + cells(n, percent))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set: bit h(token) is flipped by each token. Two sets' bitmaps differ in no more bits than the sets in tokens."""
+    bits = np.bincount(((s * _M2) >> np.uint64(32)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def may_link(a: str, b: str, percent: int):
+    """Condition on columns n, comp and m0..m7 of two sides: necessary for a link between components, no link is lost."""
+    n = F.col(f"{a}.n") + F.col(f"{b}.n")
+    # both = (n - differ) / 2 and 100 both >= percent (n - both)
+    differ = sum((F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))).cast("long") for i in range(LONGS)), F.lit(0))
+    near = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+    return (F.col(f"{a}.comp") != F.col(f"{b}.comp")) & near & ((100 + percent) * (n - differ) >= 2 * percent * n)
+
+
 def prepare(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Per row: doc_id, n, cls (class of equal sets; null without tokens), prefix (its first tokens in hash order), th (hash of the text)."""
 
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            n, cls, prefix = [], [], []
+            n, cls, prefix, maps = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, known)
                 n.append(len(s))
+                maps.append(parity(s))
                 if len(s):
                     cls.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).view(np.int64))))
                     prefix.append(s[: prefix_length(len(s), percent)].view(np.int64))
@@ -104,10 +123,11 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
                     prefix.append(np.empty(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             values = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "th", "n", "cls", "prefix"])
+            m = np.array(maps, np.int64).reshape(-1, LONGS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), *[pa.array(m[:, i]) for i in range(LONGS)]], ["doc_id", "th", "n", "cls", "prefix", *MAPS])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th"))
-    return source.mapInArrow(run, "doc_id long, th long, n long, cls long, prefix array<long>")
+    return source.mapInArrow(run, "doc_id long, th long, n long, cls long, prefix array<long>, " + ", ".join(f"{m} long" for m in MAPS))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -160,10 +180,11 @@ def signatures(classes: DataFrame, percent: int) -> DataFrame:
                     cell = (common % np.uint64(step)).astype(np.int64)
                     order = np.argsort(cell, kind="stable")
                     t, k = common[order], cell[order]
+                    salt = np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
                     for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate((np.flatnonzero(np.r_[True, k[1:] != k[:-1]]), [len(k)])))):
                         if b - a > 1:
                             i, j = np.triu_indices(b - a, 1)
-                            x = (t[a:b][i] * _M1) ^ (t[a:b][j] * _M2) ^ (np.uint64(step) * _M2)
+                            x = (t[a:b][i] * _M1) ^ (t[a:b][j] * _M2) ^ salt
                             own.append((x ^ (x >> np.uint64(31))).view(np.int64))
                 s = np.concatenate(own)
                 sig.append(s)
@@ -224,37 +245,36 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of ``docs``: doc_id, n_shingles, component_id; and ``cls`` (class of equal sets), ``comp`` (class of the component)."""
     spark = docs.sparkSession
     rows = materialize(prepare(docs, id_col, text_col, shingle, percent), "shingles")
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls", "n").agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.first("prefix").alias("prefix"))
+    classes = rows.filter("cls IS NOT NULL").groupBy("cls", "n", *MAPS).agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.first("prefix").alias("prefix"))
     classes = materialize(classes, "classes")
     lists = materialize(distinct_lists(signatures(classes, percent)), "lists")
-    members = lists.select("cls").distinct()
-    reps = classes.join(members, "cls", "left_semi").select("cls", "rep.doc_id", "rep.th")
-    sets = materialize(sets_of(docs, materialize(reps, "reps"), id_col, text_col, shingle), "sets")
-    lists = lists.withColumn("comp", F.col("cls"))
+    reps = materialize(classes.join(lists.select("cls").distinct(), "cls", "left_semi").select("cls", "rep.doc_id", "rep.th"), "reps")
+    sets = materialize(sets_of(docs, reps, id_col, text_col, shingle), "sets")
+    lists = lists.join(classes.select("cls", *MAPS), "cls").withColumn("comp", F.col("cls"))
     tested = links = None
-    pivots = 1
-    while True:
+    for pivots in (*PIVOTS, None):
         # lists that still hold two components
         open_ = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("list")
         lists = materialize(lists.join(open_, "list", "left_semi"), "open-lists")
         if lists.isEmpty():
             break
-        heads = lists.withColumn("slot", F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))).groupBy("list", "slot").agg(F.min_by(F.struct("cls", "n", "comp"), "cls").alias("h"))
-        heads = heads.select("list", F.col("h.cls").alias("p"), F.col("h.n").alias("pn"), F.col("h.comp").alias("pc"))
-        near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.col("comp") != F.col("pc"))
-        pairs = lists.join(heads, "list").filter(near).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
+        if pivots:
+            slot = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
+            heads = lists.groupBy("list", slot.alias("slot")).agg(F.min_by(F.struct("cls", "n", "comp", *MAPS), "cls").alias("h")).select("list", "h.*")
+        else:
+            heads = lists  # what is left: each pair once
+        once = F.lit(True) if pivots else F.col("x.cls") < F.col("y.cls")
+        pairs = lists.alias("x").join(heads.alias("y"), (F.col("x.list") == F.col("y.list")) & once & may_link("x", "y", percent))
+        pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = materialize(verify(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
-        # pivots are done with their lists
-        lists = lists.join(heads.select("list", F.col("p").alias("cls")), ["list", "cls"], "left_anti")
-        if not found.isEmpty():
+        if pivots and not found.isEmpty():
             comp = components(links)
-            lists = lists.drop("comp").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select("list", "cls", "n", "comp")
-        pivots *= 4
+            lists = lists.drop("comp").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     comp = components(links) if links is not None else spark.createDataFrame([], "node long, comp long")
     whole = classes.select("cls", F.col("rep.doc_id").alias("first")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = whole.groupBy("comp").agg(F.min("first").alias("component"))

@@ -242,7 +242,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id; and ``cls`` (class of equal sets), ``comp`` (class of the component)."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id; and ``cls`` (class of equal sets), ``comp`` (class of the component), ``th`` (hash of the text)."""
     spark = docs.sparkSession
     rows = materialize(prepare(docs, id_col, text_col, shingle, percent), "shingles")
     classes = rows.filter("cls IS NOT NULL").groupBy("cls", "n", *MAPS).agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.first("prefix").alias("prefix"))
@@ -280,8 +280,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = whole.groupBy("comp").agg(F.min("first").alias("component"))
     whole = materialize(whole.join(least, "comp").select("cls", "comp", "component"), "class-components")
     # only classes of more than one row or document need the join; a third of all rows may be one class, which Spark splits
-    out = rows.select("doc_id", "n", "cls").join(whole, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", "comp")
+    out = rows.select("doc_id", "th", "n", "cls").join(whole, "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", "comp", "th")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,3 +304,27 @@ WITH w AS (
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(r.m, w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.a = w.doc_id
 """
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the row with the smallest id (a null id counts as largest); rows without tokens stay.
+
+    Where the smallest id stands on several rows of a component, the row with the smallest text hash stays, and equal rows leave one.
+    """
+    keyed = docs.withColumns({"__th": F.xxhash64(F.col(text_col)), "__id": F.col(id_col).cast("long")})
+    linked = link_components(docs, id_col, text_col, shingle, percent)
+    low = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("th").alias("h"))
+    groups = linked.filter("cls IS NOT NULL").groupBy("comp").agg(F.min(low).alias("k"), F.count("*").alias("rows")).filter("rows > 1").select("comp", "k.*")
+    members = linked.filter("cls IS NOT NULL").join(groups, "comp")
+    lost = members.filter(low != F.struct("i", "h")).select(F.col("doc_id").alias("__lid"), F.col("th").alias("__lth")).distinct()
+    lost = materialize(lost, "near-lost")
+    small = lost.count() <= BROADCAST_ROWS
+    out = keyed.join(F.broadcast(lost) if small else lost, (F.col("__th") == F.col("__lth")) & F.col("__id").eqNullSafe(F.col("__lid")), "left_anti")
+    # an id that repeats with an equal text
+    twice = linked.filter("cls IS NOT NULL").groupBy("doc_id", "th").agg(F.count("*").alias("c")).filter("c > 1")
+    if not twice.isEmpty():
+        t = twice.select(F.col("doc_id").alias("__lid"), F.col("th").alias("__lth"))
+        match = (F.col("__th") == F.col("__lth")) & F.col("__id").eqNullSafe(F.col("__lid"))
+        once = out.join(t, match, "left_semi").dropDuplicates(["__id", "__th"])
+        out = out.join(t, match, "left_anti").unionByName(once)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -163,3 +163,22 @@ SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(start + size, take % source_size) - start) END AS BIGINT) AS taken
 FROM p
 """
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """``docs`` repeated or left out as the mixture passes them: a row stands as often as its words were taken, to the nearest whole.
+
+    A row without words (which no mixture counts) stays once.
+    """
+    keyed = docs.withColumn("__tie", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    sized = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), F.col("__tie").alias("tie"))
+    mixed = mix(materialize(sized, "mix-sized"))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    # equal rows (same id and text) share their copies
+    wanted = mixed.groupBy("doc_id", "tie").agg(F.sum(times).cast("int").alias("times"), F.count("*").alias("rows"))
+    wanted = materialize(wanted, "mix-wanted").filter("times > 0")
+    w = wanted.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__wtie"), "times", "rows")
+    small = wanted.count() <= 1_000_000
+    out = keyed.join(F.broadcast(w) if small else w, (F.col("__tie") == F.col("__wtie")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    share = F.ceil(F.col("times") / F.col("rows")).cast("int")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), share)).alias("__copy")).drop("__copy")

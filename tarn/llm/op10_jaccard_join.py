@@ -248,8 +248,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.filter("cls IS NOT NULL").groupBy("cls", "n", *MAPS).agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.first("prefix").alias("prefix"))
     classes = materialize(classes, "classes")
     lists = materialize(distinct_lists(signatures(classes, percent)), "lists")
-    reps = materialize(classes.join(lists.select("cls").distinct(), "cls", "left_semi").select("cls", "rep.doc_id", "rep.th"), "reps")
-    sets = materialize(sets_of(docs, reps, id_col, text_col, shingle), "sets")
     lists = lists.join(classes.select("cls", *MAPS), "cls").withColumn("comp", F.col("cls"))
     tested = links = None
     for pivots in (*PIVOTS, None):
@@ -270,7 +268,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(verify(pairs, sets, percent), "links")
+        # full sets of the few classes that candidates name
+        named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        reps = materialize(classes.join(named, "cls", "left_semi").select("cls", "rep.doc_id", "rep.th"), "reps")
+        sets = sets_of(docs, reps, id_col, text_col, shingle)
+        found = materialize(verify(pairs, materialize(sets, "sets"), percent), "links")
         links = found if links is None else links.union(found)
         if pivots and not found.isEmpty():
             comp = components(links)

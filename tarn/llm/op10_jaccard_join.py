@@ -44,8 +44,9 @@ from .common import materialize, table
 FREQUENT = 64
 PIVOTS = (1, 16)
 LONGS = 8  # of a set's parity bitmap
+WIDE_FROM = 384
 MAPS = [f"m{i}" for i in range(LONGS)]
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000  # of two numbers a row
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -95,6 +96,25 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def wide_parity(s: np.ndarray) -> bytes | None:
+    """For sets too large for LONGS: a parity bitmap of 4 to 8 bits a token."""
+    if len(s) <= WIDE_FROM:
+        return None
+    size = 1 << int(4 * len(s) - 1).bit_length()
+    bits = np.bincount(((s * _M2) >> np.uint64(24)).astype(np.int64) % size, minlength=size).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def wide_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two wide bitmaps differ, the longer folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def may_link(a: str, b: str, percent: int):
     """Condition on columns n, comp and m0..m7 of two sides: necessary for a link between components, no link is lost."""
     n = F.col(f"{a}.n") + F.col(f"{b}.n")
@@ -110,11 +130,12 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            n, cls, prefix, maps = [], [], [], []
+            n, cls, prefix, maps, wide = [], [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, known)
                 n.append(len(s))
                 maps.append(parity(s))
+                wide.append(wide_parity(s))
                 if len(s):
                     cls.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).view(np.int64))))
                     prefix.append(s[: prefix_length(len(s), percent)].view(np.int64))
@@ -124,10 +145,10 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             values = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64))
             m = np.array(maps, np.int64).reshape(-1, LONGS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), *[pa.array(m[:, i]) for i in range(LONGS)]], ["doc_id", "th", "n", "cls", "prefix", *MAPS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(wide, pa.binary()), *[pa.array(m[:, i]) for i in range(LONGS)]], ["doc_id", "th", "n", "cls", "prefix", "wide", *MAPS])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th"))
-    return source.mapInArrow(run, "doc_id long, th long, n long, cls long, prefix array<long>, " + ", ".join(f"{m} long" for m in MAPS))
+    return source.mapInArrow(run, "doc_id long, th long, n long, cls long, prefix array<long>, wide binary, " + ", ".join(f"{m} long" for m in MAPS))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -143,8 +164,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shin
     w = wanted.select(F.col("doc_id").alias("wid"), F.col("th").alias("wth"), "cls")
     small = w.count() <= BROADCAST_ROWS
     joined = d.join(F.broadcast(w) if small else w, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid")))
-    out = joined.select("cls", "t").mapInArrow(run, "cls long, tokens binary")
-    return out.groupBy("cls").agg(F.first("tokens").alias("tokens"))  # a row may be repeated
+    out = materialize(joined.select("cls", "t").mapInArrow(run, "cls long, tokens binary"), "sets")
+    repeated = out.groupBy("cls").agg(F.count("*").alias("c")).filter("c > 1")  # equal rows with one id
+    return out if repeated.isEmpty() else out.dropDuplicates(["cls"])
 
 
 def signatures(classes: DataFrame, percent: int) -> DataFrame:
@@ -203,6 +225,21 @@ def distinct_lists(sigs: DataFrame) -> DataFrame:
     return sigs.join(first, "sig", "left_semi").select(F.col("sig").alias("list"), "cls", "n")
 
 
+def narrow(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the wide bitmaps of large sets still allow."""
+
+    @F.pandas_udf("boolean")
+    def allowed(x, y, m, n):
+        import pandas as pd
+
+        ok = [p is None or q is None or (100 + percent) * (a + b - wide_differ(p, q)) >= 2 * percent * (a + b) for p, q, a, b in zip(x, y, m, n)]
+        return pd.Series(ok, dtype=bool)
+
+    c = classes.select("cls", "n", "wide").join(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls", "left_semi")
+    j = pairs.join(c.toDF("a", "na", "wa"), "a").join(c.toDF("b", "nb", "wb"), "b")
+    return j.filter(allowed("wa", "wb", "na", "nb")).select("a", "b")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, on their full sets."""
 
@@ -245,7 +282,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of ``docs``: doc_id, n_shingles, component_id; and ``cls`` (class of equal sets), ``comp`` (class of the component), ``th`` (hash of the text)."""
     spark = docs.sparkSession
     rows = materialize(prepare(docs, id_col, text_col, shingle, percent), "shingles")
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls", "n", *MAPS).agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.first("prefix").alias("prefix"))
+    classes = rows.filter("cls IS NOT NULL").groupBy("cls", "n", *MAPS).agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.first("prefix").alias("prefix"), F.first("wide").alias("wide"))
     classes = materialize(classes, "classes")
     lists = materialize(distinct_lists(signatures(classes, percent)), "lists")
     lists = lists.join(classes.select("cls", *MAPS), "cls").withColumn("comp", F.col("cls"))
@@ -266,13 +303,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(narrow(materialize(pairs, "bare-pairs"), classes, percent), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         # full sets of the few classes that candidates name
         named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         reps = materialize(classes.join(named, "cls", "left_semi").select("cls", "rep.doc_id", "rep.th"), "reps")
         sets = sets_of(docs, reps, id_col, text_col, shingle)
-        found = materialize(verify(pairs, materialize(sets, "sets"), percent), "links")
+        found = materialize(verify(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
         if pivots and not found.isEmpty():
             comp = components(links)

@@ -16,7 +16,7 @@ of g is signed for both steps, so pairs number O(d), and lists of frequent token
 scanned for a token alone. Tokens met in one prefix only are dropped at once.
 
 Verification in rounds. Equal posting lists are one list. In the first rounds each
-list names a few pivots (1, then 16) and its members of other components are
+list names a few pivots (1, 16, then 64) and its members of other components are
 verified against them on their full sets; links join components, and lists of one
 component are done: a group of thousands of near copies costs a few comparisons a
 member, not all pairs. A last round takes the pairs between components that are
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 FREQUENT = 64
-PIVOTS = (1, 16)
+PIVOTS = (1, 16, 64)
 LONGS = 8  # of a set's parity bitmap
 WIDE_FROM = 384
 MAPS = [f"m{i}" for i in range(LONGS)]

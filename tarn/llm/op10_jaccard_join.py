@@ -16,7 +16,7 @@ of g is signed for both steps, so pairs number O(d), and lists of frequent token
 scanned for a token alone. Tokens met in one prefix only are dropped at once.
 
 Verification in rounds. Equal posting lists are one list. In the first rounds each
-list names a few pivots (1, 16, then 64) and its members of other components are
+list names a few pivots (1, 1, then 64) and its members of other components are
 verified against them on their full sets; links join components, and lists of one
 component are done: a group of thousands of near copies costs a few comparisons a
 member, not all pairs. A last round takes the pairs between components that are
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 FREQUENT = 64
-PIVOTS = (1, 16, 64)
+PIVOTS = (1, 1, 64)
 LONGS = 8  # of a set's parity bitmap
 WIDE_FROM = 384
 MAPS = [f"m{i}" for i in range(LONGS)]
@@ -287,20 +287,26 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = materialize(distinct_lists(signatures(classes, percent)), "lists")
     lists = lists.join(classes.select("cls", *MAPS), "cls").withColumn("comp", F.col("cls"))
     tested = links = None
+    columns = lists.columns
     for pivots in (*PIVOTS, None):
         # lists that still hold two components
-        open_ = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("list")
-        lists = materialize(lists.join(open_, "list", "left_semi"), "open-lists")
-        if lists.isEmpty():
-            break
-        if pivots:
-            slot = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
-            heads = lists.groupBy("list", slot.alias("slot")).agg(F.min_by(F.struct("cls", "n", "comp", *MAPS), "cls").alias("h")).select("list", "h.*")
+        member = F.struct("cls", "n", "comp", *MAPS)
+        open_ = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *([F.min_by(member, "cls").alias("h")] if pivots == 1 else [])).filter("lo <> hi").drop("lo", "hi")
+        if pivots == 1:
+            # one pivot a list, which is then done with its list: lists of two end here
+            beside = lists.alias("x").join(open_.alias("y"), F.col("x.list") == F.col("y.list"))
+            beside = materialize(beside.select("x.*", F.col("h.cls").alias("p"), may_link("x", "h", percent).alias("cand")), "open-lists")
+            pairs = beside.filter("cand").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
+            lists = beside.filter("cls <> p").select(*columns)
         else:
+            lists = materialize(lists.join(open_, "list", "left_semi"), "open-lists")
             heads = lists  # what is left: each pair once
-        once = F.lit(True) if pivots else F.col("x.cls") < F.col("y.cls")
-        pairs = lists.alias("x").join(heads.alias("y"), (F.col("x.list") == F.col("y.list")) & once & may_link("x", "y", percent))
-        pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+            if pivots:
+                slot = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
+                heads = lists.groupBy("list", slot.alias("slot")).agg(F.min_by(member, "cls").alias("h")).select("list", "h.*")
+            once = F.lit(True) if pivots else F.col("x.cls") < F.col("y.cls")
+            pairs = lists.alias("x").join(heads.alias("y"), (F.col("x.list") == F.col("y.list")) & once & may_link("x", "y", percent))
+            pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(narrow(materialize(pairs, "bare-pairs"), classes, percent), "pairs")
@@ -313,7 +319,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.union(found)
         if pivots and not found.isEmpty():
             comp = components(links)
-            lists = lists.drop("comp").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            lists = lists.drop("comp").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select(*columns)
     comp = components(links) if links is not None else spark.createDataFrame([], "node long, comp long")
     whole = classes.select("cls", F.col("rep.doc_id").alias("first")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = whole.groupBy("comp").agg(F.min("first").alias("component"))

@@ -62,20 +62,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     marks = materialize(fingerprints(docs, id_col, text_col), "marks")
     groups = materialize(equal_groups(marks), "equal-groups")
-    keyed = docs.withColumns({"__n": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "__row": F.monotonically_increasing_id()})
+    keyed = docs.withColumn("__n", F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))
     full = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
     keyed = keyed.withColumn("__full", full)
     g = groups.select(F.col("n").alias("__n"), F.col("full").alias("__full"), "keep")
     small = groups.count() <= 1_000_000
     joined = keyed.join(F.broadcast(g) if small else g, ["__n", "__full"], "left")
     single = joined.filter(F.col("keep").isNull() | (F.col(id_col).cast("long") == F.col("keep")))
-    # the same id twice with equal text: the first row stays
-    twice = marks.groupBy("id", "full").agg(F.count("*").alias("c")).filter("c > 1")
+    # the same id twice with equal text: one row stays
+    twice = marks.groupBy("id", "full").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("id").alias("__tid"), F.col("full").alias("__tfull"))
     if not twice.isEmpty():
-        first = single.join(twice.select(F.col("id").alias("__id"), F.col("full").alias("__full")), (F.col(id_col).cast("long").eqNullSafe(F.col("__id"))) & (single["__full"] == F.col("__full")), "left_semi")
-        rows = first.groupBy(F.col(id_col), "__full").agg(F.min("__row").alias("__row")).select("__row")
-        rest = single.join(first.select("__row"), "__row", "left_anti")
-        single = rest.unionByName(first.join(rows, "__row", "left_semi"))
+        same = (F.col("__full") == F.col("__tfull")) & F.col(id_col).cast("long").eqNullSafe(F.col("__tid"))
+        once = single.join(twice, same, "left_semi").dropDuplicates([id_col, "__full"])
+        single = single.join(twice, same, "left_anti").unionByName(once)
     return single.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -89,6 +89,27 @@ def peaks(x: np.ndarray, least: float) -> list[int]:
     return out
 
 
+def _lowest_before(x: np.ndarray) -> np.ndarray:
+    """For each sample, the least one between the last higher sample before it (or the start) and itself."""
+    low = x.copy()
+    open_: list[int] = []  # samples that nothing since has reached
+    for i in range(len(x)):
+        while open_ and x[open_[-1]] <= x[i]:
+            low[i] = min(low[i], low[open_.pop()])
+        open_.append(i)
+    return low
+
+
+def prominences(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, prominence) of the interior maxima; first and last index bound a plateau."""
+    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, int)
+    end = np.r_[start[1:], len(x)][: len(start)] - 1
+    run = x[start]
+    k = 1 + np.flatnonzero((run[1:-1] > run[:-2]) & (run[1:-1] > run[2:])) if len(run) > 2 else np.empty(0, int)
+    left, right = _lowest_before(x), _lowest_before(x[::-1])[::-1]
+    return start[k], end[k], x[start[k]] - np.maximum(left[end[k]], right[start[k]])
+
+
 def multi_peak(z: np.ndarray, least: float = 5.0, share: float = 0.05) -> np.ndarray:
     """Monotone pieces between the ends and the prominent peaks of the smoothed series."""
     ok = np.isfinite(z)

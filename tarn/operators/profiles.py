@@ -35,15 +35,21 @@ def local_maxima(s: DataFrame) -> DataFrame:
 
 
 def prominence(s: DataFrame) -> DataFrame:
-    """(grp, seq, v, prominence): height over the higher of the two lowest points on the way to a higher sample or an end."""
-    series = s.filter("v IS NOT NULL").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("seq", "v"))).alias("a"))
-    p = local_maxima(s).join(series, "grp")
-    side = lambda left: F.filter("a", lambda q: (q["seq"] < F.col("seq")) if left else (q["seq"] > F.col("seq")))
-    wall_l = F.coalesce(F.array_max(F.transform(F.filter(side(True), lambda q: q["v"] > F.col("v")), lambda q: q["seq"])), F.lit(-1))
-    wall_r = F.coalesce(F.array_min(F.transform(F.filter(side(False), lambda q: q["v"] > F.col("v")), lambda q: q["seq"])), F.lit(2**30))
-    low = lambda left, wall: F.array_min(F.transform(F.filter("a", lambda q: ((q["seq"] > wall) & (q["seq"] <= F.col("seq"))) if left else ((q["seq"] < wall) & (q["seq"] >= F.col("seq")))), lambda q: q["v"]))
-    p = p.withColumns({"wl": wall_l, "wr": wall_r})
-    return p.select("grp", "seq", "v", (F.col("v") - F.greatest(low(True, F.col("wl")), low(False, F.col("wr")))).alias("prominence"))
+    """(grp, seq, v, prominence): height over the higher of the two lowest points on the way to a higher sample or an end.
+
+    Gaps are left out; one pass over each series.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from tarn.operators.kernels import prominences
+
+        pdf = pdf.sort_values("seq")
+        seq, v = pdf["seq"].to_numpy(), pdf["v"].to_numpy(dtype=float)
+        first, last, height = prominences(v)
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "seq": (seq[first] + seq[last]) // 2, "v": v[first], "prominence": height})
+
+    return s.select("grp", "seq", "v").filter("v IS NOT NULL").groupBy("grp").applyInPandas(run, "grp long, seq int, v double, prominence double")
 
 
 def isotonic(s: DataFrame, increasing: bool = False) -> DataFrame:

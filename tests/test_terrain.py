@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import classes, tiles
@@ -64,3 +65,21 @@ def test_erosion_inside_mask_inside_dilation(spark):
     m = spark.createDataFrame([(1, r, c) for r in range(3, 8) for c in range(2, 9)], "poly int, r int, c int")
     e, d = raster.erode(m, 1), raster.dilate(m, 2, 12, 12)
     assert e.count() == 15 and e.subtract(m).isEmpty() and m.subtract(d).isEmpty()
+
+
+@pytest.mark.parametrize(
+    "x, first, height",
+    [([0, 1, 0, 2, 0, 3, 0], [1, 3, 5], [1, 2, 3]), ([1, 3, 1, 1, 5, 1], [1, 4], [2, 4]), ([0, 2, 2, 2, 0, 1, 3, 3, 0], [1, 6], [2, 3]), ([0, 5, 3, 6, 0], [1, 3], [2, 6]), ([], [], []), ([1], [], []), ([2, 2, 2], [], [])],
+)
+def test_prominences(x, first, height):
+    a, _, h = kernels.prominences(np.array(x, float))
+    assert a.tolist() == first and h.tolist() == height
+
+
+def test_prominences_agree_with_walks():
+    rng = np.random.default_rng(5)
+    for n in range(1, 60):
+        x = rng.integers(0, 8, n).astype(float)
+        a, b, h = kernels.prominences(x)
+        for least in (0, 1, 3):
+            assert [(p + q) // 2 for p, q, y in zip(a, b, h) if y >= least] == kernels.peaks(x, least)

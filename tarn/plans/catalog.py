@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, crs, tiles
 from ..operators import compose, features, lakes, profiles, raster, rivers
-from ..session import ship
+from ..session import shared_folder, ship
+from ..sources import shapefile
 from . import bridge as b
 
 H, W = b.H, b.W
@@ -542,3 +543,13 @@ def _(s, d):
     e = b.read(s, d, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 3).cast("long").alias("p"))
     e.createOrReplaceTempView("tarn_bfs_edges")
     return s.sql("WITH RECURSIVE t(n, hops) AS (SELECT 0L, 0 UNION ALL SELECT e.k, t.hops + 1 FROM t JOIN tarn_bfs_edges e ON e.p = t.n) SELECT n AS node, hops FROM t")
+
+
+@query("shapefile_round_trip", b.with_(b.RECT) + "SELECT poly, fclass, c0, r0, CAST(c0 + w AS INT) AS c1, CAST(r0 + h AS INT) AS r1 FROM rect")
+def _(s, d):
+    path = shared_folder(shapefile.register(s), "layer")
+    rings = raster.rectangle_rings(b.rect(s, d)).join(b.rect(s, d).select("poly", "fclass"), "poly")
+    rings.select("poly", "fclass", F.lit("polygon").alias("kind"), F.array("ring").alias("parts")).write.format("shapefile").mode("append").save(path)
+    p = s.read.format("shapefile").load(path).withColumn("p", F.flatten("parts"))
+    edge = lambda of, axis: of(F.transform("p", lambda q: q[axis])).cast("int")
+    return p.select(F.col("poly").cast("long").alias("poly"), "fclass", edge(F.array_min, "x").alias("c0"), edge(F.array_min, "y").alias("r0"), edge(F.array_max, "x").alias("c1"), edge(F.array_max, "y").alias("r1"))

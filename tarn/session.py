@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,9 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``; only where that is unset (tests) below a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarn-")
+    return f"{base.rstrip('/')}/tarn-{name}-{uuid.uuid4().hex}"

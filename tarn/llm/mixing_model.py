@@ -1,13 +1,18 @@
-"""A byte model of words: hashed-context bit predictors, mixed logistically.
+"""A byte model of words: context bit predictors, mixed logistically.
 
 A word and the space or end that stops it is a string of bytes, coded bit by bit.
-Five predictors see the bits so far of the current byte and, hashed with them,
-nothing / 1 / 2 / 3 earlier bytes of the word / the whole word so far. Each keeps counts of
-0 and 1 for its cell in a fixed table. Their stretched probabilities are mixed by a weight set that
-a gate picks (the evidence for the longest context and the place in the byte),
-and an adaptive probability map refines the result by the partial byte. Weights and map are
-learned online, in order, over a bounded sample of training words, where each
-word is first taken out of the counts it contributed.
+Five predictors see the bits so far of the current byte and nothing / 1 / 2 / 3
+earlier bytes of the word / the whole word so far. The first four keep counts of 0
+and 1 in hashed tables sized from the vocabulary (:func:`table_bits`). The last is
+counted exactly: words are worked on in groups of neighbours in byte order, where
+only prefixes of the words a group is cut at can reach into other groups, and of
+those the totals are known (``edges``). The stretched probabilities are mixed by a
+weight set that a gate picks (the evidence for the longest context and the place in
+the byte), and a probability map refines the result by the partial byte. Weights
+are the maximum of the likelihood over all training words, each with its count
+(Newton steps from sums over groups, halved for a gate where they do not help);
+the map holds the counts over the same words. In both each word is first taken out
+of the counts it contributed.
 
 A text's probability is the product over its words of P(bytes, stop), times that
 of each stop's kind (space, newline, ..., end), so it is one distribution over texts.
@@ -16,26 +21,49 @@ of each stop's kind (space, newline, ..., end), so it is one distribution over t
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 ORDERS = 5
-BITS = (12, 16, 19, 20, 21)  # table sizes, log2
-BASE = np.concatenate(([0], np.cumsum([1 << b for b in BITS]))).astype(np.int64)
+BITS = (12, 16, 19, 20)  # least table sizes, log2
 STOP = 32
 CONFIDENCE = (0, 1, 2, 4, 8, 32, 1 << 60)
 GATES = len(CONFIDENCE) * 8
 BUCKETS = 24
-RATE, APM_RATE, BATCH = 0.02, 0.02, 2048
+START, RIDGE, PRIOR = 0.3, 1.0, 16.0  # first weights and the pull to them; observations the first map counts for
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bits_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, cell of each predictor (ORDERS, n), bit, place) of every bit of the words, stops included."""
+def base_of(bits: tuple[int, ...]) -> np.ndarray:
+    """Where each predictor's table begins, and the end."""
+    return np.concatenate(([0], np.cumsum([1 << b for b in bits]))).astype(np.int64)
+
+
+def table_bits(grams: dict[int, int]) -> tuple[int, ...]:
+    """Table sizes, log2, from the distinct (context, byte) pairs of each order: a pair has at most eight cells."""
+    return (BITS[0], *(max(b, int(np.ceil(np.log2(8 * max(1, grams.get(k, 0)))))) for k, b in enumerate(BITS) if k))
+
+
+def _contexts(words: list[bytes]):
+    """(bytes, first byte of each word, word of each byte, the contexts of 0 to 3 bytes)."""
     sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
     data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)  # words hold no space: STOP follows each
     start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
     owner = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(data)) - start[owner]
     prev = [np.where(at >= k, np.roll(data, k) + np.uint64(1), np.uint64(0)) for k in (1, 2, 3)]
+    return data, start, owner, [np.zeros(len(data), np.uint64), prev[0], prev[0] << np.uint64(9) | prev[1], prev[0] << np.uint64(18) | prev[1] << np.uint64(9) | prev[2]]
+
+
+def grams_of(words: list[bytes]) -> np.ndarray:
+    """The distinct (order, context, byte) of orders 1 to 3, as numbers with the order from bit 40."""
+    data, _, _, contexts = _contexts(words)
+    return np.unique(np.concatenate([np.unique(np.uint64(k << 40) | c << np.uint64(8) | data) for k, c in enumerate(contexts) if k]))
+
+
+def bits_of(words: list[bytes], bits: tuple[int, ...] | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
+    """(word index, cell of each table (ORDERS - 1, n), id of the whole-word context, bit, place) of every bit of the words, stops included; no cells without table sizes."""
+    data, start, owner, contexts = _contexts(words)
+    sizes = np.diff(np.append(start, len(data)))
     whole = np.zeros(len(data), np.uint64)  # hash of the word so far
     longest = int(sizes.max(initial=1))
     by = np.argsort(-sizes, kind="stable")
@@ -46,16 +74,22 @@ def bits_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         whole[start[rows] + i] = h[rows]
         h[rows] = (h[rows] ^ data[start[rows] + i]) * _P
         h[rows] ^= h[rows] >> np.uint64(29)
-    contexts = [np.zeros(len(data), np.uint64), prev[0], prev[0] << np.uint64(9) | prev[1], prev[0] << np.uint64(18) | prev[1] << np.uint64(9) | prev[2], whole]
     bit = ((data[:, None] >> np.arange(7, -1, -1).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
     partial = np.ones((len(data), 8), np.uint64)
     for j in range(1, 8):
         partial[:, j] = partial[:, j - 1] << np.uint64(1) | bit[:, j - 1].astype(np.uint64)
-    cells = np.empty((ORDERS, len(data) * 8), np.int64)
-    for k, (c, b) in enumerate(zip(contexts, BITS)):
+
+    def hashed(c):
         x = ((c * _P)[:, None] + partial * np.uint64(0xD6E8FEB86659FD93)) * _P
-        cells[k] = ((x ^ (x >> np.uint64(32))) * _P >> np.uint64(64 - b)).astype(np.int64).ravel() + BASE[k]
-    return np.repeat(owner, 8), cells, bit.ravel(), np.tile(np.arange(8), len(data))
+        return ((x ^ (x >> np.uint64(32))) * _P).ravel()
+
+    cells = None
+    if bits:
+        base = base_of(bits)
+        cells = np.empty((len(bits), len(data) * 8), np.int64)
+        for k, (c, b) in enumerate(zip(contexts, bits)):
+            cells[k] = (hashed(c) >> np.uint64(64 - b)).astype(np.int64) + base[k]
+    return np.repeat(owner, 8), cells, hashed(whole), bit.ravel(), np.tile(np.arange(8), len(data))
 
 
 def chunks(words: list[bytes], most: int = 25_000):
@@ -70,16 +104,47 @@ def chunks(words: list[bytes], most: int = 25_000):
         yield a, len(words)
 
 
-def add_counts(words: list[bytes], counts: np.ndarray, table: np.ndarray) -> None:
+def add_counts(words: list[bytes], counts: np.ndarray, table: np.ndarray, bits: tuple[int, ...]) -> None:
     """Add to ``table`` (cells, 2) the zeros and ones of the words, each seen ``counts`` times."""
     flat = table.reshape(-1)
     for a, b in chunks(words):
-        owner, cells, bit, _ = bits_of(words[a:b])
+        owner, cells, _, bit, _ = bits_of(words[a:b], bits)
         w = counts[a:b][owner].astype(table.dtype)
         for c in cells:
             np.add.at(flat, c * 2 + bit, w)
 
 
+class Group:
+    """Words that are neighbours in byte order, with the exact counts of their whole-word contexts."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, bits: tuple[int, ...] | None, edges: tuple[np.ndarray, np.ndarray] | None = None):
+        self.words, self.counts = words, counts
+        self.parts = [(a, *bits_of(words[a:b], bits)) for a, b in chunks(words)]
+        ids = np.concatenate([p[3] for p in self.parts])
+        bit = np.concatenate([p[4] for p in self.parts])
+        weight = np.concatenate([counts[p[0] + p[1]] for p in self.parts]).astype(np.float64)
+        coded = pa.array(ids).dictionary_encode()
+        self.ids, self.where = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        ones = np.bincount(self.where, weight * bit, len(self.ids))
+        self.n = np.stack([np.bincount(self.where, weight, len(self.ids)) - ones, ones], 1)
+        if edges is not None and len(edges[0]):
+            i = np.minimum(np.searchsorted(edges[0], self.ids), len(edges[0]) - 1)
+            hit = edges[0][i] == self.ids
+            self.n[hit] = edges[1][i[hit]]
+
+    def shared(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of the contexts that are prefixes of ``cuts``."""
+        hit = np.isin(self.ids, bits_of(cuts, None)[2])
+        return self.ids[hit], self.n[hit]
+
+    def __iter__(self):
+        """(word index, cells, zeros and ones of the whole-word context, bit, place) by runs of words."""
+        at = 0
+        for a, owner, cells, ids, bit, place in self.parts:
+            yield a + owner, cells, self.n[self.where[at : at + len(ids)]].T, bit, place
+            at += len(ids)
+
+
 def stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
@@ -89,37 +154,29 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Counts (cells, 2), weights (GATES, ORDERS + 1), map (256, BUCKETS)."""
+    """Counts of the tables (cells, 2), totals of the contexts that groups share, weights (GATES, ORDERS + 1), map (256, BUCKETS)."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float32)
-        self.weights = np.full((GATES, ORDERS + 1), 0.3, np.float64)
+    def __init__(self, counts: np.ndarray, bits: tuple[int, ...], edges: tuple[np.ndarray, np.ndarray] | None):
+        self.counts, self.bits, self.edges = counts.astype(np.float32), bits, edges
+        self.weights = np.full((GATES, ORDERS + 1), START, np.float64)
         self.map = np.tile(squash(np.linspace(-8, 8, BUCKETS)), (256, 1))
 
+    def group(self, words: list[bytes], counts: np.ndarray) -> Group:
+        return Group(words, counts, self.bits, self.edges)
+
     @staticmethod
     def _stretched(n0, n1):
         n = n0 + n1
         p = (n1 + 0.02) / (n + 0.04)
         return stretch(np.clip(p, 1 / 65536, 1 - 1 / 65536)) * (n / (n + 0.4))
 
-    def freeze(self) -> Model:
-        """Replace the counts by what scoring reads: each cell's stretched probability and, for the longest context, its evidence."""
-        n0, n1 = self.counts[:, 0], self.counts[:, 1]
-        self.x = self._stretched(n0, n1).astype(np.float32)
-        self.level = np.searchsorted(CONFIDENCE, n0[BASE[ORDERS - 1] :] + n1[BASE[ORDERS - 1] :], side="left").astype(np.uint8)
-        self.counts = None
-        return self
-
-    def _inputs(self, cells, place):
-        x = np.vstack([self.x[cells], np.full(cells.shape[1], 0.3, np.float32)])
-        return x, self.level[cells[ORDERS - 1] - BASE[ORDERS - 1]].astype(np.int64) * 8 + place
-
-    def _inputs_without(self, cells, bit, place):
-        """Inputs as if the word itself had been seen once less."""
-        n0 = np.maximum(self.counts[cells, 0].astype(np.float64) - (1 - bit), 0)
-        n1 = np.maximum(self.counts[cells, 1].astype(np.float64) - bit, 0)
+    def _inputs(self, cells, whole, bit, place, less: int):
+        """Inputs and gate, as if the word itself had been seen ``less`` times less."""
+        n0, n1 = (np.vstack([self.counts[cells, k], whole[k]]).astype(np.float64) for k in (0, 1))
+        if less:
+            n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
         gate = np.searchsorted(CONFIDENCE, n0[-1] + n1[-1], side="left") * 8 + place
-        return np.vstack([self._stretched(n0, n1), np.full(cells.shape[1], 0.3)]), gate
+        return np.vstack([self._stretched(n0, n1), np.full(len(bit), 0.3)]), gate
 
     def _refine(self, mixed, ctx):
         s = np.clip((np.clip(mixed, -8, 8) + 8) * (BUCKETS - 1) / 16, 0, BUCKETS - 1.001)
@@ -136,36 +193,63 @@ class Model:
             out[:, j] = out[:, j - 1] * 2 + b[:, j - 1]
         return out.ravel()
 
-    def learn(self, words: list[bytes]) -> None:
-        """One online pass, ``BATCH`` bits a step; the words have been counted."""
-        for a, b in chunks(words):
-            _, cells, bit, place = bits_of(words[a:b])
+    def slopes(self, group: Group) -> np.ndarray:
+        """Per gate: negative log likelihood, its slope and its curvature, of training words weighted by count."""
+        k = ORDERS + 1
+        out = np.zeros((GATES, 1 + k + k * k))
+        for owner, cells, whole, bit, place in group:
+            x, gate = self._inputs(cells, whole, bit, place, 1)
+            w = group.counts[owner].astype(np.float64)
+            by = np.argsort(gate, kind="stable")
+            x, gate, w, bit = x[:, by], gate[by], w[by], bit[by]
+            p = squash((self.weights[gate].T * x).sum(0))
+            loss, err, curve = -w * np.log(np.where(bit == 1, p, 1 - p)), w * (p - bit), w * p * (1 - p)
+            cut = np.searchsorted(gate, np.arange(GATES + 1))
+            for g in np.unique(gate):
+                z = slice(cut[g], cut[g + 1])
+                out[g] += np.concatenate(([loss[z].sum()], x[:, z] @ err[z], ((x[:, z] * curve[z]) @ x[:, z].T).ravel()))
+        return out
+
+    def learn(self, total, rounds: int) -> None:
+        """``total()`` gives the sums of :meth:`slopes` over all groups at the present weights."""
+        k = ORDERS + 1
+        best, least = self.weights.copy(), np.full(GATES, np.inf)
+        step = np.zeros((GATES, k))
+        for _ in range(rounds):
+            sums = total()
+            pull = self.weights - START
+            loss = sums[:, 0] + RIDGE / 2 * (pull**2).sum(1)
+            better = loss <= least
+            slope, curve = sums[:, 1 : 1 + k] + RIDGE * pull, sums[:, 1 + k :].reshape(-1, k, k) + RIDGE * np.eye(k)
+            step = np.where(better[:, None], -np.linalg.solve(curve, slope[:, :, None])[:, :, 0], step / 2)
+            best, least = np.where(better[:, None], self.weights, best), np.minimum(loss, least)
+            self.weights = best + step
+        self.weights = best
+
+    def bins(self, group: Group) -> np.ndarray:
+        """The map's (all, ones) observations (256 * BUCKETS, 2) of training words weighted by count."""
+        out = np.zeros((256 * BUCKETS, 2))
+        for owner, cells, whole, bit, place in group:
+            x, gate = self._inputs(cells, whole, bit, place, 1)
             ctx = self._partial(bit, place)
-            for i in range(0, len(bit), BATCH):
-                z = slice(i, i + BATCH)
-                x, gate = self._inputs_without(cells[:, z], bit[z], place[z])
-                mixed = (self.weights[gate].T * x).sum(0)
-                err = bit[z] - squash(mixed)
-                seen = np.bincount(gate, minlength=GATES)[:, None]
-                step = np.stack([np.bincount(gate, err * xi, GATES) for xi in x], 1)
-                self.weights += RATE * 8 * step / np.sqrt(seen + 1)
-                p, lo, f = self._refine(mixed, ctx[z])
-                for cell, share in ((lo, 1 - f), (lo + 1, f)):
-                    key = ctx[z] * BUCKETS + cell
-                    n = np.bincount(key, share, 256 * BUCKETS)
-                    hit = np.bincount(key, share * bit[z], 256 * BUCKETS)
-                    rate = 1 - (1 - APM_RATE) ** n
-                    flat = self.map.ravel()
-                    self.map = (flat + rate * (np.divide(hit, n, out=np.zeros_like(n), where=n > 0) - flat)).reshape(256, BUCKETS)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
+            _, lo, f = self._refine((self.weights[gate].T * x).sum(0), ctx)
+            w = group.counts[owner].astype(np.float64)
+            for cell, share in ((lo, 1 - f), (lo + 1, f)):
+                key = ctx * BUCKETS + cell
+                out[:, 0] += np.bincount(key, w * share, len(out))
+                out[:, 1] += np.bincount(key, w * share * bit, len(out))
+        return out
+
+    def set_map(self, bins: np.ndarray) -> None:
+        self.map = ((self.map.ravel() * PRIOR + bins[:, 1]) / (PRIOR + bins[:, 0])).reshape(256, BUCKETS)
+
+    def log10(self, group: Group) -> np.ndarray:
         """log10 P(word and stop) of each word."""
-        out = np.zeros(len(words))
-        for a, b in chunks(words):
-            owner, cells, bit, place = bits_of(words[a:b])
-            x, gate = self._inputs(cells, place)
+        out = np.zeros(len(group.words))
+        for owner, cells, whole, bit, place in group:
+            x, gate = self._inputs(cells, whole, bit, place, 0)
             mixed = (self.weights[gate].T * x).sum(0)
             refined, _, _ = self._refine(mixed, self._partial(bit, place))
             p = np.clip((squash(mixed) + 3 * refined) / 4, 1e-6, 1 - 1e-6)
-            out[a:b] = np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), b - a)
+            out += np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), len(out))
         return out

@@ -6,9 +6,10 @@ text's score is a sum over its words, and each distinct word is scored once:
 the cost of bit-wise mixing follows the vocabulary, not the corpus.
 
 1. Words are counted (in Python for each batch, then by a partial and final sum).
-2. The predictors' tables, of fixed size, are filled from the training counts of
-   all words, part tables summed by blocks; weights are learned online from
-   ``SAMPLE`` training words drawn in proportion to their counts.
+2. The predictors' tables, sized from the vocabulary, are filled from the training
+   counts of all words, part tables summed by blocks. The vocabulary is cut into
+   groups of neighbours in byte order, which count the whole-word context exactly;
+   weights and map are sums over all training words of all groups, by their counts.
 3. Texts are counted again. Words with 1 / ``HEAD`` of all tokens or more (so
    ``HEAD`` at most) are looked up in a broadcast table; the others, none of
    which can be hot, are joined with the vocabulary and summed for each text.
@@ -23,6 +24,7 @@ extra columns are ignored; scores are rounded to 9 decimals.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .mixing_model import BASE, Model, add_counts
+from .mixing_model import Group, Model, add_counts, base_of, grams_of, table_bits
 
 HEAD = 1 << 18
-SAMPLE = 30_000
+GROUP = 200_000  # bytes of a group of words, about
+ROUNDS = 4
 BLOCK = 8192  # cells of a part table that are sent as one row
 KINDS = b" \t\n\x0b\x0c\r"  # stops; the end is one more
 FLUSH = 300_000
@@ -87,14 +90,28 @@ def _special(word: bytes) -> bool:
     return b" " in word
 
 
-def fill_tables(vocabulary: DataFrame) -> np.ndarray:
-    """The predictors' counts (cells, 2) from all training words; what reaches the driver has a fixed size."""
-    cells = int(BASE[-1])
+def count_grams(words: DataFrame) -> dict[int, int]:
+    """Distinct (context, byte) pairs of the training words, by order."""
+
+    def run(batches):
+        seen = np.zeros(0, np.uint64)
+        for batch in batches:
+            if batch.num_rows:
+                seen = np.union1d(seen, grams_of(batch.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], ["gram"])
+
+    grams = words.select("word").mapInArrow(run, "gram long").distinct()
+    return {r["k"]: r["count"] for r in grams.groupBy(F.shiftright("gram", 40).cast("int").alias("k")).count().collect()}
+
+
+def fill_tables(words: DataFrame, bits: tuple[int, ...]) -> np.ndarray:
+    """The tables' counts (cells, 2) from all training words; what reaches the driver has their size."""
+    cells = int(base_of(bits)[-1])
 
     def run(batches):
         tab = np.zeros((cells, 2), np.float32)
         for batch in batches:
-            add_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy(), tab)
+            add_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy(), tab, bits)
         rows = [(i // BLOCK, tab[i : i + BLOCK]) for i in range(0, cells, BLOCK)]
         rows = [(k, b.tobytes()) for k, b in rows if b.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["block", "counts"])
@@ -103,8 +120,7 @@ def fill_tables(vocabulary: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in group.column("counts"))
         return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    words = vocabulary.filter("c > 0 AND NOT special").select("word", "c")
-    parts = words.mapInArrow(run, "block int, counts binary")
+    parts = words.select("word", "c").mapInArrow(run, "block int, counts binary")
     out = np.zeros((cells, 2), np.float32)
     for r in parts.groupBy("block").applyInArrow(merge, "block int, counts binary").toLocalIterator():
         b = np.frombuffer(bytes(r["counts"]), np.float32).reshape(-1, 2)
@@ -112,28 +128,100 @@ def fill_tables(vocabulary: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(vocabulary: DataFrame, sample: int = SAMPLE) -> Model:
-    model = Model(fill_tables(vocabulary))
+def cut_words(plain: DataFrame, group: int = GROUP) -> list[bytes]:
+    """Words (with their stop) that cut the vocabulary, in byte order, into groups of about ``group`` bytes: every 16th of a random choice."""
+    size = plain.agg(F.sum(F.octet_length("word") + 1)).first()[0] or 0
     u = (F.pmod(F.xxhash64("word", F.lit(6)), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-    drawn = vocabulary.filter("c > 0 AND NOT special").select("word", (-F.log(u) / F.col("c")).alias("k")).orderBy("k", "word").limit(sample).collect()
-    words = [bytes(r["word"]) for r in drawn]
-    order = np.random.default_rng(6).permutation(len(words))
-    model.learn([words[i] for i in order])
-    return model.freeze()
+    chosen = plain.select("word", (-F.log(u) / (F.octet_length("word") + 1)).alias("k")).orderBy("k", "word").limit(16 * (size // group)).collect()
+    return sorted(bytes(r["word"]) + b" " for r in chosen)[15::16]
 
 
-def score_vocabulary(vocabulary: DataFrame, model) -> DataFrame:
-    """(word, c, logp) of the words; ``model`` is a broadcast variable."""
+def with_group(plain: DataFrame, cuts: list[bytes]) -> DataFrame:
+    shared = plain.sparkSession.sparkContext.broadcast(cuts)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.value.log10(batch.column(0).to_pylist()))], ["word", "c", "logp"])
+            part = [bisect_right(shared.value, w + b" ") for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], [*batch.schema.names, "part"])
+
+    return plain.select("word", "c", "total").mapInArrow(run, "word binary, c long, total long, part int")
+
+
+def _by_group(words: DataFrame, f, schema: str) -> DataFrame:
+    """``f(part, words, counts, table)`` for each group, its words in byte order."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("word")
+        return f(group.column("part")[0].as_py(), group.column("word").to_pylist(), group.column("c").to_numpy(), group)
+
+    return words.groupBy("part").applyInArrow(run, schema)
+
+
+def shared_contexts(words: DataFrame, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in order, zeros and ones) of the whole-word contexts that reach over a cut, and of those of the empty word."""
+
+    def f(part, w, c, _):
+        ids, n = Group(w, c, None).shared([b"", *(x[:-1] for x in cuts[max(0, part - 1) : part + 1])])
+        return pa.table({"id": pa.array(ids.view(np.int64)), "n0": pa.array(n[:, 0]), "n1": pa.array(n[:, 1])})
+
+    got = _by_group(words, f, "id long, n0 double, n1 double").groupBy("id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    ids = got.column("id").to_numpy().view(np.uint64)
+    by = np.argsort(ids)
+    return ids[by], np.stack([got.column(k).to_numpy() for k in ("n0", "n1")], 1)[by]
+
+
+def _summed(words: DataFrame, f) -> np.ndarray:
+    """The sum over groups of the array ``f(words, counts)``, added in the order of the groups."""
+
+    def one(part, w, c, _):
+        return pa.table({"part": pa.array([part], pa.int32()), "x": pa.array([f(w, c).tobytes()], pa.binary())})
+
+    def merge(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")
+        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in group.column("x"))
+        return pa.table({"part": group.column("part")[:1], "x": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, x binary"
+    rows = _by_group(words, one, schema).groupBy(F.col("part") % 32).applyInArrow(merge, schema).collect()
+    return sum(np.frombuffer(bytes(r["x"]), np.float64) for r in sorted(rows, key=lambda r: r["part"])) if rows else np.zeros(1)
+
+
+def fit(words: DataFrame, cuts: list[bytes], rounds: int = ROUNDS) -> Model:
+    """``words`` have their group. Tables, weights and map come from all with a training count."""
+    spark = words.sparkSession
+    train = words.filter("c > 0")
+    bits = table_bits(count_grams(train))
+    model = Model(fill_tables(train, bits), bits, shared_contexts(train, cuts))
+    if train.isEmpty():
+        return model
+    fixed = spark.sparkContext.broadcast(model)  # the tables are sent once, the weights each round
+
+    def at(weights, method):
+        def f(w, c):
+            m = fixed.value
+            m.weights = weights
+            return getattr(m, method)(m.group(w, c)).ravel()
+
+        return _summed(train, f)
+
+    shape = model.weights.shape[0]
+    model.learn(lambda: at(model.weights, "slopes").reshape(shape, -1), rounds)
+    model.set_map(at(model.weights, "bins").reshape(-1, 2))
+    return model
+
+
+def score_vocabulary(words: DataFrame, model) -> DataFrame:
+    """(word, c, total, logp) of the words; ``model`` is a broadcast variable."""
+
+    def f(_, w, c, group):
+        m = model.value
+        return group.select(["word", "c", "total"]).append_column("logp", pa.array(m.log10(m.group(w, c))))
 
-    return vocabulary.select("word", "c").mapInArrow(run, "word binary, c long, logp double")
+    return _by_group(words, f, "word binary, c long, total long, logp double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, sample: int = SAMPLE) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, sample: int | None = None, group: int = GROUP) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. All training words are learned; ``sample`` has no effect."""
     spark = docs.sparkSession
     vocabulary = count_words(docs, id_col, text_col)
     vocabulary = materialize(vocabulary.withColumn("special", F.position(F.lit(b" "), F.col("word")) > 0), "vocabulary")
@@ -143,14 +231,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     ends = special.get(b" 6", (0, 0))[0]
     n, v = sums[0] + ends, sums[1] + (ends > 0)
     least = max(1, -(-sums[2] // head))
-    model = fit(vocabulary, sample)
+    cuts = cut_words(plain, group)
+    plain = materialize(with_group(plain, cuts), "groups")
+    model = fit(plain, cuts)
     shared = spark.sparkContext.broadcast(model)
-    top = score_vocabulary(plain.filter(F.col("total") >= least), shared).toArrow()
+    scored = materialize(score_vocabulary(plain, shared), "scored")
+    top = scored.filter(F.col("total") >= least).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), zip(top.column("c").to_pylist(), top.column("logp").to_pylist()))))
     base = lambda c: math.log10((c + 1) / (n + v + 1))
     kinds = [special.get(b" %d" % i, (0, 0))[0] + 1 for i in range(len(KINDS) + 1)]
     kinds = [math.log10(k / sum(kinds)) for k in kinds]
-    nothing = float(model.log10([b""])[0])
+    nothing = float(model.log10(model.group([b""], np.zeros(1)))[0])
 
     def run(batches):
         table_ = known.value
@@ -186,7 +277,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
 
     rows = docs.select(F.monotonically_increasing_id().alias("i"), F.col(text_col).cast("binary").alias("t"), F.col(id_col).cast("long").alias("d"), held_out(F.col(id_col)).alias("h"))
     rows = rows.mapInArrow(run, "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bytes long")
-    tail = score_vocabulary(plain.filter(F.col("total") < least), shared)
+    tail = scored.filter(F.col("total") < least).drop("total")
     j = rows.join(tail, "word", "left")
     late = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     d = j.groupBy("row").agg(

@@ -136,6 +136,25 @@ def test_packing(docs, empty):
     assert op4_packing.pack(empty).count() == 0
 
 
+def test_packing_reads_the_end_token_as_the_tokenizers_file_does(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y <|endoftext|", "<|endoftext|>\n\n é <|endoftext|>z", "plain"]
+    want = [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    encode = op4_packing.encoder()
+    assert 50256 in want[0] and [encode(t).tolist() for t in texts] == want
+
+    def refuse(*_, **__):
+        raise ValueError
+
+    monkeypatch.setattr(tiktoken.Encoding, "encode", refuse)
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", refuse)
+    assert [encode(t).tolist() for t in texts] == want
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "HTTP://Sub.Example.ORG/es/1", "http://x.com/de/1", "https://a.net", "http://example.org/en/12?q", "http://y.com/fr/2#z"] * 3
     p = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")

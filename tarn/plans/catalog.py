@@ -332,7 +332,7 @@ FEW = "few AS (SELECT * FROM mask WHERE poly < 12)"
     + "SELECT few.poly, few.r, few.c, CAST(min((few.r - g.r) * (few.r - g.r) + (few.c - g.c) * (few.c - g.c)) AS BIGINT) AS d2 FROM few JOIN g ON g.poly = few.poly GROUP BY few.poly, few.r, few.c",
 )
 def _(s, d):
-    return raster.edt(mask_of(s, d).filter("poly < 12"), H, W)
+    return raster.edt(mask_of(s, d), H, W)
 
 
 @query(
@@ -432,7 +432,7 @@ for name, up in (("isotonic_down", False), ("isotonic_up", True)):
         + f"SELECT grp, CAST(i AS INT) AS seq, round({sign}max(m) + 1e-7::DOUBLE, 4) AS v FROM (SELECT lo.grp, q.seq AS i, lo.j, min(m) AS m FROM q JOIN lo ON lo.grp = q.grp AND lo.j <= q.seq AND lo.k >= q.seq GROUP BY lo.grp, q.seq, lo.j) GROUP BY grp, i",
     )
     def _(s, d, up=up):
-        return profiles.isotonic(whole(s, d).filter("grp < 40"), up).select("grp", "seq", F.round(F.col("v") + 1e-7, 4).alias("v"))
+        return profiles.isotonic(whole(s, d), up).select("grp", "seq", F.round(F.col("v") + 1e-7, 4).alias("v"))
 
 
 @query("multi_peak")

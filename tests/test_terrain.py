@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from tarn.functions import classes, tiles
 from tarn.operators import features, kernels, lakes, raster
+from tarn.plans import catalog
+
+SF = "/root/testdata/sf0.01"
 
 
 def test_multi_peak():
@@ -83,3 +86,22 @@ def test_prominences_agree_with_walks():
         a, b, h = kernels.prominences(x)
         for least in (0, 1, 3):
             assert [(p + q) // 2 for p, q, y in zip(a, b, h) if y >= least] == kernels.peaks(x, least)
+
+
+def without(name, *filters):
+    """The result of the query's SQL at sf0.01 with its row filters taken out of the text."""
+    duckdb = pytest.importorskip("duckdb")
+    sql = catalog.SQL[name]
+    for f in filters:
+        sql = sql.replace(f, "")
+    con = duckdb.connect()
+    for t in ("part", "orders", "customer", "supplier", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return sorted(tuple(r) for r in con.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("name, filters", [("edt_distance", [" WHERE poly < 12"]), ("isotonic_down", [" WHERE grp < 40"]), ("isotonic_up", [" WHERE grp < 40"])])
+def test_all_polygons_and_series_are_kept(spark, name, filters):
+    got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, SF).collect())
+    assert got == without(name, *filters)
+    assert len({r[0] for r in got}) == {"edt_distance": 100}.get(name, 150)

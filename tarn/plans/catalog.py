@@ -153,7 +153,7 @@ def _(s, d):
 
 @query("quadkey_children", b.with_(b.TILEKEYS, f"q AS (SELECT id, z, {QK} AS q FROM tk WHERE z <= 5)") + "SELECT id, q || CASE WHEN z = 4 THEN CAST(i AS VARCHAR) ELSE '' END AS child FROM q, (SELECT unnest(range(0, 4)) AS i) WHERE z = 4 OR (z = 5 AND i = 0)")
 def _(s, d):
-    k = b.tilekeys(s, d).filter("z IN (4, 5)").select("id", tiles.quadkey(F.col("x"), F.col("y"), F.col("z")).alias("quadkey"))
+    k = b.tilekeys(s, d).select("id", tiles.quadkey(F.col("x"), F.col("y"), F.col("z")).alias("quadkey"))
     return tiles.children(k, 5).select("id", "child")
 
 
@@ -235,9 +235,9 @@ REF = (
 def reference(s, d):
     k, z = F.col("p_partkey"), F.col("p_size")
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
-    a = b.read(s, d, "part").filter("p_size % 8 = 0").select(k.alias("id"), pick(["reservoir", "lake", "dock", "glacier"], k).alias("layer"), (k * 11 % 400).alias("minx"), (k * 17 % 400).alias("miny"), (k * 11 % 400 + 5 + z).alias("maxx"), (k * 17 % 400 + 4 + z % 9).alias("maxy"))
+    a = b.read(s, d, "part").select(k.alias("id"), pick(["reservoir", "lake", "dock", "glacier"], k).alias("layer"), (k * 11 % 400).alias("minx"), (k * 17 % 400).alias("miny"), (k * 11 % 400 + 5 + z).alias("maxx"), (k * 17 % 400 + 4 + z % 9).alias("maxy"))
     o = F.col("o_orderkey")
-    li = b.read(s, d, "orders").filter("o_orderkey % 40 = 0").select(o.alias("id"), pick(["river", "stream", "sea"], o).alias("layer"), (o * 13 % 400).alias("minx"), (o * 7 % 400).alias("miny"), (o * 13 % 400 + 10 + o % 50).alias("maxx"), (o * 7 % 400).alias("maxy"))
+    li = b.read(s, d, "orders").select(o.alias("id"), pick(["river", "stream", "sea"], o).alias("layer"), (o * 13 % 400).alias("minx"), (o * 7 % 400).alias("miny"), (o * 13 % 400 + 10 + o % 50).alias("maxx"), (o * 7 % 400).alias("maxy"))
     c = F.col("c_custkey")
     f = b.read(s, d, "customer").select(c.alias("id"), (c * 19 % 400).alias("minx"), (c * 23 % 400).alias("miny"), (c * 19 % 400 + 10 + c % 40).alias("maxx"), (c * 23 % 400 + 10 + c % 30).alias("maxy"))
     return f, a, li

@@ -1,3 +1,6 @@
+from collections import Counter
+from itertools import product
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +108,20 @@ def test_all_polygons_and_series_are_kept(spark, name, filters):
     got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, SF).collect())
     assert got == without(name, *filters)
     assert len({r[0] for r in got}) == {"edt_distance": 100}.get(name, 150)
+
+
+@pytest.mark.parametrize("name", ["bbox_join", "rect_overlap_ratio", "classify_priority"])
+def test_all_areas_and_lines_are_joined(spark, name):
+    got = sorted(tuple(r) for r in catalog.QUERIES[name](spark, SF).collect())
+    want = without(name, " WHERE p_size % 8 = 0", " WHERE o_orderkey % 40 = 0")
+    assert len(got) == len(want) and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=2e-6) if name == "rect_overlap_ratio" else a == b for a, b in zip(got, want))
+
+
+def test_keys_of_all_zooms_have_their_children(spark):
+    keys = catalog.QUERIES["quadkey_encode"](spark, SF).collect()
+    want = Counter()
+    for k in keys:
+        if len(k["quadkey"]) <= 5:
+            want.update((k["id"], k["quadkey"] + "".join(t)) for t in product("0123", repeat=5 - len(k["quadkey"])))
+    assert {len(k["quadkey"]) for k in keys} == set(range(1, 13))
+    assert Counter((r["id"], r["child"]) for r in catalog.QUERIES["quadkey_children"](spark, SF).collect()) == want

@@ -2,11 +2,15 @@
 
 All patterns are over normalised words: lower-case ASCII letters, digits and
 non-ASCII characters, single spaces between. A pattern starts with a literal
-word, its keyword; it is tried only where a text has that word.
+word, its keyword; it is tried only where a text has that word, or one of the
+words that :func:`joined` gives where the space after the keyword may be missing.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 # (label, short forms as in tags and manifests, names as in prose); "x( y)?" is a regular expression
 LICENSES: list[tuple[str, list[str], list[str]]] = [
     ("gpl-1.0", ["gpl 1 0( only| or later)?"], ["gnu general public license( as published by the free software foundation)?( either)? v(ersion)? ?1( 0)?", "gpl ?v1"]),
@@ -122,3 +126,12 @@ def rules() -> list[tuple[str, str, str, int, float, bool]]:
         out += [(n.split(" ")[0], n, label, 0.7, False) for n in names]
     out += [(p.split(" ")[0], p, label, 0.6, True) for label, p in BASE]
     return [(k, p, label, rank, conf, base) for rank, (k, p, label, conf, base) in enumerate(out)]
+
+
+def joined(pattern: str) -> list[str]:
+    """The first words of a match that has no space where the pattern's first one is optional: 'agpl ?v?3' gives agplv3 and agpl3."""
+    m = re.match(r"([a-z0-9]+) \?((?:[a-z0-9]\??)+)", pattern)
+    if not m:
+        return []
+    letters = [(c, "") if optional else (c,) for c, optional in re.findall(r"([a-z0-9])(\??)", m[2])]
+    return [m[1] + "".join(t) for t in product(*letters)]

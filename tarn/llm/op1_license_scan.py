@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
-from .license_rules import WINDOW, rules
+from .license_rules import WINDOW, joined, rules
 
 DETECTION = "array<struct<start:int,stop:int,rank:int,label:string,confidence:double,base:boolean>>"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,7 +34,8 @@ def words_of(text: Column) -> Column:
 def _rule_map() -> tuple[str, list[str], int]:
     by: dict[str, list[dict]] = {}
     for keyword, pattern, label, rank, confidence, base in rules():
-        by.setdefault(keyword, []).append({"p": f"^(?:{pattern}) ", "label": label, "rank": rank, "confidence": confidence, "base": base})
+        for k in (keyword, *joined(pattern)):
+            by.setdefault(k, []).append({"p": f"^(?:{pattern}) ", "label": label, "rank": rank, "confidence": confidence, "base": base})
     return json.dumps(by), sorted(by), max(map(len, by.values()))
 
 

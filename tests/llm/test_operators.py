@@ -96,6 +96,13 @@ def test_license_scan(docs):
     assert "apache-2.0" in {d["label"] for d in r[1]["spans"]}
 
 
+def test_license_names_without_a_space(spark):
+    texts = {"distributed as GPLv3": "gpl-3.0", "LGPLv2.1 code": "lgpl-2.1", "LGPLv2": "lgpl-2.0", "an LGPLv3 part": "lgpl-3.0", "AGPLv3": "agpl-3.0", "AGPL3": "agpl-3.0", "MPLv2": "mpl-2.0", "GPLv1": "gpl-1.0", "GPLv2": "gpl-2.0", "gpl v2": "gpl-2.0"}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["text"]: [x["label"] for x in r["spans"]] for r in op1_license_scan.scan(d).collect()}
+    assert got == {t: [label] for t, label in texts.items()}
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 @settings(max_examples=60, deadline=None)
 def test_best_fit_fills_every_slot_once(counts):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -14,7 +15,9 @@ from ..session import ship
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_TOKEN = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+BROADCAST_BYTES = 32 << 20
+
+_written: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,25 +38,62 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, path, out))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` whose every use has itself been written."""
+    for i in [i for i, (_, _, df) in enumerate(_written) if any(df is t for t in tables)][::-1]:
+        spark, path, _ = _written.pop(i)
+        _delete(spark, path)
+
+
+def mark() -> int:
+    """A place in the order of written tables, for :func:`free_since`."""
+    return len(_written)
+
+
+def free_since(place: int, *kept: DataFrame) -> None:
+    """Delete the tables written since ``place`` other than ``kept``; the caller has written all that was made of them."""
+    free(*[df for _, _, df in _written[place:] if not any(df is k for k in kept)])
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark deletes the shuffle files of plans whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release() -> None:
     """Delete the tables written by :func:`materialize`; call it once results are stored."""
     while _written:
-        spark, path = _written.pop()
+        spark, path, _ = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended; the folder then goes with the cluster's own clean-up
             return
 
 
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast where its rows, of ``row_bytes`` each, stay below ``BROADCAST_BYTES``; else as it is, for a sorted join."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 atexit.register(release)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: whatever they were called, no name that an operator adds can clash."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -8,15 +8,20 @@ of blocks), so a source is passed as often as its target asks. Slots and blocks
 meet in a join on (source, block). The weights are the slots each source needs;
 a source's surplus slots are dropped and missing ones (a few, the sequence's
 discrepancy) appended, and its last slot is cut at the target, so every source
-gets its target to the word.
+gets its target to the word. The schedule decides the order: ``slot`` is the first
+place of the mixture at which words of the document come, so a reader that goes
+by slot meets the sources interleaved at their weights all along.
 
 A block's length is the given one, or 1/64 of the source where that is less, so
 small sources keep many slots. Ranks and offsets come from bucketed prefix sums;
 no source is one task. The sources' table holds a row for each source.
 
-Defined results: null text has size 0 and takes 0; null is the last source;
-sources of size 0 have target 0; repeated rows are placed one by one; extra
-columns are dropped; an empty table gives no rows.
+Defined results: null text has size 0, takes 0 and has no slot; null is the last
+source; sources of size 0 have target 0; ties (equal keys of the random order) go
+by id, size and text checksum; repeated rows are placed one by one; a very long
+text is passed in part where its source's cut falls into it; extra columns,
+whatever their names, are dropped by the query and carried by :func:`mix_rows`; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_TOKEN, bucket_count, materialize, running_total, shuffle_key, table, unit_bucket
+from .common import SPACE_TOKEN, bucket_count, if_small, materialize, numbered, running_total, shuffle_key, table, unit_bucket
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -74,17 +79,16 @@ def schedule(spark: SparkSession, sources: DataFrame) -> DataFrame:
     w = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     edges = sources.filter("need > 0").withColumn("upto", F.sum("need").over(w)).select(F.coalesce("source", F.lit(NULL_SOURCE)).alias("s"), "need", "upto")
     total = sources.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
-    edges = materialize(edges, "mix-edges")
-    cum = edges.agg(F.array_sort(F.collect_list(F.struct("upto", "s")))).first()[0] or []
-    if not cum:
+    if not total:
         return spark.createDataFrame([], "slot long, s string, rank long")
-    # the cumulative weights: a row for each source, looked up by binary search through the buckets of the unit interval
-    cells = 4096
+    edges = materialize(edges, "mix-edges")
+    # the cumulative weights: a row for each source, met through the buckets of the unit interval
+    cells, whole = 4096, F.lit(float(total))
     i = spark.range(total).withColumnRenamed("id", "slot")
     x = (F.col("slot") + 1) * F.lit(GOLDEN)
-    i = i.withColumn("x", ((x - F.floor(x)) * F.lit(float(total)))).withColumn("cell", F.floor(F.col("x") * F.lit(cells) / F.lit(float(total))))
-    spans = edges.withColumn("from", F.col("upto") - F.col("need")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * F.lit(cells) / F.lit(float(total))), F.floor(F.col("upto") * F.lit(cells) / F.lit(float(total))))))
-    i = i.join(F.broadcast(spans) if len(cum) <= 100_000 else spans, "cell").filter("x >= from AND x < upto").select("slot", "s", "need")
+    i = i.withColumn("x", (x - F.floor(x)) * whole).withColumn("cell", F.floor(F.col("x") * F.lit(cells) / whole))
+    spans = edges.withColumn("from", F.col("upto") - F.col("need")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * F.lit(cells) / whole), F.floor(F.col("upto") * F.lit(cells) / whole))))
+    i = i.join(if_small(spans, 96), "cell").filter("x >= from AND x < upto").select("slot", "s", "need")
     i = i.withColumn("b", F.floor(F.col("slot") * F.lit(bucket_count(total)) / F.lit(total)).cast("long"))
     ranked = running_total(i, ["s"], "b", [F.col("slot")], F.lit(1), "rank").filter("rank < need").select("slot", "s", "rank")
     got = ranked.groupBy("s").agg(F.count("*").alias("got"))
@@ -94,18 +98,16 @@ def schedule(spark: SparkSession, sources: DataFrame) -> DataFrame:
 
 
 def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """``sized`` (doc_id, source, size, tie) with source_size, target and taken.
+    """``sized`` (doc_id, source, size, tie) with source_size, target, taken and slot.
 
     ``tie`` tells rows with one doc_id apart (a text checksum).
     """
     spark = sized.sparkSession
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = materialize(plan_sources(targets(sizes), block), "mix-sources")
-    few = sources.count() <= 100_000
-    visits = schedule(spark, sources)
+    visits = materialize(schedule(spark, sources), "mix-schedule")
     key = F.coalesce(F.col("source"), F.lit(NULL_SOURCE))
-    plan = sources.withColumn("s", key)
-    plan_side = F.broadcast(plan) if few else plan
+    plan_side = if_small(sources.withColumn("s", key), 128)
     # words that the slots take of each block: whole visits and the cut last slot
     seen = visits.join(plan_side.select("s", "blocks", "need", "left", "length"), "s")
     block_no = F.when(F.col("blocks") > 0, F.col("rank") % F.col("blocks"))
@@ -125,7 +127,9 @@ def mix(sized: DataFrame, block: int = BLOCK, seed: str = SEED) -> DataFrame:
     inside = lambda upto: F.greatest(F.lit(0), F.least(hi, upto) - F.greatest(lo, at))
     got = got.withColumn("words", F.col("whole") * inside(at + F.col("length")) + F.when(F.col("part").isNotNull(), inside(at + F.col("part"))).otherwise(0))
     got = got.groupBy("row").agg(F.sum("words").cast("long").alias("taken"))
-    return placed.join(got, "row", "left").select("doc_id", "tie", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = placed.join(got, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    out = out.withColumn("rank", F.when(F.col("taken") > 0, first)).join(visits, ["s", "rank"], "left")
+    return out.select("doc_id", "tie", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), "target", "taken", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,27 +162,50 @@ WITH d AS (
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat('mix-1', chr(31), d.doc_id, chr(31), d.size, chr(31), d.tie)), d.doc_id, d.size, d.tie
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source
+), b AS (
+  SELECT source, greatest(1, least(2048, source_size // 64)) AS length, source_size, take FROM s6 WHERE source_size > 0
+), e0 AS (
+  SELECT source, length, (take // source_size) * CAST(ceil(source_size::DOUBLE / length) AS BIGINT) + CAST(ceil((take % source_size)::DOUBLE / length) AS BIGINT) AS need FROM b
+), e AS (
+  SELECT *, sum(need) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(need) OVER () AS total FROM e0 WHERE need > 0
+), g AS (
+  SELECT i, (i + 1) * 0.6180339887498949::DOUBLE AS y FROM (SELECT unnest(range(0, CAST((SELECT max(total) FROM e) AS BIGINT))) AS i)
+), h AS (
+  SELECT e.source, e.need, e.total, e.length, g.i AS slot, row_number() OVER (PARTITION BY e.source ORDER BY g.i) - 1 AS rank
+  FROM g JOIN e ON (g.y - floor(g.y)) * CAST(e.total AS DOUBLE) >= e.upto - e.need AND (g.y - floor(g.y)) * CAST(e.total AS DOUBLE) < e.upto
+), v AS (
+  SELECT source, rank, slot FROM h WHERE rank < need
+  UNION ALL
+  SELECT e.source, r.r, e.total + r.r FROM e LEFT JOIN (SELECT source, count(*) AS n FROM h GROUP BY source) c ON c.source IS NOT DISTINCT FROM e.source,
+    LATERAL (SELECT unnest(range(CAST(least(coalesce(c.n, 0), e.need) AS BIGINT), CAST(e.need AS BIGINT))) AS r) r
+), q AS (
+  SELECT doc_id, size, p.source, p.source_size, target, start // b.length AS first,
+    CAST(CASE WHEN p.source_size = 0 THEN 0 ELSE size * (p.take // p.source_size) + greatest(0, least(start + size, p.take % p.source_size) - start) END AS BIGINT) AS taken
+  FROM p LEFT JOIN b ON b.source IS NOT DISTINCT FROM p.source
 )
-SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(start + size, take % source_size) - start) END AS BIGINT) AS taken
-FROM p
+SELECT q.doc_id, q.size, q.source_size, q.target, q.taken, CAST(v.slot AS BIGINT) AS slot
+FROM q LEFT JOIN v ON v.source IS NOT DISTINCT FROM q.source AND v.rank = q.first AND q.taken > 0
 """
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` repeated or left out as the mixture passes them: a row stands as often as its words were taken, to the nearest whole.
 
-    A row without words (which no mixture counts) stays once.
+    So a document of which a cut takes less than half goes, even where it is its source's only one.
+    A row without words (which no mixture counts) stays once. Rows of equal id and text are one document:
+    one of them stands as often as all were taken. All columns are carried, whatever their names.
     """
-    keyed = docs.withColumn("__tie", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    sized = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), F.col("__tie").alias("tie"))
-    mixed = mix(materialize(sized, "mix-sized"))
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    # equal rows (same id and text) share their copies
-    wanted = mixed.groupBy("doc_id", "tie").agg(F.sum(times).cast("int").alias("times"), F.count("*").alias("rows"))
-    wanted = materialize(wanted, "mix-wanted").filter("times > 0")
-    w = wanted.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__wtie"), "times", "rows")
-    small = wanted.count() <= 1_000_000
-    out = keyed.join(F.broadcast(w) if small else w, (F.col("__tie") == F.col("__wtie")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    share = F.ceil(F.col("times") / F.col("rows")).cast("int")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), share)).alias("__copy")).drop("__copy")
+    names = docs.columns
+    d = numbered(docs)
+    key, source, text = (F.col(f"c{names.index(c)}") for c in (id_col, source_col, text_col))
+    checksum = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    sized = materialize(d.select(key.cast("long").alias("doc_id"), source.alias("source"), count_words(text).alias("size"), checksum.alias("tie")), "mix-sized")
+    mixed = mix(sized)
+    wanted = mixed.groupBy("doc_id", "tie").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"), F.count("*").alias("rows"))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.col("rows")).cast("int")
+    wanted = materialize(wanted.select(F.col("doc_id").alias("i"), F.col("tie").alias("t"), times.alias("times"), "rows").filter("times > 0"), "mix-wanted")
+    out = d.join(if_small(wanted, 96), (checksum == F.col("t")) & key.cast("long").eqNullSafe(F.col("i")))
+    one = out.filter("rows = 1")
+    if not wanted.filter("rows > 1").isEmpty():
+        one = one.unionByName(out.filter("rows > 1").dropDuplicates(["i", "t"]))
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*d.columns).toDF(*names)

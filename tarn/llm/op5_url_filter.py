@@ -9,13 +9,16 @@ under one of its tokens; a URL looks up its own tokens, and the best rule all of
 whose tokens it has (confidence, then support, then text order) gives the verdict
 of URLs that no hand-written rule decides. No rule: ``allow``.
 
-The index is bounded whatever the table's size: a combination of ``a`` tokens
-needs ``min_support`` of all transactions, so there are at most
-mean(C(tokens, <= MOST_TOKENS)) / min_support of them. Matching is row by row.
+Whole paths are tokenised and rules have any length. The number of rules depends on
+``min_support`` and the URLs' tokens, not on the number of rows: a combination needs
+its support of all transactions. While the index is short (``INDEX_RULES``) it is
+part of the expression; a longer one is a table, joined on the token.
 
 Defined results: a null URL or one without "://" has an empty host and path, no
-rule and the verdict ``allow``; repeated rows are judged one by one; extra
-columns are carried by :func:`judge`; an empty table mines no rules.
+rule and the verdict ``allow``; ties between mined rules go by text order, then
+verdict; repeated rows are judged one by one; very long URLs are read whole; an
+empty table, or one without a listed URL, mines no rules. Extra columns are
+carried by :func:`judge`; one with the name of a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table
+from .common import ascii_lower, materialize, numbered, table
 
 # (verdict, rule): a rule's host is what stands before its first "/"
 LIST = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.6
-MOST_TOKENS = 3
+INDEX_RULES = 5_000
 LABELS = ("@allow", "@block")
 
 
@@ -56,13 +59,13 @@ def listed(host: Column, path: Column, rules=LIST) -> Column:
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct features: each label of the host, the first two path segments with digits folded, the path's depth and ending."""
+    """Distinct features: each label of the host, each path segment with its place and its digits folded, the path's depth and ending."""
     segments = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "9"), "/"), lambda s: s != "")
     return F.array_distinct(
         F.concat(
             F.transform(F.filter(F.split(host, r"\."), lambda s: s != ""), lambda s: F.concat(F.lit("h:"), s)),
-            F.transform(F.slice(segments, 1, 2), lambda s, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), s)),
-            F.array(F.concat(F.lit("n:"), F.least(F.size(segments), F.lit(4)).cast("string")), F.concat(F.lit("e:"), F.when(path.endswith("/"), "/").otherwise(F.regexp_extract(path, r"\.([a-z]{1,8})$", 1)))),
+            F.transform(segments, lambda s, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), s)),
+            F.array(F.concat(F.lit("n:"), F.size(segments).cast("string")), F.concat(F.lit("e:"), F.when(path.endswith("/"), "/").otherwise(F.regexp_extract(path, r"\.([^./]+)$", 1)))),
         )
     )
 
@@ -72,7 +75,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     t = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("@"), F.col("verdict")))).alias("items"))
     t = t.repartition(max(1, t.sparkSession.sparkContext.defaultParallelism))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=t.rdd.getNumPartitions()).fit(t)
-    r = model.associationRules.filter(F.col("consequent")[0].isin(*LABELS) & (F.size("antecedent") <= MOST_TOKENS) & ~F.arrays_overlap("antecedent", F.array(*map(F.lit, LABELS))))
+    r = model.associationRules.filter(F.col("consequent")[0].isin(*LABELS) & ~F.arrays_overlap("antecedent", F.array(*map(F.lit, LABELS))))
     r = r.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"))
     r = materialize(r, "url-rules")
     part = r.select(F.explode("antecedent").alias("t"), "antecedent", "verdict", "confidence")
@@ -81,10 +84,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return r.join(implied, ["antecedent", "verdict"], "left_anti")
 
 
-def index_of(rules: DataFrame) -> str:
-    """JSON of the inverted index {token: [rule, ...]}: a rule stands under its first token. Bounded, see above."""
+def index_of(rules: list) -> str:
+    """JSON of the inverted index {token: [rule, ...]}: a rule stands under its first token."""
     by: dict[str, list[dict]] = {}
-    for r in rules.collect():
+    for r in rules:
         by.setdefault(r["antecedent"][0], []).append({"need": list(r["antecedent"]), "verdict": r["verdict"], "confidence": r["confidence"], "support": r["support"]})
     return json.dumps({k: by[k] for k in sorted(by)})
 
@@ -100,16 +103,34 @@ def best_rule(tokens: str, index: str) -> Column:
         r -> struct(r.confidence, r.support, array_join(r.need, ' ') AS rule_text, r.verdict)))""")
 
 
+def with_best(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` (tokens, open) with ``best`` as of :func:`best_rule` where open, else null."""
+    head = rules.limit(INDEX_RULES + 1).collect()
+    if len(head) <= INDEX_RULES:
+        return urls.withColumn("best", F.when(F.col("open"), best_rule("tokens", index_of(head))))
+    # distinct token lists look the index up, a row for each token and rule filed under it
+    lists = urls.filter("open").select("tokens").distinct()
+    filed = rules.select(F.element_at("antecedent", 1).alias("t"), "antecedent", "verdict", "confidence", "support")
+    hits = lists.withColumn("t", F.explode("tokens")).join(filed, "t").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    best = hits.groupBy(F.col("tokens").alias("__of")).agg(F.max(F.struct("confidence", "support", F.array_join("antecedent", " ").alias("rule_text"), "verdict")).alias("best"))
+    return urls.join(best, F.col("open") & (F.col("tokens") == F.col("__of")), "left").drop("__of")
+
+
 def judge(pages: DataFrame, url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``pages`` with host, path, rule, verdict and the mined rule (``mined_rule``, ``mined_confidence``)."""
-    p = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    p = p.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
-    p = p.withColumns({"__list": listed(F.col("host"), F.col("path")), "__tokens": tokens_of(F.col("host"), F.col("path"))})
-    labelled = p.filter(F.col("__list").isNotNull()).select(F.col("__tokens").alias("tokens"), F.col("__list.verdict").alias("verdict"))
-    index = index_of(mine(labelled, min_support, min_confidence)) if not labelled.isEmpty() else "{}"
-    p = p.withColumn("__best", F.when(F.col("__list").isNull() & (F.col("host") != ""), best_rule("__tokens", index)))
-    p = p.withColumns({"rule": F.col("__list.rule"), "verdict": F.coalesce(F.col("__list.verdict"), F.col("__best.verdict"), F.lit("allow")), "mined_rule": F.col("__best.rule_text"), "mined_confidence": F.col("__best.confidence")})
-    return p.drop("__list", "__tokens", "__best")
+    names = pages.columns
+    p = numbered(pages)
+    url = F.col(f"c{names.index(url_col)}")
+    p = p.withColumns({"host": F.coalesce(host_of(url), F.lit("")), "path": F.coalesce(path_of(url), F.lit(""))})
+    p = p.withColumns({"list": listed(F.col("host"), F.col("path")), "tokens": tokens_of(F.col("host"), F.col("path"))})
+    labelled = p.filter(F.col("list").isNotNull()).select("tokens", F.col("list.verdict").alias("verdict"))
+    p = p.withColumn("open", F.col("list").isNull() & (F.col("host") != ""))
+    if labelled.isEmpty():
+        p = p.withColumn("best", F.lit(None).cast("struct<confidence:double,support:double,rule_text:string,verdict:string>"))
+    else:
+        p = with_best(p, mine(labelled, min_support, min_confidence))
+    result = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("list.rule"), "verdict": F.coalesce("list.verdict", "best.verdict", F.lit("allow")), "mined_rule": F.col("best.rule_text"), "mined_confidence": F.col("best.confidence")}
+    return p.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in result], *[v.alias(k) for k, v in result.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,13 +153,13 @@ WITH u AS (
   SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS listed,
     list_sort(list_distinct(list_concat(list_concat(
       list_transform(list_filter(string_split(host, '.'), lambda s: s <> ''), lambda s: 'h:' || s),
-      list_transform(range(0, CAST(least(2, len(seg)) AS BIGINT)), lambda i: 'p' || i || ':' || seg[i + 1])),
-      ['n:' || least(len(seg), 4), 'e:' || CASE WHEN ends_with(path, '/') THEN '/' ELSE regexp_extract(path, '\.([a-z]{1,8})$', 1) END]))) AS tok FROM r
+      list_transform(range(0, CAST(len(seg) AS BIGINT)), lambda i: 'p' || i || ':' || seg[i + 1])),
+      ['n:' || len(seg), 'e:' || CASE WHEN ends_with(path, '/') THEN '/' ELSE regexp_extract(path, '\.([^./]+)$', 1) END]))) AS tok FROM r
 ), t AS (SELECT page_id, listed, unnest(tok) AS t FROM k
 ), combos AS (
-  SELECT page_id, listed, [t] AS c FROM t
-  UNION ALL SELECT a.page_id, a.listed, [a.t, b.t] FROM t a JOIN t b ON a.page_id = b.page_id AND a.t < b.t
-  UNION ALL SELECT a.page_id, a.listed, [a.t, b.t, x.t] FROM t a JOIN t b ON a.page_id = b.page_id AND a.t < b.t JOIN t x ON x.page_id = a.page_id AND b.t < x.t
+  WITH RECURSIVE c(page_id, listed, c, last) AS (
+    SELECT page_id, listed, [t], t FROM t UNION ALL SELECT c.page_id, c.listed, list_append(c.c, t.t), t.t FROM c JOIN t ON t.page_id = c.page_id AND t.t > c.last
+  ) SELECT page_id, listed, c FROM c
 ), n AS (SELECT count(*) AS n FROM k WHERE listed IS NOT NULL
 ), f AS (
   SELECT c, v.v AS verdict, count(*) FILTER (WHERE listed = v.v) AS hits, count(*) AS total FROM combos, (VALUES ('allow'), ('block')) v(v) WHERE listed IS NOT NULL GROUP BY c, v.v

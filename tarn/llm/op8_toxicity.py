@@ -10,12 +10,15 @@
 
 Training rows are those whose crc32 of the id's text is not 0 modulo 5. Labels,
 lang, source and ids are never inputs of a score. Scanning is row by row; what is
-sent to executors is the lexicon (``MOST_TERMS`` at most) and a few weights.
+sent to executors is the lexicon and a few weights; the lexicon has at most the
+terms that ``LEAST_TOXIC`` texts of the sample share, whatever the corpus.
 
 Defined results: null and empty texts score as texts without hits; a null id is
 held out by no rule (crc32 of null is null) and reported as not held out; repeated
-rows are scored one by one; without labelled rows of both kinds the lexicon is
-empty and every score is 0; extra columns are kept by :func:`score_texts`.
+rows are scored one by one, and equal texts alike; without labelled rows of both
+kinds the lexicon is empty and every score is 0; ties in the sample's order go by id
+and label; very long texts are scanned whole; an empty table gives no rows. Extra
+columns are kept by :func:`score_texts`; one with the name of its result gives way.
 """
 
 from __future__ import annotations
@@ -30,11 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_key, table
+from .common import materialize, numbered, shuffle_key, table
 from .lexicon import EXACT, FUZZY, STEM, Matcher
 
 SAMPLE = 12_000
-MOST_TERMS = 400
 LEAST_TOXIC = 6  # toxic sample texts that a term must be in
 PRECISION = 0.95
 STEM_FROM, STEM_TO = 4, 8
@@ -77,8 +79,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     t = sample.mapInArrow(_count_terms, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rate = F.col("toxic") / F.lit(n[1])
     precise = rate / (rate + (F.col("clean") + 0.5) / F.lit(n[0]))
-    t = t.filter((F.col("toxic") >= LEAST_TOXIC) & (precise >= PRECISION)).orderBy(F.col("toxic").desc(), "stem", "term").limit(40 * MOST_TERMS)
-    rows = t.collect()
+    t = t.filter((F.col("toxic") >= LEAST_TOXIC) & (precise >= PRECISION))
+    rows = sorted(t.collect(), key=lambda r: (-r["toxic"], r["stem"], r["term"]))  # a part of the sample's words
     words = {r["term"]: r["toxic"] for r in rows if not r["stem"]}
     stems: list[str] = []
     covered: set[str] = set()
@@ -94,8 +96,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
             continue
         stems.append(s)
         covered.update(below)
-    plain = sorted((w for w in words if w not in covered and len(w) > 2), key=lambda w: (-words[w], w))
-    return plain[: MOST_TERMS - min(len(stems), MOST_TERMS // 2)], stems[: MOST_TERMS // 2]
+    return sorted((w for w in words if w not in covered and len(w) > 2), key=lambda w: (-words[w], w)), stems
 
 
 @lru_cache(maxsize=4)
@@ -181,6 +182,13 @@ def score_texts(docs: DataFrame, model: dict, text_col: str = "text", out: str =
     return docs.withColumn(out, score(F.col(text_col)))
 
 
+def clean(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below one half, with all their columns, whatever their names."""
+    d = numbered(docs)
+    scored = score_texts(d, model, f"c{docs.columns.index(text_col)}", out="score")
+    return scored.filter("score < 0.5").drop("score").toDF(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = score_texts(docs, fit(docs, labels))

@@ -9,7 +9,10 @@ cost nothing extra.
 
 Defined results: null and empty texts have no words and no detections (first
 and last null, labels empty, score 0); detections of one rule at one place
-count once; extra columns are ignored by the query and kept by :func:`scan`.
+count once, and of equal rank none suppresses another; very long texts are read
+whole; repeated rows are scanned one by one; an empty table gives no rows. Extra
+columns are ignored by the query and kept by :func:`scan`; one with the name of a
+result column gives way to it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, numbered, table
 from .license_rules import WINDOW, joined, rules
 
 DETECTION = "array<struct<start:int,stop:int,rank:int,label:string,confidence:double,base:boolean>>"
@@ -68,10 +71,12 @@ def survivors(found: str) -> Column:
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``found`` (all detections in text order) and ``spans`` (those that survive)."""
-    d = docs.withColumn("__words", words_of(F.col(text_col)))
-    n = F.when(F.col("__words") == "", 0).otherwise(F.length("__words") - F.length(F.translate("__words", " ", "")) + 1)
-    d = d.withColumn("n_words", n.cast("long")).withColumn("found", detections("__words")).drop("__words")
-    return d.withColumn("spans", survivors("found"))
+    names, d = docs.columns, numbered(docs)
+    d = d.withColumn("words", words_of(F.col(f"c{names.index(text_col)}")))
+    n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.translate("words", " ", "")) + 1)
+    d = d.withColumn("n_words", n.cast("long")).withColumn("found", detections("words")).withColumn("spans", survivors("found"))
+    result = ("n_words", "found", "spans")
+    return d.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in result], *result)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ about ``BATCH`` bytes of payload at a time; a longer text is coded by itself, in
 slices of frames.
 
 Defined results: null and empty texts become 64 zero bytes; equal texts give
-equal values; repeated rows are handled one by one; extra columns are kept by
-:func:`store` and dropped by the query; a damaged stream raises ``FlacError``.
+equal values; repeated rows are handled one by one; an empty table gives no rows;
+extra columns are kept by :func:`store` (one with the name of its result gives way)
+and dropped by the query; a damaged stream raises ``FlacError``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flac
-from .common import table
+from .common import numbered, table
 
 UNIT = 64
 BATCH = 2_000_000
@@ -62,20 +63,19 @@ def _bytes(column: pa.Array, a: int, b: int) -> list[bytes]:
 
 def store(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """``docs`` with the FLAC stream of each text's payload."""
-    kept = [f for f in docs.schema.fields if f.name != media_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{media_col}` binary"
-    names = [f.name for f in kept]
+    own = [(i, f) for i, f in enumerate(docs.schema.fields) if f.name != media_col]
+    names = [f"c{i}" for i, _ in own]
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in own) + ", media binary"
 
     def code(batches):
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("__bytes"))
+            text = batch.column(batch.num_columns - 1)
             sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in text]
             done = [flac.encode([payload(t) for t in _bytes(text, a, b)]) for a, b in slices(sizes)]
-            rest = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([s for part in done for s in part], pa.binary())], [*names, media_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([s for part in done for s in part], pa.binary())], [*names, "media"])
 
-    source = docs.select(*[F.col(f"`{n}`") for n in names], F.col(text_col).cast("binary").alias("__bytes"))
-    return source.mapInArrow(code, schema)
+    text = F.col(f"c{docs.columns.index(text_col)}").cast("binary").alias("bytes")
+    return numbered(docs).select(*names, text).mapInArrow(code, schema.removeprefix(", ")).toDF(*[f.name for _, f in own], media_col)
 
 
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

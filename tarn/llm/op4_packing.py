@@ -11,8 +11,8 @@ prefix sums, so a length that a third of all pieces share is spread over tasks.
 
 Defined results: a null or empty text is the end token alone (one piece of
 length 1); repeated rows are packed one by one; ties between equal pieces are
-broken by a seeded hash of id, piece and checksum; extra columns are dropped; an
-empty table gives no rows.
+broken by a seeded hash of id, piece and checksum; very long texts are tokenised
+whole; extra columns, whatever their names, are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ Both ranks are exact and distributed: rows fall into narrow buckets of the
 order, bucket sums give offsets, and only a bucket's rows are sorted together,
 so a source with a third of all rows is spread over many tasks. Texts are never
 shuffled. Defined results: null text has size 1 and the checksum of the empty
-string; null is a source of its own; repeated rows are placed one by one; an
-empty table gives no rows.
+string; null is a source of its own; ties of the random order go by its columns, and
+rows equal in all of them are placed one by one in any order; very long texts only
+count by their size; an empty table gives no rows. Extra columns of
+:func:`shard_rows` are carried; one with the name of a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, materialize, running_total, shuffle_key, table, unit_bucket
+from .common import bucket_count, materialize, numbered, running_total, shuffle_key, table, unit_bucket
 
 SEED = "shard-1"
 
@@ -46,10 +48,11 @@ def cut(place: Column, n_rows: int, shards: int) -> tuple[Column, Column]:
 
 def shard_rows(rows: DataFrame, strata: str = "source", tie: list[str] | None = None, shards: int = 8, seed: str = SEED) -> DataFrame:
     """``rows`` with ``shard`` and ``slot``. Pass narrow rows: every column travels through the shuffles."""
-    n = rows.count()
-    placed = interleave(rows, n, strata, seed, tie or [c for c in rows.columns if c != strata])
+    n, names, d = rows.count(), rows.columns, numbered(rows)
+    new = dict(zip(names, d.columns))
+    placed = interleave(d, n, new[strata], seed, [new[c] for c in tie or names if c != strata])
     shard, slot = cut(F.col("place"), n, shards)
-    return placed.withColumns({"shard": shard, "slot": slot}).drop("place")
+    return placed.select(*[F.col(new[c]).alias(c) for c in names if c not in ("shard", "slot")], shard.alias("shard"), slot.alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

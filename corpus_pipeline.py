@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and reread as the next stage's docs. All but the last return the
 columns of ``documents``.
+
+Defined results, in every stage: a null text counts as empty; very long texts are
+read whole; of equal rows the dedup stages leave one, the others keep each; ties go
+by doc_id, then by a hash of the text; a null doc_id loses against a number; extra
+columns are carried, whatever their names, up to the last stage; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half stay."""
     model = op8_toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return op8_toxicity.score_texts(docs, model, out="__score").filter("__score < 0.5").drop("__score")
+    return op8_toxicity.clean(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("best_fit_packing", best_fit_packing)]
 
-# toxicity and packing are models and tokenizers that SQL can't express; the stages are tested against brute force
+# toxicity and packing are models and tokenizers that SQL can't express; tests hold each stage against brute force
 ORACLE_SQL = None
 
 

@@ -30,15 +30,32 @@ def tile(key: Column) -> Column:
     return F.when(valid(key), F.struct(fold(lambda d: d % 2).alias("x"), fold(lambda d: F.floor(d / 2)).alias("y"), F.length(key).alias("z")))
 
 
-def children(keys: DataFrame, zoom: int, key_col: str = "quadkey") -> DataFrame:
-    """All descendants at ``zoom`` of keys no deeper than it, a key at ``zoom`` being its own."""
+def fault(key: Column) -> Column:
+    """Why a text is no key: empty, longer than allowed, or its first bad digit and place; null for a key."""
+    bad = F.regexp_instr(key, F.lit("[^0-3]"))
+    digit = F.concat(F.lit("bad digit "), F.substring(key, bad, F.lit(1)), F.lit(" at "), (bad - 1).cast("string"))
+    return F.when(F.coalesce(F.length(key), F.lit(0)) == 0, "empty").when(F.length(key) > MOST, F.concat(F.lit("length "), F.length(key).cast("string"), F.lit(f" over {MOST}"))).when(bad > 0, digit)
+
+
+def children(keys: DataFrame, zoom: int, key_col: str = "quadkey", strict: bool = False) -> DataFrame:
+    """All descendants at ``zoom`` of keys no deeper than it, a key at ``zoom`` being its own; deeper keys and texts that are no keys
+    give none, or with ``strict`` an error when they are met."""
     k = F.lit(zoom) - F.length(key_col)
-    rows = keys.filter(valid(F.col(key_col)) & (F.length(key_col) <= zoom))
+    fits = valid(F.col(key_col)) & (F.length(key_col) <= zoom)
+    if strict:
+        fits = F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit("no key at or above zoom "), F.lit(str(zoom)), F.lit(": "), F.coalesce(F.col(key_col), F.lit("null")))).cast("boolean"))
+    rows = keys.filter(fits)
     n = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(4), k).cast("long") - 1))
     rows = rows.withColumn("__i", n)
     return rows.withColumn("child", F.concat(F.col(key_col), F.when(k > 0, F.lpad(F.conv(F.col("__i").cast("string"), 10, 4), k, "0")).otherwise(""))).drop("__i")
 
 
+def counters(tiles: DataFrame, wet: DataFrame) -> DataFrame:
+    """Tiles in all, those that a polygon meets (tile in ``wet``) and the dry ones."""
+    j = tiles.select("tile").join(wet.select("tile").distinct().withColumn("wet", F.lit(True)), "tile", "left")
+    return j.agg(F.count("*").alias("total"), F.count("wet").alias("water"), F.count_if(F.col("wet").isNull()).alias("dry"))
+
+
 def plan(spark, width: int, height: int, size: int = 8192, pad: int = 64) -> DataFrame:
     """Tiles (tile, col0, row0, w, h) and their padded windows (pc0, pr0, pw, ph) of a raster."""
     across = -(-width // size)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+
 ID_BASE = 30_000_000
 PRIORITY = ("sea", "lake", "glacier", "reservoir", "dock", "river", "stream")
 LEAST_LENGTH, LEAST_SHARE = 20.0, 0.2
@@ -17,27 +19,28 @@ def normalize_id(x: Column) -> Column:
 
 def missing_ids(features: DataFrame, idx: str = "idx") -> DataFrame:
     """Ids for a table without any: the base and the row's ordinal."""
-    return features.withColumn("featureid", (F.lit(ID_BASE) + F.row_number().over(Window.orderBy(idx)) - 1).cast("string"))
+    return order.numbered(features, idx, "__n").withColumn("featureid", (F.lit(ID_BASE - 1) + F.col("__n")).cast("string")).drop("__n")
 
 
 def repair_ids(features: DataFrame, idx: str = "idx", fid: str = "fid") -> DataFrame:
-    """``features`` with ``featureid``: the first row of an id keeps it; the others take, in row order, the next unused numbers from the base.
+    """``features`` with ``featureid``: the first row of an id keeps it; the others take, in row order, the next numbers from the base whose text is no row's id.
 
-    Ranks of the rows to mend come from range-partitioned offsets; the used ids at or above the base are joined, not collected.
+    Ids are compared as text, so "030000000" does not use up 30000000. Positions come from bucketed sums (:mod:`.order`);
+    the used ids at or above the base are joined, not collected.
     """
     f = features.withColumn("__id", normalize_id(F.col(fid)))
-    first = F.row_number().over(Window.partitionBy("__id").orderBy(idx)) == 1
-    f = f.withColumn("__keep", F.col("__id").isNotNull() & first)
-    mend = f.filter(~F.col("__keep")).select(idx)
-    k = mend.withColumn("__k", F.row_number().over(Window.orderBy(idx)))
-    used = f.filter("__keep").select(F.expr("try_cast(__id AS bigint)").alias("u")).filter((F.col("u") >= ID_BASE) & F.col("u").isNotNull()).distinct()
+    least = f.filter("__id IS NOT NULL").groupBy("__id").agg(F.min(idx).alias("__first"))
+    f = f.join(least, "__id", "left").withColumn("__keep", F.coalesce(F.col("__first") == F.col(idx), F.lit(False)))
+    k = order.numbered(f.filter(~F.col("__keep")).select(idx), idx, "at").withColumn("n", F.lit(0).cast("long"))
+    number = F.expr("try_cast(__id AS bigint)")
+    used = least.select(number.alias("u"), "__id").filter((F.col("u") >= ID_BASE) & (F.col("u").cast("string") == F.col("__id"))).select("u")
     # the k-th unused number is base + k - 1 + (used numbers before it): used number u_i shifts those from rank u_i - base - i + 1 on
-    shift = used.withColumn("at", F.col("u") - ID_BASE - F.row_number().over(Window.orderBy("u")) + 2).groupBy("at").agg(F.count("*").alias("n"))
-    marks = k.select(F.col("__k").cast("long").alias("at"), idx, F.lit(0).cast("long").alias("n")).unionByName(shift.select("at", F.lit(None).cast(features.schema[idx].dataType).alias(idx), "n"))
-    w = Window.orderBy(F.col("at"), F.col(idx).isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    new = marks.withColumn("s", F.sum("n").over(w)).filter(F.col(idx).isNotNull()).select(idx, (F.col("at") + ID_BASE - 1 + F.col("s")).cast("string").alias("__new"))
-    out = f.join(new, idx, "left").withColumn("featureid", F.coalesce("__new", "__id"))
-    return out.drop("__id", "__keep", "__new")
+    used = order.numbered(used, "u", "__i")
+    shift = used.groupBy((F.col("u") - ID_BASE - F.col("__i") + 2).alias("at")).agg(F.count("*").alias("n"))
+    marks = k.select("at", idx, "n").unionByName(shift.select("at", F.lit(None).cast(features.schema[idx].dataType).alias(idx), "n"))
+    new = order.running(marks, "at", [F.col(idx).isNotNull()], F.col("n"), "s").filter(F.col(idx).isNotNull())
+    out = f.join(new.select(idx, (F.col("at") + ID_BASE - 1 + F.col("s")).cast("string").alias("__new")), idx, "left")
+    return out.withColumn("featureid", F.coalesce("__new", "__id")).drop("__id", "__first", "__keep", "__new")
 
 
 def measures(rings: DataFrame) -> DataFrame:

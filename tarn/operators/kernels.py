@@ -137,21 +137,45 @@ def multi_peak(z: np.ndarray, least: float = 5.0, share: float = 0.05) -> np.nda
     return out
 
 
+def nearest_clear(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, row, column) of the nearest unset cell of each cell, ties by row, then column; inf and -1 where all are set.
+
+    Each column's nearest unset row by running extremes, then columns at growing offsets,
+    as long as a closer one is possible.
+    """
+    h, w = mask.shape
+    r = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(mask, -1, r), axis=0)
+    below = np.minimum.accumulate(np.where(mask, 2 * h + w, r)[::-1], axis=0)[::-1]
+    up = (above >= 0) & ((r - above <= below - r) | (below >= h))
+    row = np.where(up, above, below)
+    some = row < h
+    far = np.int64(1) << 32
+    # one number for (squared distance, row, column): its least is the answer
+    own = np.where(some, ((r - row) ** 2) * (h * w), far * (h * w)) + np.where(some, row, 0) * w
+    best = own + np.arange(w)
+    if not some.any():
+        return np.full(mask.shape, np.inf), np.full(mask.shape, -1), np.full(mask.shape, -1)
+    k = 1
+    while k < w and k * k * (h * w) <= best.max():
+        step = np.int64(k * k) * (h * w)
+        np.minimum(best[:, k:], own[:, :-k] + np.arange(w - k) + step, out=best[:, k:])
+        np.minimum(best[:, :-k], own[:, k:] + np.arange(k, w) + step, out=best[:, :-k])
+        k += 1
+    return np.sqrt((best // (h * w)).astype(float)), best % (h * w) // w, best % w
+
+
 def edt(mask: np.ndarray) -> np.ndarray:
     """Distance of set cells to the nearest unset one; inf where there is none."""
-    h, w = mask.shape
-    big = np.float64(1e18)
-    g = np.where(mask, big, 0.0)
-    run = np.full(w, big)
-    for order in (range(h), range(h - 1, -1, -1)):
-        run = np.full(w, big)
-        for r in order:
-            run = np.where(mask[r], run + 1, 0.0)
-            g[r] = np.minimum(g[r], run)
-    c = np.arange(w)
-    gap = (c[:, None] - c[None, :]).astype(np.float64) ** 2
-    g2 = np.where(g >= 1e17, np.inf, g * g)
-    return np.sqrt(np.stack([(gap + g2[r][None, :]).min(1) for r in range(h)]))
+    return nearest_clear(mask)[0]
+
+
+def dilate(mask: np.ndarray, n: int) -> np.ndarray:
+    """Cross dilation, n times: the L1 ball."""
+    for _ in range(n):
+        p = np.pad(mask, 1)
+        mask = mask | p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]
+    return mask
 
 
 def erode(mask: np.ndarray) -> np.ndarray:
@@ -268,11 +292,25 @@ def tangents(stations: np.ndarray, context: int = 3) -> np.ndarray:
 
 
 def junctions(stations: np.ndarray, tangent: np.ndarray, radius: float = 4.0, cosine: float = 0.5) -> np.ndarray:
-    """Stations with another one in reach whose direction differs."""
+    """Stations with another one in reach whose direction differs. Stations are filed by cells of the radius: only neighbours meet."""
+    out = np.zeros(len(stations), bool)
     if not len(stations):
-        return np.zeros(0, bool)
-    d2 = ((stations[:, None] - stations[None]) ** 2).sum(2)
-    return ((d2 <= radius * radius) & (d2 > 0) & (np.abs(tangent @ tangent.T) < cosine)).any(1)
+        return out
+    cell = np.floor(stations / radius).astype(np.int64)
+    cell -= cell.min(0) - 1
+    wide = cell[:, 1].max() + 3
+    key = cell[:, 0] * wide + cell[:, 1]
+    by = np.argsort(key, kind="stable")
+    filed = key[by]
+    for dr in (-1, 0, 1):
+        for dc in (-1, 0, 1):
+            a, b = (np.searchsorted(filed, key + dr * wide + dc, side=s) for s in ("left", "right"))
+            i = np.repeat(np.arange(len(key)), b - a)
+            j = by[np.arange(len(i)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[i]]
+            d2 = ((stations[i] - stations[j]) ** 2).sum(1)
+            hit = (d2 <= radius * radius) & (d2 > 0) & (np.abs((tangent[i] * tangent[j]).sum(1)) < cosine)
+            out[i[hit]] = True
+    return out
 
 
 def cross_sections(stations, tangent, half_width, bank, dem, most: int = 500) -> np.ndarray:
@@ -297,6 +335,33 @@ def cross_sections(stations, tangent, half_width, bank, dem, most: int = 500) ->
     return out
 
 
+def ray_to_contour(dem: np.ndarray, r: float, c: float, dr: float, dc: float, level: float, above: float = 0.0, most: int = 500, step: float = 0.5) -> tuple[int, int, float] | None:
+    """(row, column, height) of the first cell of a ray that stands over ``level`` + ``above``; cells without a value are passed, the edge ends it."""
+    h, w = dem.shape
+    for k in range(1, int(most / step) + 1):
+        y, x = int(np.rint(r + dr * k * step)), int(np.rint(c + dc * k * step))
+        if not (0 <= y < h and 0 <= x < w):
+            return None
+        if np.isfinite(dem[y, x]) and dem[y, x] > level + above:
+            return y, x, float(dem[y, x])
+    return None
+
+
+def gaussian_f32(data: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable smoothing, reflected, with float32 rounding after each axis."""
+    if sigma <= 0:
+        return data.astype(float)
+    n = int(4 * sigma + 0.5)
+    k = np.arange(-n, n + 1)
+    kern = np.exp(-0.5 * (k / sigma) ** 2)
+    kern /= kern.sum()
+    x = data.astype(np.float32)
+    for axis in (0, 1):
+        size = x.shape[axis]
+        x = sum(kern[i] * np.take(x, reflect(np.arange(size) + k[i], size), axis).astype(float) for i in range(len(k))).astype(np.float32)
+    return x.astype(float)
+
+
 def _fill(v: np.ndarray) -> np.ndarray:
     for _ in range(2):
         ok = np.isfinite(v)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import raster
+from . import order, raster
 
 ROUNDS, SAME = 5, 1e-6
 
@@ -33,6 +33,12 @@ def levels(mask: DataFrame, dem: DataFrame, group: DataFrame | None = None) -> D
     return out.withColumns({"z": F.coalesce("ring_z", "inside_z"), "source": F.when(F.col("ring_z").isNotNull(), "ring").when(F.col("inside_z").isNotNull(), "interior").otherwise("none")})
 
 
+def component_groups(polys: DataFrame) -> DataFrame:
+    """(poly, grp) of (poly, component): those of a component share it; one without is a group of its own, numbered -1, -2, ... in the order of polygons."""
+    alone = order.numbered(polys.filter("component IS NULL").select("poly"), "poly", "k").select("poly", (-F.col("k")).cast("long").alias("grp"))
+    return polys.filter("component IS NOT NULL").select("poly", F.col("component").cast("long").alias("grp")).unionByName(alone)
+
+
 def flatten(mask: DataFrame, level: DataFrame) -> DataFrame:
     """(r, c, z): each cell at the level of its last polygon that has one."""
     return mask.join(level.filter("z IS NOT NULL").select("poly", F.col("z").cast("float").alias("z")), "poly").groupBy("r", "c").agg(F.max_by("z", "poly").alias("z"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import crs
+from . import blocks
+
 
 def rasterize(rings: DataFrame, h: int, w: int, transform: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> DataFrame:
     """(poly, r, c) of pixel centres inside by the even-odd rule. ``rings``: (poly, ring array<struct<x,y>>, closed), one row per ring.
@@ -60,49 +61,81 @@ def reflect(i: Column, n: int) -> Column:
     return F.when(m >= n, 2 * n - 1 - m).otherwise(m)
 
 
-def _spread(dem: DataFrame, axis: str, n: int, lo: int, hi: int, other: list[str]) -> DataFrame:
-    """Each cell under every target whose reflected window holds it: (other, target, k, z); k is the offset, a cell may come twice."""
-    # targets t and offsets k with reflect(t + k) = i: t = i - k, or mirrored -1 - i - k and 2n - 1 - i - k
-    t = F.explode(F.filter(F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.array(*[F.struct(x.alias("t"), k.alias("k")) for x in (F.col(axis) - k, -1 - F.col(axis) - k, 2 * n - 1 - F.col(axis) - k)]))), lambda s: s["t"].between(0, n - 1)))
-    return dem.select(*other, "z", t.alias("s")).select(*other, F.col("s.t").alias(axis), F.col("s.k").alias("k"), "z")
+rank_filter, gaussian = blocks.rank_filter, blocks.gaussian
+
+
+def closing(mask: DataFrame, n: int, h: int, w: int) -> DataFrame:
+    """Dilation by n, then erosion by n; beyond the grid counts as false."""
+    return erode(dilate(mask, n, h, w), n)
+
+
+def rasterize_touched(rings: DataFrame, h: int, w: int, transform: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> DataFrame:
+    """(poly, r, c) of cells whose centre lies inside or that an edge passes through. ``rings`` as for :func:`rasterize`."""
+    a, _, c0, _, e, f0 = transform
+    v = F.transform("ring", lambda p: F.struct(((p["x"] - F.lit(c0)) / F.lit(a)).alias("x"), ((p["y"] - F.lit(f0)) / F.lit(e)).alias("y")))
+    edges = rings.select("poly", v.alias("v")).select("poly", F.explode(F.arrays_zip(F.slice("v", 1, F.size("v") - 1).alias("a"), F.slice("v", 2, F.size("v") - 1).alias("b"))).alias("e"))
+    edges = edges.select("poly", F.col("e.a.x").alias("xa"), F.col("e.a.y").alias("ya"), F.col("e.b.x").alias("xb"), F.col("e.b.y").alias("yb"))
+
+    def run(batches):
+        import pandas as pd
 
+        from tarn.operators.window import walk
 
-def rank_filter(dem: DataFrame, size: int, percentile: float, h: int, w: int) -> DataFrame:
-    """The window's value of rank floor(size^2 p / 100) (p = 100: the largest), windows reflected at the edge."""
-    lo, hi = -(size // 2), size - 1 - size // 2
-    p = percentile + 100 if percentile < 0 else percentile
-    rank = size * size - 1 if p == 100 else int(size * size * p / 100)
-    x = _spread(_spread(dem, "r", h, lo, hi, ["c"]).drop("k"), "c", w, lo, hi, ["r"])
-    return x.groupBy("r", "c").agg(F.element_at(F.array_sort(F.collect_list("z")), rank + 1).alias("z"))
+        for pdf in batches:
+            rows = [(p, r, c) for p, *e in pdf.itertuples(index=False) for r, c in walk(*e, h, w)]
+            yield pd.DataFrame(rows, columns=["poly", "r", "c"]).astype({"poly": "int64", "r": "int32", "c": "int32"})
 
+    return rasterize(rings, h, w, transform).unionByName(edges.mapInPandas(run, "poly long, r int, c int")).distinct()
 
-def gaussian(dem: DataFrame, sigma: float, h: int, w: int) -> DataFrame:
-    """Separable smoothing, rows then columns, radius floor(4 sigma + 0.5), reflected; sigma <= 0 changes nothing."""
-    if sigma <= 0:
-        return dem
-    n = int(4 * sigma + 0.5)
-    kernel = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-n, n + 1)]
-    total = sum(kernel)
-    weight = F.element_at(F.array(*[F.lit(k / total) for k in kernel]), F.col("k") + n + 1)
-    x = _spread(dem, "r", h, -n, n, ["c"]).groupBy("r", "c").agg(F.sum(F.col("z") * weight).alias("z"))
-    return _spread(x, "c", w, -n, n, ["r"]).groupBy("r", "c").agg(F.sum(F.col("z") * weight).alias("z"))
+
+def reproject(cells: DataFrame, source_t: tuple[float, ...], source: int, target_t: tuple[float, ...], width: int, height: int, target: int, method: str = "bilinear") -> DataFrame:
+    """(r, c, z) of the target grid: each of its centres goes back to the source by expressions, and meets its neighbours in a join.
+
+    Bilinear weights go to the neighbours that have a value; a centre none of whose neighbours has one, or outside the source, gives no row.
+    """
+    a, _, c0, _, e, f0 = target_t
+    sa, _, sc, _, se, sf = source_t
+    grid = cells.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("r"), (F.col("id") % width).cast("int").alias("c"))
+    x, y = crs.project_columns((F.col("c") + 0.5) * a + c0, (F.col("r") + 0.5) * e + f0, target, source)
+    grid = grid.select("r", "c", ((x - sc) / sa).alias("x"), ((y - sf) / se).alias("y"))
+    side = cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("z").cast("double").alias("z"))
+    extent = side.agg(F.max("sr"), F.max("sc"))
+    if method == "nearest":
+        return grid.select("r", "c", F.floor("y").alias("sr"), F.floor("x").alias("sc")).join(side, ["sr", "sc"]).select("r", "c", "z")
+    h, w = (extent.first()[i] for i in (0, 1))
+    grid = grid.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < (w or 0) + 1) & (F.col("y") < (h or 0) + 1))
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    q = grid.withColumns({"fx": F.col("x") - 0.5, "fy": F.col("y") - 0.5}).withColumn("o", F.explode(near))
+    q = q.withColumns({"sr": F.floor("fy") + F.col("o.j"), "sc": F.floor("fx") + F.col("o.i")})
+    q = q.withColumn("k", (1 - F.abs(F.col("fx") - F.col("sc"))) * (1 - F.abs(F.col("fy") - F.col("sr"))))
+    s = q.join(side, ["sr", "sc"]).groupBy("r", "c").agg(F.sum(F.col("k") * F.col("z")).alias("t"), F.sum("k").alias("k"))
+    return s.filter("k >= 1e-5").select("r", "c", (F.col("t") / F.col("k")).alias("z"))
 
 
 def edt(mask: DataFrame, h: int, w: int) -> DataFrame:
-    """(poly, r, c, d2): squared distance of mask cells to the nearest cell that isn't set. Null where all cells are set.
+    """(poly, r, c, d2, nr, nc): squared distance of mask cells to the nearest cell of the grid that isn't set, and that cell, ties by row, then column.
 
-    Separable: the nearest unset row of each column, then the best column of each row.
+    Each polygon works in its own box with a margin of one cell, where its nearest clear cell always lies unless the
+    polygon fills the grid there; null where no cell is clear.
     """
-    spark = mask.sparkSession
-    grid = mask.select("poly").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
-    g = grid.join(mask.withColumn("set", F.lit(True)), ["poly", "r", "c"], "left")
-    up = Window.partitionBy("poly", "c").orderBy("r")
-    clear = F.when(F.col("set").isNull(), F.col("r"))
-    g = g.withColumn("a", F.last(clear, True).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(clear, True).over(up.rowsBetween(0, Window.unboundedFollowing)))
-    g = g.withColumn("g", F.least(F.col("r") - F.col("a"), F.col("b") - F.col("r")))
-    rows = g.groupBy("poly", "r").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("row"))  # one raster row
-    near = F.array_min(F.transform(F.filter("row", lambda s: s["g"].isNotNull()), lambda s: (s["c"] - F.col("c")) * (s["c"] - F.col("c")) + s["g"] * s["g"]))
-    return mask.join(rows, ["poly", "r"]).select("poly", "r", "c", near.cast("long").alias("d2"))
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from tarn.operators.kernels import nearest_clear
+
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        r0, c0, r1, c1 = max(0, r.min() - 1), max(0, c.min() - 1), min(h, r.max() + 2), min(w, c.max() + 2)
+        m = np.zeros((r1 - r0, c1 - c0), bool)
+        m[r - r0, c - c0] = True
+        d, nr, nc = (x[r - r0, c - c0] for x in nearest_clear(m))
+        ok = np.isfinite(d)
+        whole = lambda v: pd.array(np.where(ok, v, 0), dtype="Int64").astype("Int64")
+        out = pd.DataFrame({"poly": pdf["poly"], "r": r, "c": c, "d2": whole(np.rint(np.where(ok, d, 0) ** 2).astype("int64")), "nr": whole(nr + r0), "nc": whole(nc + c0)})
+        out.loc[~ok, ["d2", "nr", "nc"]] = pd.NA
+        return out
+
+    return mask.select("poly", "r", "c").groupBy("poly").applyInPandas(run, "poly long, r int, c int, d2 long, nr int, nc int")
 
 
 def bilinear(points: DataFrame, dem: DataFrame, transform: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> DataFrame:

@@ -46,7 +46,7 @@ def tilekeys(spark, d) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), z.alias("z"), (F.col("p_partkey") % n).alias("x"), ((F.col("p_partkey") * 31) % n).alias("y"))
 
 
-RAW = ("River", " 河流 ", "lake （湖泊）", "NONE", "Reservoir", "nan", "海洋", "swamp", "")
+RAW = ("River", " 河流 ", "lake （湖泊）", "NONE", "Reservoir", "nan", "海洋", "swamp", "", "通用水体", "水体", "Water (通用水体)", "船坞", "码头", "dock （船坞/码头）", "lake(湖泊)", " STREAM (溪流)", "冰川", "glacier  (冰川)")
 
 
 def raw_features(spark, d) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classes, crs, tiles
-from ..operators import compose, features, lakes, profiles, raster, rivers
+from ..operators import blocks, compose, features, graph, lakes, profiles, raster, rivers
 from ..session import shared_folder, ship
 from ..sources import shapefile
 from . import bridge as b
@@ -65,8 +65,19 @@ def _(s, d):
 
 # ---- classes and ids
 NORM = "lower(trim(raw_class))"
-ALIAS = "CASE " + " ".join(f"WHEN regexp_replace(translate({NORM}, '（）', '()'), '\\s+\\(', '(', 'g') IN ({', '.join(repr(x) for x in sp)}) THEN '{c}'" for c, sp, _, _ in classes.TABLE) + " END"
-PARAM = "param(fclass, edgeexpand, depth) AS (VALUES " + ", ".join(f"('{c}', {e}::DOUBLE, {dp}::DOUBLE)" for c, _, e, dp in classes.TABLE) + ")"
+# the SQL's own list of spellings and values, written out
+SPELL = "replace(replace(lower(trim(raw_class)), '（', '('), '）', ')')"
+ALIAS = f"""CASE
+  WHEN {SPELL} IN ('stream', 'stream (溪流)', '溪流') THEN 'stream'
+  WHEN {SPELL} IN ('dock', 'dock (船坞/码头)', '船坞', '码头') THEN 'dock'
+  WHEN {SPELL} IN ('water', 'water (通用水体)', '通用水体') THEN 'water'
+  WHEN {SPELL} IN ('river', 'river (河流)', '河流') THEN 'river'
+  WHEN {SPELL} IN ('lake', 'lake (湖泊)', '湖泊') THEN 'lake'
+  WHEN {SPELL} IN ('reservoir', 'reservoir (水库)', '水库') THEN 'reservoir'
+  WHEN {SPELL} IN ('glacier', 'glacier (冰川)', '冰川') THEN 'glacier'
+  WHEN {SPELL} IN ('sea', 'sea (海洋)', '海洋') THEN 'sea' END"""
+PARAM = """param(fclass, edgeexpand, depth) AS (VALUES ('stream', 1.0::DOUBLE, 1.5::DOUBLE), ('dock', 3.0::DOUBLE, 5.0::DOUBLE), ('water', 5.0::DOUBLE, 3.0::DOUBLE), ('river', 10.0::DOUBLE, 2.8::DOUBLE),
+  ('lake', 15.0::DOUBLE, 4.5::DOUBLE), ('reservoir', 3.0::DOUBLE, 6.0::DOUBLE), ('glacier', 10.0::DOUBLE, 6.0::DOUBLE), ('sea', 15.0::DOUBLE, 8.0::DOUBLE))"""
 
 
 @query("class_normalize_hydro", b.with_(b.RAWSQL) + f"SELECT idx, CASE WHEN {NORM} NOT IN ('', 'nan', 'none') THEN {NORM} END AS fclass FROM raw")
@@ -117,7 +128,7 @@ def _(s, d):
 @query(
     "featureid_repair",
     b.with_(
-        "raw AS (SELECT c_custkey AS idx, CASE WHEN c_custkey % 7 <> 0 THEN CAST(CASE WHEN c_custkey % 5 = 0 THEN 30000000 + c_custkey % 300 ELSE c_custkey % 200 END AS VARCHAR) END AS fid FROM customer)",
+        "raw AS (SELECT c_custkey AS idx, CASE WHEN c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 15 = 0 THEN '0' ELSE '' END || CAST(30000000 + c_custkey % 300 AS VARCHAR) ELSE CAST(c_custkey % 200 AS VARCHAR) END END AS fid FROM customer)",
         "k AS (SELECT *, fid IS NOT NULL AND row_number() OVER (PARTITION BY fid ORDER BY idx) = 1 AS keep FROM raw)",
         "m AS (SELECT idx, row_number() OVER (ORDER BY idx) AS n FROM k WHERE NOT keep)",
         "free AS (SELECT i, row_number() OVER (ORDER BY i) AS n FROM (SELECT unnest(range(30000000, 30000000 + 2 * (SELECT count(*) FROM raw))) AS i) WHERE CAST(i AS VARCHAR) NOT IN (SELECT fid FROM k WHERE keep))",
@@ -127,7 +138,7 @@ def _(s, d):
 def _(s, d):
     c = b.read(s, d, "customer")
     k = F.col("c_custkey")
-    raw = c.select(k.alias("idx"), F.when(k % 7 != 0, F.when(k % 5 == 0, 30000000 + k % 300).otherwise(k % 200).cast("string")).alias("fid"))
+    raw = c.select(k.alias("idx"), F.when(k % 7 != 0, F.when(k % 5 == 0, F.concat(F.when(k % 15 == 0, "0").otherwise(""), (30000000 + k % 300).cast("string"))).otherwise((k % 200).cast("string"))).alias("fid"))
     return features.repair_ids(raw).select("idx", "featureid")
 
 
@@ -151,7 +162,7 @@ def _(s, d):
     return b.tilekeys(s, d).select("id", tiles.base4(tiles.quadkey(F.col("x"), F.col("y"), F.col("z"))).alias("key"))
 
 
-@query("quadkey_children", b.with_(b.TILEKEYS, f"q AS (SELECT id, z, {QK} AS q FROM tk WHERE z <= 5)") + "SELECT id, q || CASE WHEN z = 4 THEN CAST(i AS VARCHAR) ELSE '' END AS child FROM q, (SELECT unnest(range(0, 4)) AS i) WHERE z = 4 OR (z = 5 AND i = 0)")
+@query("quadkey_children", b.with_(b.TILEKEYS, f"q AS (SELECT id, z, {QK} AS q FROM tk WHERE z <= 5)", "p AS (SELECT *, unnest(range(0, CAST(4 ** (5 - z) AS BIGINT))) AS i FROM q)") + "SELECT id, q || array_to_string(list_transform(range(0, 5 - z), lambda k: CAST((i >> (2 * (4 - z - k))) & 3 AS VARCHAR)), '') AS child FROM p")
 def _(s, d):
     k = b.tilekeys(s, d).select("id", tiles.quadkey(F.col("x"), F.col("y"), F.col("z")).alias("quadkey"))
     return tiles.children(k, 5).select("id", "child")
@@ -226,8 +237,8 @@ def _(s, d):
 
 
 REF = (
-    "areas AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'reservoir' WHEN 1 THEN 'lake' WHEN 2 THEN 'dock' ELSE 'glacier' END AS layer, p_partkey * 11 % 400 AS minx, p_partkey * 17 % 400 AS miny, p_partkey * 11 % 400 + 5 + p_size AS maxx, p_partkey * 17 % 400 + 4 + p_size % 9 AS maxy FROM part WHERE p_size % 8 = 0)",
-    "lines AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'river' WHEN 1 THEN 'stream' ELSE 'sea' END AS layer, o_orderkey * 13 % 400 AS minx, o_orderkey * 7 % 400 AS miny, o_orderkey * 13 % 400 + 10 + o_orderkey % 50 AS maxx, o_orderkey * 7 % 400 AS maxy FROM orders WHERE o_orderkey % 40 = 0)",
+    "areas AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'reservoir' WHEN 1 THEN 'lake' WHEN 2 THEN 'dock' ELSE 'glacier' END AS layer, p_partkey * 11 % 400 AS minx, p_partkey * 17 % 400 AS miny, p_partkey * 11 % 400 + 5 + p_size AS maxx, p_partkey * 17 % 400 + 4 + p_size % 9 AS maxy FROM part)",
+    "lines AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'river' WHEN 1 THEN 'stream' ELSE 'sea' END AS layer, o_orderkey * 13 % 400 AS minx, o_orderkey * 7 % 400 AS miny, o_orderkey * 13 % 400 + 10 + o_orderkey % 50 AS maxx, o_orderkey * 7 % 400 AS maxy FROM orders)",
     "feat AS (SELECT c_custkey AS id, c_custkey * 19 % 400 AS minx, c_custkey * 23 % 400 AS miny, c_custkey * 19 % 400 + 10 + c_custkey % 40 AS maxx, c_custkey * 23 % 400 + 10 + c_custkey % 30 AS maxy FROM customer)",
 )
 
@@ -323,16 +334,71 @@ def _(s, d):
     return raster.gaussian(b.dem(s, d), 1.0, H, W).select("r", "c", F.round("z", 6).alias("z"))
 
 
-FEW = "few AS (SELECT * FROM mask WHERE poly < 12)"
-
-
 @query(
     "edt_distance",
-    b.with_(*MASKS, FEW, "g AS (SELECT poly, r, c FROM (SELECT DISTINCT poly FROM few), (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(range(0, 50)) AS c) EXCEPT SELECT poly, r, c FROM few)")
+    b.with_(*MASKS, "few AS (SELECT * FROM mask)", "g AS (SELECT poly, r, c FROM (SELECT DISTINCT poly FROM few), (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(range(0, 50)) AS c) EXCEPT SELECT poly, r, c FROM few)")
     + "SELECT few.poly, few.r, few.c, CAST(min((few.r - g.r) * (few.r - g.r) + (few.c - g.c) * (few.c - g.c)) AS BIGINT) AS d2 FROM few JOIN g ON g.poly = few.poly GROUP BY few.poly, few.r, few.c",
 )
 def _(s, d):
-    return raster.edt(mask_of(s, d), H, W)
+    return raster.edt(mask_of(s, d), H, W).select("poly", "r", "c", "d2")
+
+
+@query(
+    "edt_nearest",
+    b.with_(*MASKS, "g AS (SELECT poly, r, c FROM (SELECT DISTINCT poly FROM mask), (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(range(0, 50)) AS c) EXCEPT SELECT poly, r, c FROM mask)")
+    + "SELECT m.poly, m.r, m.c, CAST(k // 100 AS INT) AS nr, CAST(k % 100 AS INT) AS nc FROM (SELECT m.poly, m.r, m.c, min(((m.r - g.r) * (m.r - g.r) + (m.c - g.c) * (m.c - g.c)) * 10000 + g.r * 100 + g.c) % 10000 AS k FROM mask m JOIN g ON g.poly = m.poly GROUP BY m.poly, m.r, m.c) m",
+)
+def _(s, d):
+    return raster.edt(mask_of(s, d), H, W).select("poly", "r", "c", "nr", "nc")
+
+
+@query("closing2", b.with_(*MASKS, BALL(2), "dl AS (SELECT DISTINCT poly, r + i AS r, c + j AS c FROM mask, ball2 WHERE r + i BETWEEN 0 AND 39 AND c + j BETWEEN 0 AND 49)") + "SELECT poly, CAST(dl.r - i AS INT) AS r, CAST(dl.c - j AS INT) AS c FROM dl, ball2 GROUP BY 1, 2, 3 HAVING count(*) = 13")
+def _(s, d):
+    return raster.closing(mask_of(s, d), 2, H, W)
+
+
+FRACTION = "fr AS (SELECT poly, c0 + 0.25::DOUBLE AS x0, r0 + 0.6::DOUBLE AS y0, c0 + w + 0.75::DOUBLE AS x1, r0 + h + 0.3::DOUBLE AS y1 FROM rect)"
+
+
+def fraction_rings(s, d) -> DataFrame:
+    """Rectangles off the grid's lines."""
+    r = b.rect(s, d).select("poly", (F.col("c0") + 0.25).alias("c0"), (F.col("r0") + 0.6).alias("r0"), (F.col("w") + 0.5).alias("w"), (F.col("h") - 0.3).alias("h"))
+    return raster.rectangle_rings(r)
+
+
+@query("rasterize_all_touched", b.with_(b.RECT, FRACTION, "cell AS (SELECT * FROM (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(range(0, 50)) AS c))") + "SELECT poly, CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM fr JOIN cell ON c BETWEEN floor(x0) AND floor(x1) AND r BETWEEN floor(y0) AND floor(y1)")
+def _(s, d):
+    return raster.rasterize_touched(fraction_rings(s, d), H, W)
+
+
+GRID = "g AS (SELECT * FROM (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(range(0, 50)) AS c))"
+KERNEL = "k0 AS (SELECT i, exp(-0.5::DOUBLE * i * i / 4) AS w FROM (SELECT unnest(range(-8, 9)) AS i)), k AS (SELECT i, w / (SELECT sum(w) FROM k0) AS w FROM k0)"
+
+
+@query("gaussian_f32", b.with_(b.DEM, KERNEL, GRID, f"a AS (SELECT g.r, g.c, CAST(sum(CAST(z AS FLOAT)::DOUBLE * w) AS FLOAT) AS z FROM g, k JOIN dem ON dem.r = {REFL('g.r + k.i', 40)} AND dem.c = g.c GROUP BY g.r, g.c)") + f"SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, round(CAST(CAST(sum(z::DOUBLE * w) AS FLOAT) AS DOUBLE), 1) AS z FROM g, k JOIN a ON a.c = {REFL('g.c + k.i', 50)} AND a.r = g.r GROUP BY g.r, g.c")
+def _(s, d):
+    return blocks.gaussian(b.dem(s, d), 2.0, H, W, narrow=True).select("r", "c", F.round("z", 1).alias("z"))
+
+
+WARP_T = (0.01, 0.0, 100.0, 0.0, -0.01, 30.0)  # the terrain laid over longitudes and latitudes
+BACK = "back AS (SELECT r, c, ((x0 + (c + 0.5) * px) / 6378137.0 * 180 / pi() - 100) / 0.01 AS x, ((2 * atan(exp((y1 - (r + 0.5) * px) / 6378137.0)) - pi() / 2) * 180 / pi() - 30) / -0.01 AS y FROM wg, (SELECT unnest(range(0, 60)) AS r), (SELECT unnest(range(0, 60)) AS c) WHERE r < h AND c < w)"
+MERC = lambda lat: f"6378137.0::DOUBLE * ln(tan(pi() / 4 + radians({lat}) / 2))"
+WG = f"wg0 AS (SELECT 6378137.0::DOUBLE * radians(100.0) AS x0, 6378137.0::DOUBLE * radians(100.5) AS x1, {MERC('29.6::DOUBLE')} AS y0, {MERC('30.0::DOUBLE')} AS y1), wg1 AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / sqrt(50.0 * 50 + 40 * 40) AS px FROM wg0), wg AS (SELECT *, floor((x1 - x0) / px + 0.5) AS w, floor((y1 - y0) / px + 0.5) AS h FROM wg1)"
+
+
+def warped(s, d, method: str) -> DataFrame:
+    t, w, h = crs.warp_grid(crs.GEOGRAPHIC, crs.MERCATOR, WARP_T, W, H)
+    return raster.reproject(b.dem(s, d), WARP_T, crs.GEOGRAPHIC, t, w, h, crs.MERCATOR, method)
+
+
+@query("reproject_bilinear", b.with_(b.DEM, WG, BACK, "j AS (SELECT b.r, b.c, (1 - abs(x - 0.5 - dem.c)) * (1 - abs(y - 0.5 - dem.r)) AS k, z FROM back b JOIN dem ON dem.c IN (floor(x - 0.5), floor(x - 0.5) + 1) AND dem.r IN (floor(y - 0.5), floor(y - 0.5) + 1) WHERE x >= 0 AND x < 50 AND y >= 0 AND y < 40)") + "SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(sum(k * z) / sum(k), 4) AS z FROM j GROUP BY r, c HAVING sum(k) >= 1e-5")
+def _(s, d):
+    return warped(s, d, "bilinear").select("r", "c", F.round("z", 4).alias("z"))
+
+
+@query("reproject_nearest", b.with_(b.DEM, WG, BACK) + "SELECT CAST(back.r AS INT) AS r, CAST(back.c AS INT) AS c, z FROM back JOIN dem ON dem.r = floor(y) AND dem.c = floor(x)")
+def _(s, d):
+    return warped(s, d, "nearest")
 
 
 @query(
@@ -362,10 +428,22 @@ def _(s, d):
     return still_level(s, d)
 
 
-@query("lake_level_component", b.with_(b.DEM, *MASKS, BALL(1), ERODE(1), RING, "v AS (SELECT poly % 10 AS poly, z FROM ring JOIN dem USING (r, c))", "t0 AS (SELECT poly, median(z) AS z, count(*) AS n FROM v GROUP BY poly)", *[ROUND(k) for k in range(1, 6)]) + "SELECT t5.poly AS component, t0.n AS n_ring, t5.z FROM t5 JOIN t0 USING (poly)")
+COMPONENT = "cg AS (SELECT poly, CASE WHEN poly % 3 = 0 THEN -row_number() OVER (PARTITION BY poly % 3 = 0 ORDER BY poly) ELSE poly % 10 END AS grp FROM rect)"
+
+
+def component_groups(s, d) -> DataFrame:
+    p = F.col("poly")
+    return lakes.component_groups(b.rect(s, d).select("poly", F.when(p % 3 != 0, p % 10).alias("component")))
+
+
+@query("lake_components", b.with_(b.RECT, COMPONENT) + "SELECT poly, CAST(grp AS BIGINT) AS grp FROM cg")
 def _(s, d):
-    g = b.rect(s, d).select("poly", (F.col("poly") % 10).alias("grp"))
-    return lakes.levels(mask_of(s, d), b.dem(s, d), g).select(F.col("poly").alias("component"), "n_ring", "z")
+    return component_groups(s, d)
+
+
+@query("lake_level_component", b.with_(b.DEM, *MASKS, BALL(1), ERODE(1), RING, COMPONENT, "v AS (SELECT grp AS poly, z FROM ring JOIN dem USING (r, c) JOIN cg USING (poly))", "t0 AS (SELECT poly, median(z) AS z, count(*) AS n FROM v GROUP BY poly)", *[ROUND(k) for k in range(1, 6)]) + "SELECT CAST(t5.poly AS BIGINT) AS component, t0.n AS n_ring, t5.z FROM t5 JOIN t0 USING (poly)")
+def _(s, d):
+    return lakes.levels(mask_of(s, d), b.dem(s, d), component_groups(s, d)).filter("n_ring > 0").select(F.col("poly").alias("component"), "n_ring", "z")
 
 
 @query("lake_flatten", b.with_(*SURFACE) + "SELECT r, c, CAST(z AS DOUBLE) AS z FROM surf")
@@ -428,7 +506,7 @@ for name, up in (("isotonic_down", False), ("isotonic_up", True)):
 
     @query(
         name,
-        b.with_(b.PROFILE, "q AS (SELECT grp, seq, raw, sum(raw) OVER (PARTITION BY grp ORDER BY seq) AS s FROM profile WHERE grp < 40)", f"m AS (SELECT a.grp, a.seq AS j, k.seq AS k, {sign}(k.s - a.s + a.raw) / (k.seq - a.seq + 1) AS m FROM q a JOIN q k ON k.grp = a.grp AND k.seq >= a.seq)", "lo AS (SELECT grp, j, k, min(m) OVER (PARTITION BY grp, j ORDER BY k DESC) AS m FROM m)")
+        b.with_(b.PROFILE, "q AS (SELECT grp, seq, raw, sum(raw) OVER (PARTITION BY grp ORDER BY seq) AS s FROM profile)", f"m AS (SELECT a.grp, a.seq AS j, k.seq AS k, {sign}(k.s - a.s + a.raw) / (k.seq - a.seq + 1) AS m FROM q a JOIN q k ON k.grp = a.grp AND k.seq >= a.seq)", "lo AS (SELECT grp, j, k, min(m) OVER (PARTITION BY grp, j ORDER BY k DESC) AS m FROM m)")
         + f"SELECT grp, CAST(i AS INT) AS seq, round({sign}max(m) + 1e-7::DOUBLE, 4) AS v FROM (SELECT lo.grp, q.seq AS i, lo.j, min(m) AS m FROM q JOIN lo ON lo.grp = q.grp AND lo.j <= q.seq AND lo.k >= q.seq GROUP BY lo.grp, q.seq, lo.j) GROUP BY grp, i",
     )
     def _(s, d, up=up):
@@ -501,9 +579,9 @@ def _(s, d):
     return compose.compose(b.dem(s, d), surf.join(b.dem(s, d), ["r", "c"], "left_semi"), False).select("r", "c", F.col("z").cast("double").alias("z"))
 
 
-@query("compose_metrics", b.with_(*SURFACE) + "SELECT count(surf.z) AS write, count(*) FILTER (WHERE surf.z IS NULL AND dem.z IS NOT NULL) AS background, count(*) FILTER (WHERE surf.z IS NULL AND dem.z IS NULL) AS nodata FROM dem LEFT JOIN surf USING (r, c)")
+@query("compose_metrics", b.with_(*SURFACE, "wet AS (SELECT DISTINCT r, c FROM mask)", "j AS (SELECT dem.z AS d, surf.z AS s, wet.r IS NOT NULL AS m FROM dem LEFT JOIN surf USING (r, c) LEFT JOIN wet USING (r, c))") + "SELECT count(*) FILTER (WHERE m AND s IS NOT NULL) AS write, count(*) FILTER (WHERE m AND s IS NULL AND d IS NOT NULL) AS water_fill, count(*) FILTER (WHERE NOT m AND d IS NOT NULL) AS background, count(*) FILTER (WHERE m AND s IS NULL AND d IS NULL) AS water_nodata, count(*) FILTER (WHERE (s IS NULL OR NOT m) AND d IS NULL) AS nodata FROM j")
 def _(s, d):
-    return compose.metrics(b.dem(s, d), still_surface(s, d))
+    return compose.metrics(b.dem(s, d), still_surface(s, d), mask=mask_of(s, d).select("r", "c").distinct())
 
 
 @query("overlay_priority", b.with_(*MASKS) + f"SELECT r, c, CASE WHEN max(CASE WHEN {STILL} THEN poly END) IS NOT NULL THEN max(CASE WHEN {STILL} THEN poly END) ELSE max(poly) END AS poly FROM mask JOIN rect USING (poly) GROUP BY r, c")
@@ -512,24 +590,52 @@ def _(s, d):
     return compose.overlay(m.withColumn("z", F.col("poly"))).select("r", "c", F.col("z").alias("poly"))
 
 
-@query("nearest_seed_level", b.with_(*SURFACE, BALL(6), "sp AS (SELECT surf.r + i AS r, surf.c + j AS c, i * i + j * j AS d2, surf.r AS sr, surf.c AS sc, z FROM surf, ball6)") + "SELECT dem.r, dem.c, CAST(min(d2) AS INT) AS d2, CAST(arg_min(sp.z, d2 * 1000000 + sr * 1000 + sc) AS DOUBLE) AS z FROM dem JOIN sp ON sp.r = dem.r AND sp.c = dem.c GROUP BY dem.r, dem.c")
+NEAREST = "near AS (SELECT dem.r, dem.c, min((dem.r - s.r) * (dem.r - s.r) + (dem.c - s.c) * (dem.c - s.c)) AS d2, arg_min(s.z, ((dem.r - s.r) * (dem.r - s.r) + (dem.c - s.c) * (dem.c - s.c)) * 10000 + s.r * 100 + s.c) AS z FROM dem, surf s GROUP BY dem.r, dem.c)"
+
+
+@query("nearest_seed_level", b.with_(*SURFACE, NEAREST) + "SELECT r, c, CAST(d2 AS INT) AS d2, CAST(z AS DOUBLE) AS z FROM near WHERE d2 <= 64")
 def _(s, d):
-    return compose.nearest(b.dem(s, d), still_surface(s, d), 6).select("r", "c", "d2", F.col("z").cast("double").alias("z"))
+    return compose.nearest(b.dem(s, d), still_surface(s, d), 8).select("r", "c", "d2", F.col("z").cast("double").alias("z"))
 
 
-@query("skirt")
+SKIRT = (
+    *SURFACE, "grid AS (SELECT * FROM (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(range(0, 50)) AS c))",
+    "step AS (SELECT g.r, g.c, min(abs(g.r - s.r) + abs(g.c - s.c)) AS l1, min((g.r - s.r) * (g.r - s.r) + (g.c - s.c) * (g.c - s.c)) AS d2, arg_min(s.z, ((g.r - s.r) * (g.r - s.r) + (g.c - s.c) * (g.c - s.c)) * 10000 + s.r * 100 + s.c) AS w FROM grid g, surf s GROUP BY g.r, g.c)",
+    "ramp AS (SELECT step.*, CAST(dem.z AS FLOAT) AS d, least(greatest(CAST(sqrt(d2) AS FLOAT) - 5.0::FLOAT, 0.0::FLOAT), 5.0::FLOAT) / 6.0::FLOAT AS t FROM step LEFT JOIN dem USING (r, c) WHERE l1 <= 10)",
+    "sk AS (SELECT r, c, CASE WHEN l1 <= 5 OR d IS NULL THEN w ELSE greatest(w * (1.0::FLOAT - t) + d * t, w) END AS z, CASE WHEN l1 = 0 THEN 'water' WHEN l1 <= 5 THEN 'flat' ELSE 'ramp' END AS band FROM ramp)",
+)
+
+
+def still_skirt(s, d) -> DataFrame:
+    return compose.skirt(still_surface(s, d), b.dem(s, d), H, W)
+
+
+@query("skirt", b.with_(*SKIRT) + "SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(CAST(z AS DOUBLE), 2) AS z, band FROM sk")
 def _(s, d):
-    return compose.skirt(still_surface(s, d), b.dem(s, d), H, W).select("r", "c", F.round(F.col("z").cast("double"), 2).alias("z"), "band")
+    return still_skirt(s, d).select("r", "c", F.round(F.col("z").cast("double"), 2).alias("z"), "band")
 
 
-@query("hydro_surface")
+@query("skirt_counts", b.with_(*SKIRT) + "SELECT count(*) FILTER (WHERE band = 'flat') AS flat, count(*) FILTER (WHERE band = 'ramp') AS ramp FROM sk")
 def _(s, d):
+    return compose.skirt_counts(still_skirt(s, d))
+
+
+def surface_of(s, d) -> DataFrame:
+    """Rivers, lakes over them, bed lifted, skirt: the relational path that the tiled job is held against."""
     dem, m = b.dem(s, d), mask_of(s, d)
+    still = b.rect(s, d).select("poly", classes.is_still_water(F.col("fclass")).alias("still"))
     river = rivers.surface(few_rivers(s, d), dem).withColumn("still", F.lit(False))
     lake = m.join(still_level(s, d).filter("z IS NOT NULL").select("poly", F.col("z").cast("float").alias("z")), "poly").withColumn("still", F.lit(True)).select("poly", "r", "c", "z", "still")
     surf = compose.overlay(river.unionByName(lake))
-    wide = compose.skirt(surf, dem, H, W)
-    return compose.compose(dem, wide).select("r", "c", F.round(F.col("z").cast("double"), 2).alias("z"))
+    marks = m.join(still, "poly").groupBy("r", "c").agg(F.bool_or(~F.col("still")).alias("river"), F.bool_or("still").alias("lake"))
+    cells = surf.withColumnRenamed("z", "surface").join(marks, ["r", "c"]).join(dem.select("r", "c", F.col("z").cast("float").alias("dem")), ["r", "c"], "left").withColumn("write", F.lit(True))
+    lifted = compose.floor_lift(cells).select("r", "c", F.col("after").alias("z"))
+    return compose.compose(dem, compose.skirt(lifted, dem, H, W))
+
+
+@query("hydro_surface")
+def _(s, d):
+    return surface_of(s, d).select("r", "c", F.round(F.col("z").cast("double"), 2).alias("z"))
 
 
 @query("inspect_summary", b.with_(b.RECT) + "SELECT count(*) AS features, min(c0) AS minx, min(r0) AS miny, max(c0 + w) AS maxx, max(r0 + h) AS maxy, count(DISTINCT fclass) AS classes FROM rect")
@@ -537,12 +643,12 @@ def _(s, d):
     return b.rect(s, d).agg(F.count("*").alias("features"), F.min("c0").alias("minx"), F.min("r0").alias("miny"), F.max(F.col("c0") + F.col("w")).alias("maxx"), F.max(F.col("r0") + F.col("h")).alias("maxy"), F.countDistinct("fclass").alias("classes"))
 
 
-@query("bfs_outlet", "WITH RECURSIVE t(n, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT e.k, t.hops + 1 FROM t JOIN (SELECT p_partkey AS k, p_partkey // 3 AS p FROM part WHERE p_partkey > 0) e ON e.p = t.n) SELECT n AS node, hops FROM t")
+@query("bfs_outlet", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey % 11 <> 0 UNION ALL SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey % 11 <> 0), t(n, hops) AS (SELECT 0::BIGINT, 0 UNION SELECT e.b, t.hops + 1 FROM t JOIN e ON e.a = t.n WHERE t.hops < 12), m AS (SELECT n, min(hops) AS hops FROM t GROUP BY n) SELECT p_partkey AS node, CAST(coalesce(m.hops, -1) AS INT) AS hops FROM part LEFT JOIN m ON m.n = p_partkey")
 def _(s, d):
-    # hops in a tree of arity 3 grow with its depth: one join a level
-    e = b.read(s, d, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 3).cast("long").alias("p"))
-    e.createOrReplaceTempView("tarn_bfs_edges")
-    return s.sql("WITH RECURSIVE t(n, hops) AS (SELECT 0L, 0 UNION ALL SELECT e.k, t.hops + 1 FROM t JOIN tarn_bfs_edges e ON e.p = t.n) SELECT n AS node, hops FROM t")
+    k = F.col("p_partkey")
+    part = b.read(s, d, "part")
+    edges = part.filter(k % 11 != 0).select(k.alias("a"), F.floor(k / 3).cast("long").alias("b"))
+    return graph.hops(part.select(k.alias("node")), edges, s.range(1).select(F.col("id").alias("node")))
 
 
 @query("shapefile_round_trip", b.with_(b.RECT) + "SELECT poly, fclass, c0, r0, CAST(c0 + w AS INT) AS c1, CAST(r0 + h AS INT) AS r1 FROM rect")

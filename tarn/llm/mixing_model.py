@@ -1,255 +1,297 @@
-"""A byte model of words: context bit predictors, mixed logistically.
-
-A word and the space or end that stops it is a string of bytes, coded bit by bit.
-Five predictors see the bits so far of the current byte and nothing / 1 / 2 / 3
-earlier bytes of the word / the whole word so far. The first four keep counts of 0
-and 1 in hashed tables sized from the vocabulary (:func:`table_bits`). The last is
-counted exactly: words are worked on in groups of neighbours in byte order, where
-only prefixes of the words a group is cut at can reach into other groups, and of
-those the totals are known (``edges``). The stretched probabilities are mixed by a
-weight set that a gate picks (the evidence for the longest context and the place in
-the byte), and a probability map refines the result by the partial byte. Weights
-are the maximum of the likelihood over all training words, each with its count
-(Newton steps from sums over groups, halved for a gate where they do not help);
-the map holds the counts over the same words. In both each word is first taken out
-of the counts it contributed.
-
-A text's probability is the product over its words of P(bytes, stop), times that
-of each stop's kind (space, newline, ..., end), so it is one distribution over texts.
+"""Online logistic context mixing over bytes.
+
+A text is coded as its lower-cased UTF-8 bytes and an end symbol; a symbol is the
+path of binary decisions that leads to it in a Huffman tree, one tree for each
+symbol before it, so a likely byte takes one to three decisions, not eight. Four
+predictors see the node of the tree and the 2, 3 or 5 bytes before (over word
+ends), or the word so far with the byte that began it. Each keeps counts of 0 and
+1 in a hashed table of fixed size; the nodes of one context stand together.
+
+The stretched probabilities are mixed by weights that a gate picks (the evidence
+behind the two longest contexts), and a map refines the mixed value by the byte before.
+Learning is one pass: each run of texts is predicted from what was seen before it,
+the weights step against the error, the map counts what came, and the run is then
+added to the tables. Learners of several tasks are summed: counts and map cells
+add up, weights are averaged by the decisions behind them.
+
+The decisions at a node have probabilities that sum to one, so the model is a
+distribution over texts. Texts longer than ``PIECE`` bytes are read in pieces, each
+with the ``LEAD`` bytes before it as context.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-
-ORDERS = 5
-BITS = (12, 16, 19, 20)  # least table sizes, log2
-STOP = 32
-CONFIDENCE = (0, 1, 2, 4, 8, 32, 1 << 60)
-GATES = len(CONFIDENCE) * 8
-BUCKETS = 24
-START, RIDGE, PRIOR = 0.3, 1.0, 16.0  # first weights and the pull to them; observations the first map counts for
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def base_of(bits: tuple[int, ...]) -> np.ndarray:
-    """Where each predictor's table begins, and the end."""
-    return np.concatenate(([0], np.cumsum([1 << b for b in bits]))).astype(np.int64)
-
-
-def table_bits(grams: dict[int, int]) -> tuple[int, ...]:
-    """Table sizes, log2, from the distinct (context, byte) pairs of each order: a pair has at most eight cells."""
-    return (BITS[0], *(max(b, int(np.ceil(np.log2(8 * max(1, grams.get(k, 0)))))) for k, b in enumerate(BITS) if k))
-
-
-def _contexts(words: list[bytes]):
-    """(bytes, first byte of each word, word of each byte, the contexts of 0 to 3 bytes)."""
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)  # words hold no space: STOP follows each
-    start = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    owner = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(data)) - start[owner]
-    prev = [np.where(at >= k, np.roll(data, k) + np.uint64(1), np.uint64(0)) for k in (1, 2, 3)]
-    return data, start, owner, [np.zeros(len(data), np.uint64), prev[0], prev[0] << np.uint64(9) | prev[1], prev[0] << np.uint64(18) | prev[1] << np.uint64(9) | prev[2]]
-
-
-def grams_of(words: list[bytes]) -> np.ndarray:
-    """The distinct (order, context, byte) of orders 1 to 3, as numbers with the order from bit 40."""
-    data, _, _, contexts = _contexts(words)
-    return np.unique(np.concatenate([np.unique(np.uint64(k << 40) | c << np.uint64(8) | data) for k, c in enumerate(contexts) if k]))
-
-
-def bits_of(words: list[bytes], bits: tuple[int, ...] | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, cell of each table (ORDERS - 1, n), id of the whole-word context, bit, place) of every bit of the words, stops included; no cells without table sizes."""
-    data, start, owner, contexts = _contexts(words)
-    sizes = np.diff(np.append(start, len(data)))
-    whole = np.zeros(len(data), np.uint64)  # hash of the word so far
-    longest = int(sizes.max(initial=1))
-    by = np.argsort(-sizes, kind="stable")
-    open_ = np.searchsorted(-sizes[by], -np.arange(1, longest + 1), side="right")
-    h = np.full(len(words), 7, np.uint64)
-    for i in range(longest):
-        rows = by[: open_[i]]
-        whole[start[rows] + i] = h[rows]
-        h[rows] = (h[rows] ^ data[start[rows] + i]) * _P
-        h[rows] ^= h[rows] >> np.uint64(29)
-    bit = ((data[:, None] >> np.arange(7, -1, -1).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
-    partial = np.ones((len(data), 8), np.uint64)
-    for j in range(1, 8):
-        partial[:, j] = partial[:, j - 1] << np.uint64(1) | bit[:, j - 1].astype(np.uint64)
-
-    def hashed(c):
-        x = ((c * _P)[:, None] + partial * np.uint64(0xD6E8FEB86659FD93)) * _P
-        return ((x ^ (x >> np.uint64(32))) * _P).ravel()
-
-    cells = None
-    if bits:
-        base = base_of(bits)
-        cells = np.empty((len(bits), len(data) * 8), np.int64)
-        for k, (c, b) in enumerate(zip(contexts, bits)):
-            cells[k] = (hashed(c) >> np.uint64(64 - b)).astype(np.int64) + base[k]
-    return np.repeat(owner, 8), cells, hashed(whole), bit.ravel(), np.tile(np.arange(8), len(data))
-
-
-def chunks(words: list[bytes], most: int = 25_000):
-    """Runs of words of about ``most`` bytes, as (from, to)."""
-    a = size = 0
-    for i, w in enumerate(words):
-        size += len(w) + 1
-        if size >= most:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(words):
-        yield a, len(words)
-
-
-def add_counts(words: list[bytes], counts: np.ndarray, table: np.ndarray, bits: tuple[int, ...]) -> None:
-    """Add to ``table`` (cells, 2) the zeros and ones of the words, each seen ``counts`` times."""
-    flat = table.reshape(-1)
-    for a, b in chunks(words):
-        owner, cells, _, bit, _ = bits_of(words[a:b], bits)
-        w = counts[a:b][owner].astype(table.dtype)
-        for c in cells:
-            np.add.at(flat, c * 2 + bit, w)
-
-
-class Group:
-    """Words that are neighbours in byte order, with the exact counts of their whole-word contexts."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, bits: tuple[int, ...] | None, edges: tuple[np.ndarray, np.ndarray] | None = None):
-        self.words, self.counts = words, counts
-        self.parts = [(a, *bits_of(words[a:b], bits)) for a, b in chunks(words)]
-        ids = np.concatenate([p[3] for p in self.parts])
-        bit = np.concatenate([p[4] for p in self.parts])
-        weight = np.concatenate([counts[p[0] + p[1]] for p in self.parts]).astype(np.float64)
-        coded = pa.array(ids).dictionary_encode()
-        self.ids, self.where = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        ones = np.bincount(self.where, weight * bit, len(self.ids))
-        self.n = np.stack([np.bincount(self.where, weight, len(self.ids)) - ones, ones], 1)
-        if edges is not None and len(edges[0]):
-            i = np.minimum(np.searchsorted(edges[0], self.ids), len(edges[0]) - 1)
-            hit = edges[0][i] == self.ids
-            self.n[hit] = edges[1][i[hit]]
-
-    def shared(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of the contexts that are prefixes of ``cuts``."""
-        hit = np.isin(self.ids, bits_of(cuts, None)[2])
-        return self.ids[hit], self.n[hit]
-
-    def __iter__(self):
-        """(word index, cells, zeros and ones of the whole-word context, bit, place) by runs of words."""
-        at = 0
-        for a, owner, cells, ids, bit, place in self.parts:
-            yield a + owner, cells, self.n[self.where[at : at + len(ids)]].T, bit, place
-            at += len(ids)
-
-
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
+import heapq
 
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
-
-
-class Model:
-    """Counts of the tables (cells, 2), totals of the contexts that groups share, weights (GATES, ORDERS + 1), map (256, BUCKETS)."""
-
-    def __init__(self, counts: np.ndarray, bits: tuple[int, ...], edges: tuple[np.ndarray, np.ndarray] | None):
-        self.counts, self.bits, self.edges = counts.astype(np.float32), bits, edges
-        self.weights = np.full((GATES, ORDERS + 1), START, np.float64)
-        self.map = np.tile(squash(np.linspace(-8, 8, BUCKETS)), (256, 1))
-
-    def group(self, words: list[bytes], counts: np.ndarray) -> Group:
-        return Group(words, counts, self.bits, self.edges)
+import numpy as np
 
-    @staticmethod
-    def _stretched(n0, n1):
-        n = n0 + n1
-        p = (n1 + 0.02) / (n + 0.04)
-        return stretch(np.clip(p, 1 / 65536, 1 - 1 / 65536)) * (n / (n + 0.4))
-
-    def _inputs(self, cells, whole, bit, place, less: int):
-        """Inputs and gate, as if the word itself had been seen ``less`` times less."""
-        n0, n1 = (np.vstack([self.counts[cells, k], whole[k]]).astype(np.float64) for k in (0, 1))
-        if less:
-            n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
-        gate = np.searchsorted(CONFIDENCE, n0[-1] + n1[-1], side="left") * 8 + place
-        return np.vstack([self._stretched(n0, n1), np.full(len(bit), 0.3)]), gate
-
-    def _refine(self, mixed, ctx):
-        s = np.clip((np.clip(mixed, -8, 8) + 8) * (BUCKETS - 1) / 16, 0, BUCKETS - 1.001)
-        lo = s.astype(np.int64)
-        f = s - lo
-        return (1 - f) * self.map[ctx, lo] + f * self.map[ctx, lo + 1], lo, f
+END = 256
+SYMBOLS = END + 1
+BEFORE = SYMBOLS + 1  # what can stand before a symbol: nothing, or a symbol plus one
+PAIRS = BEFORE * SYMBOLS
+CELLS = (19, 20, 20, 20)  # log2 of each table's cells
+K = len(CELLS)
+OFFSET = np.concatenate(([0], np.cumsum([1 << c for c in CELLS]))).astype(np.int64)
+TOTAL = int(OFFSET[-1])
+LEVELS = (0, 2, 15, 127)  # a context's evidence: none, 1 to 2, to 15, to 127, more
+GATES = (len(LEVELS) + 1) ** 2
+BLOCK = 8192  # cells of a learner's tables that are sent as one row
+BLOCKS = -(-TOTAL // BLOCK)
+BUCKETS = 33
+MAP = BEFORE * BUCKETS
+PIECE, LEAD, PAD = 1 << 18, 64, 5
+RUN = 1 << 19  # bytes between two updates of the tables
+STEP = 1 << 15  # decisions between two updates of the weights
+START, RATE, FEW = 0.35, 0.02, 0.4
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.zeros(258, bool)
+_SPACE[[0, 10, 11, 12, 13, 14, 33]] = True  # nothing, tab to carriage return, space; symbols are stored plus one
+
+
+def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The (node, side) decisions of each symbol in the Huffman tree of ``counts`` plus one. Nodes are numbered from the root down."""
+    heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
+    heapq.heapify(heap)
+    kids: dict[int, tuple[int, int]] = {}
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        new = SYMBOLS + len(kids)
+        kids[new] = (a[2], b[2])
+        heapq.heappush(heap, (a[0] + b[0], new, new))
+    paths: list[list[tuple[int, int]]] = [[] for _ in counts]
+    level, number = [(heap[0][2], [])], 0
+    while level:
+        below = []
+        for at, path in level:
+            if at in kids:
+                below += [(child, [*path, (number, side)]) for side, child in enumerate(kids[at])]
+                number += 1
+            else:
+                paths[at] = path
+        level = below
+    return paths
+
+
+def pair_counts(texts: list[bytes]) -> np.ndarray:
+    """How often each symbol follows each in lower-cased texts, ends included: PAIRS numbers."""
+    if not texts:
+        return np.zeros(PAIRS, np.int64)
+    data = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    data[ends] = END
+    before = np.concatenate(([0], data[:-1] + 1))
+    before[ends[:-1] + 1] = 0
+    return np.bincount(before * SYMBOLS + data, minlength=PAIRS)
+
+
+def pieces(text: bytes):
+    """(lead, body, last?) of a lower-cased text."""
+    for i in range(0, max(1, len(text)), PIECE):
+        yield text[max(0, i - LEAD) : i], text[i : i + PIECE], i + PIECE >= len(text)
+
+
+def runs(parts, most: int = RUN):
+    """Lists of parts of about ``most`` bytes in all."""
+    out, size = [], 0
+    for p in parts:
+        out.append(p)
+        size += len(p[1]) + 8
+        if size >= most:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
+class Coder:
+    """Decisions and table cells of texts. ``pair_counts``: how often each symbol followed each, by what stood before * SYMBOLS + symbol."""
+
+    def __init__(self, pair_counts: np.ndarray):
+        pairs = pair_counts.reshape(BEFORE, SYMBOLS)
+        whole = pairs.sum(0)
+        trees = [huffman(n * 64 + whole / max(1, whole.sum()) * 64) for n in pairs]
+        paths = [path for tree in trees for path in tree]
+        self.steps = np.array([len(path) for path in paths])
+        self.first = np.cumsum(self.steps) - self.steps
+        self.node = np.array([n for path in paths for n, _ in path], np.uint8)
+        self.bit = np.array([side for path in paths for _, side in path], np.uint8)
+        n = np.arange(256, dtype=np.uint64)
+        self.spread = (((n >> np.uint64(4)) * np.uint64(0x9E3779B1)) << np.uint64(4) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | (n & np.uint64(15)).astype(np.uint32)
 
     @staticmethod
-    def _partial(bit, place):
-        """The bits of the byte before each bit, with a leading one."""
-        b = bit.reshape(-1, 8)
-        out = np.ones_like(b)
-        for j in range(1, 8):
-            out[:, j] = out[:, j - 1] * 2 + b[:, j - 1]
-        return out.ravel()
-
-    def slopes(self, group: Group) -> np.ndarray:
-        """Per gate: negative log likelihood, its slope and its curvature, of training words weighted by count."""
-        k = ORDERS + 1
-        out = np.zeros((GATES, 1 + k + k * k))
-        for owner, cells, whole, bit, place in group:
-            x, gate = self._inputs(cells, whole, bit, place, 1)
-            w = group.counts[owner].astype(np.float64)
-            by = np.argsort(gate, kind="stable")
-            x, gate, w, bit = x[:, by], gate[by], w[by], bit[by]
-            p = squash((self.weights[gate].T * x).sum(0))
-            loss, err, curve = -w * np.log(np.where(bit == 1, p, 1 - p)), w * (p - bit), w * p * (1 - p)
-            cut = np.searchsorted(gate, np.arange(GATES + 1))
-            for g in np.unique(gate):
-                z = slice(cut[g], cut[g + 1])
-                out[g] += np.concatenate(([loss[z].sum()], x[:, z] @ err[z], ((x[:, z] * curve[z]) @ x[:, z].T).ravel()))
-        return out
-
-    def learn(self, total, rounds: int) -> None:
-        """``total()`` gives the sums of :meth:`slopes` over all groups at the present weights."""
-        k = ORDERS + 1
-        best, least = self.weights.copy(), np.full(GATES, np.inf)
-        step = np.zeros((GATES, k))
-        for _ in range(rounds):
-            sums = total()
-            pull = self.weights - START
-            loss = sums[:, 0] + RIDGE / 2 * (pull**2).sum(1)
-            better = loss <= least
-            slope, curve = sums[:, 1 : 1 + k] + RIDGE * pull, sums[:, 1 + k :].reshape(-1, k, k) + RIDGE * np.eye(k)
-            step = np.where(better[:, None], -np.linalg.solve(curve, slope[:, :, None])[:, :, 0], step / 2)
-            best, least = np.where(better[:, None], self.weights, best), np.minimum(loss, least)
-            self.weights = best + step
-        self.weights = best
-
-    def bins(self, group: Group) -> np.ndarray:
-        """The map's (all, ones) observations (256 * BUCKETS, 2) of training words weighted by count."""
-        out = np.zeros((256 * BUCKETS, 2))
-        for owner, cells, whole, bit, place in group:
-            x, gate = self._inputs(cells, whole, bit, place, 1)
-            ctx = self._partial(bit, place)
-            _, lo, f = self._refine((self.weights[gate].T * x).sum(0), ctx)
-            w = group.counts[owner].astype(np.float64)
-            for cell, share in ((lo, 1 - f), (lo + 1, f)):
-                key = ctx * BUCKETS + cell
-                out[:, 0] += np.bincount(key, w * share, len(out))
-                out[:, 1] += np.bincount(key, w * share * bit, len(out))
-        return out
-
-    def set_map(self, bins: np.ndarray) -> None:
-        self.map = ((self.map.ravel() * PRIOR + bins[:, 1]) / (PRIOR + bins[:, 0])).reshape(256, BUCKETS)
-
-    def log10(self, group: Group) -> np.ndarray:
-        """log10 P(word and stop) of each word."""
-        out = np.zeros(len(group.words))
-        for owner, cells, whole, bit, place in group:
-            x, gate = self._inputs(cells, whole, bit, place, 0)
-            mixed = (self.weights[gate].T * x).sum(0)
-            refined, _, _ = self._refine(mixed, self._partial(bit, place))
-            p = np.clip((squash(mixed) + 3 * refined) / 4, 1e-6, 1 - 1e-6)
-            out += np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p)), len(out))
+    def contexts(parts) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """(symbols to code, what stands before them, a hash for each table, symbols of each part)."""
+        lead = np.array([PAD + len(a) for a, _, _ in parts])
+        own = np.array([len(b) + last for _, b, last in parts])
+        data = np.frombuffer(b"".join(b"".join((bytes(PAD), a, b, b"\0" * last)) for a, b, last in parts), np.uint8).astype(np.uint64) + np.uint64(1)
+        start = np.cumsum(lead + own) - lead - own
+        data[(start[:, None] + np.arange(PAD)).ravel()] = 0
+        data[(start + lead + own - 1)[[last for _, _, last in parts]]] = END + 1
+        # hash of the word so far: differences of running sums of data * odd ** place
+        n = len(data) - PAD
+        power, back = _powers(len(data))
+        sums = np.cumsum(data * power)
+        space = np.maximum.accumulate(np.where(_SPACE.take(data), np.arange(len(data)), 0))
+        keep = np.ones(len(data), bool)
+        keep[(np.repeat(start, lead) + np.arange(int(lead.sum())) - np.repeat(np.cumsum(lead) - lead, lead))] = False
+        at = np.flatnonzero(keep) - PAD
+        p = [data[PAD - k : PAD - k + n] for k in range(1, PAD + 1)]  # the symbol k places before
+        began = space[PAD - 1 : -1]
+        word = (sums[PAD - 1 : -1] - sums.take(began)) * back.take(began) * _ODD + data.take(began)
+        two = p[0] << np.uint64(9) | p[1]
+        three = two << np.uint64(9) | p[2]
+        five = (three << np.uint64(18) | p[3] << np.uint64(9) | p[4]) * _ODD
+        hashes = [((c * _ODD) >> np.uint64(28)).astype(np.uint32).take(at) & np.uint32(0xFFFFFFF0) for c in (two, three, five ^ five >> np.uint64(31), word ^ word >> np.uint64(29))]
+        return data.take(at + PAD).astype(np.int64) - 1, p[0].take(at).astype(np.int64), hashes, own
+
+    def decisions(self, parts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cells (K, n), what stands before, bit, first decision of each part)."""
+        symbols, before, hashes, own = self.contexts(parts)
+        pair = before * SYMBOLS + symbols
+        steps = self.steps[pair]
+        upto = np.cumsum(steps)
+        owner = np.repeat(np.arange(len(symbols)), steps)
+        flat = (self.first[pair] - (upto - steps)).take(owner)
+        flat += np.arange(len(owner))
+        spread, bit = self.spread.take(self.node.take(flat)), self.bit.take(flat)
+        cells = np.empty((K, len(owner)), np.int64)
+        for k in range(K):
+            np.add((hashes[k].take(owner) ^ spread) & np.uint32((1 << CELLS[k]) - 1), OFFSET[k], out=cells[k], casting="unsafe")
+        ends = np.cumsum(own)
+        return cells, before.take(owner), bit, np.concatenate(([0], upto[ends[:-1] - 1]))
+
+
+_power_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """odd ** (i + 1) and its inverse, kept between calls."""
+    if not _power_tables or len(_power_tables[0]) < n:
+        size = max(n, 1 << 16)
+        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+        _power_tables[:] = [np.cumprod(np.full(size, x, np.uint64)) for x in (_ODD, inverse)]
+    return _power_tables[0][:n], _power_tables[1][:n]
+
+
+def stretched(counts: np.ndarray) -> np.ndarray:
+    """The table of inputs for counts (cells, 2)."""
+    return np.log((counts[:, 1] + np.float32(FEW)) / (counts[:, 0] + np.float32(FEW)))
+
+
+def evidence(counts: np.ndarray) -> np.ndarray:
+    """Level of each cell: how many of ``LEVELS`` its observations exceed."""
+    n = counts[:, 0] + counts[:, 1]
+    return sum((n > level).astype(np.uint8) for level in LEVELS)
+
+
+class Mixer:
+    """Prediction from fixed inputs: ``inputs`` of all cells, ``levels`` of the cells of the last two tables, weights (K, GATES)."""
+
+    def __init__(self, inputs: np.ndarray, levels: np.ndarray, weights: np.ndarray):
+        self.inputs, self.levels, self.weights = inputs, levels, weights
+
+    def mixed(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs (K, n), gate, mixed value)."""
+        x = self.inputs.take(cells)
+        gate = self.levels.take(cells[K - 2] - OFFSET[K - 2]) * np.uint8(len(LEVELS) + 1) + self.levels.take(cells[K - 1] - OFFSET[K - 2])
+        z = self.weights[0].take(gate) * x[0]
+        for k in range(1, K):
+            z += self.weights[k].take(gate) * x[k]
+        return x, gate, z
+
+
+def bucket(before: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Cell of the map."""
+    return before * BUCKETS + np.rint(np.clip(z, -8, 8) * 2 + 16).astype(np.int64)
+
+
+class Learner:
+    """One task's tables, weights and map."""
+
+    def __init__(self, coder: Coder):
+        self.coder = coder
+        self.counts = np.zeros((TOTAL, 2), np.float32)
+        self.weights = np.full((K, GATES), START, np.float32)
+        self.past = np.full((K, GATES), 1e-6)  # squared slopes so far
+        self.behind = np.zeros(GATES)  # decisions behind each gate's weights
+        self.map = np.zeros((MAP, 2))
+
+    def learn(self, parts) -> None:
+        """Predict a run of parts, correct the weights, then count the run."""
+        cells, before, bit, _ = self.coder.decisions(parts)
+        mixer = Mixer(stretched(self.counts), evidence(self.counts[OFFSET[K - 2] :]), self.weights)
+        for a in range(0, len(bit), STEP):
+            cut = slice(a, a + STEP)
+            x, gate, z = mixer.mixed(cells[:, cut])
+            error = bit[cut] - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+            for k in range(K):
+                slope = np.bincount(gate, error * x[k], GATES)
+                self.past[k] += slope**2
+                self.weights[k] += (RATE * slope / np.sqrt(self.past[k])).astype(np.float32)
+            self.behind += np.bincount(gate, minlength=GATES)
+            where = bucket(before[cut], z)
+            where += where
+            where += bit[cut]
+            self.map += np.bincount(where, minlength=2 * MAP).reshape(-1, 2)
+        for k in range(K):
+            size = 2 << CELLS[k]
+            at = cells[k] - OFFSET[k]
+            at += at
+            at += bit
+            self.counts[OFFSET[k] : OFFSET[k + 1]] += np.bincount(at, minlength=size).reshape(-1, 2)
+
+    def blocks(self):
+        """(block, bytes): the counts by blocks of ``BLOCK`` cells that are not empty, and at ``BLOCKS`` the weights, the decisions behind them and the map."""
+        for i in range(BLOCKS):
+            part = self.counts[i * BLOCK : (i + 1) * BLOCK]
+            if part.any():
+                yield i, packed(part)
+        yield BLOCKS, np.concatenate(((self.weights * self.behind).ravel(), self.behind, self.map.ravel())).tobytes()
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as eight-byte numbers, first the first bytes of all, then the second, ...: the upper ones are zeros, which compress."""
+    return counts.astype("<i8").ravel().view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def added(block: int, parts: list[bytes]) -> bytes:
+    """The sum of the same block of several learners."""
+    if block == BLOCKS:
+        return sum(np.frombuffer(p, np.float64) for p in parts).tobytes()
+    return packed(sum(unpacked(p) for p in parts))
+
+
+class Model(Mixer):
+    """What learners' summed states make."""
+
+    def __init__(self, coder: Coder, blocks: dict[int, bytes]):
+        counts = np.zeros((TOTAL, 2), np.float32)
+        for i, data in blocks.items():
+            if i < BLOCKS:
+                counts[i * BLOCK : (i + 1) * BLOCK] = unpacked(data).reshape(-1, 2)
+        rest = np.frombuffer(blocks[BLOCKS]) if BLOCKS in blocks else np.zeros((K + 1) * GATES + 2 * MAP)
+        weights, behind, seen = np.split(rest, np.cumsum((K * GATES, GATES)))
+        weights = np.where(behind > 0, weights.reshape(K, GATES) / np.maximum(behind, 1), START).astype(np.float32)
+        super().__init__(stretched(counts), evidence(counts[OFFSET[K - 2] :]), weights)
+        seen = seen.reshape(BEFORE, BUCKETS, 2)
+        first = 1 / (1 + np.exp(-(np.arange(BUCKETS) - 16) / 2))
+        self.map = ((seen[..., 1] + 8 * first) / (seen.sum(-1) + 8)).ravel().astype(np.float32)
+        self.coder = coder
+
+    def log10(self, texts: list[bytes]) -> np.ndarray:
+        """log10 P of each lower-cased text, its end included."""
+        out = np.zeros(len(texts))
+        parts = ((*p, i) for i, t in enumerate(texts) for p in pieces(t))
+        for run in runs(parts, 1 << 15):
+            cells, before, bit, first = self.coder.decisions([p[:3] for p in run])
+            _, _, z = self.mixed(cells)
+            refined = self.map.take(bucket(before, z))
+            p = (1 / (1 + np.exp(-np.clip(z, -20, 20))) + 3 * refined) / 4
+            p = np.clip(p, 1e-6, 1 - 1e-6)
+            p = np.where(bit, p, 1 - p)
+            np.add.at(out, [p[3] for p in run], np.add.reduceat(np.log10(p).astype(np.float64), first))
         return out

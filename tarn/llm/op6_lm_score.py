@@ -1,30 +1,29 @@
-"""Language-model scoring: a word unigram base and logistic context mixing.
-
-The mixing model (:mod:`.mixing_model`) gives each word, with the space that
-stops it, a probability from its bytes. As no context reaches over a stop, a
-text's score is a sum over its words, and each distinct word is scored once:
-the cost of bit-wise mixing follows the vocabulary, not the corpus.
-
-1. Words are counted (in Python for each batch, then by a partial and final sum).
-2. The predictors' tables, sized from the vocabulary, are filled from the training
-   counts of all words, part tables summed by blocks. The vocabulary is cut into
-   groups of neighbours in byte order, which count the whole-word context exactly;
-   weights and map are sums over all training words of all groups, by their counts.
-3. Texts are counted again. Words with 1 / ``HEAD`` of all tokens or more (so
-   ``HEAD`` at most) are looked up in a broadcast table; the others, none of
-   which can be hot, are joined with the vocabulary and summed for each text.
+"""Language-model scoring: a word unigram base and online logistic context mixing.
+
+1. Words and bytes are counted (in Python for each batch, then by a partial and final sum).
+2. One pass over the training texts: each task learns a mixing model online
+   (:mod:`.mixing_model`) over its whole texts; the learners' tables are summed
+   block by block in a tree of groups of ``FAN``. A model has one size whatever the
+   corpus: five hashed tables of counts, which its contexts share.
+3. Every text is coded by the model, bytes and end: score is its log10 probability,
+   bits_per_byte the code length by byte. In the same pass words with
+   1 / ``HEAD`` of all tokens or more (so ``HEAD`` at most) are looked up in a
+   broadcast table for the base; the others, none of which can be hot, are joined
+   with the vocabulary and summed for each text.
 
 Texts are lower-cased (A-Z). Training rows are those whose crc32 of the id's
 text is not 2 modulo 7. Defined results: null and empty texts are the end token
 alone; a null id counts as training; repeated rows are counted and scored one by
-one; with no training rows c and N are 0 and the model is uniform over bits;
-extra columns are ignored; scores are rounded to 9 decimals.
+one; with no training rows c and N are 0 and each decision of the model has
+probability 1/2; an empty table gives no rows; very long texts are read in pieces
+and scored whole; extra columns, whatever their names, are ignored; scores are
+rounded to 9 decimals. The model depends on how the table is dealt to tasks (not
+on their order), as learning is online within a task.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -33,52 +32,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .mixing_model import Group, Model, add_counts, base_of, grams_of, table_bits
+from .mixing_model import PAIRS, Coder, Learner, Model, added, pair_counts, pieces, runs
 
 HEAD = 1 << 18
-GROUP = 200_000  # bytes of a group of words, about
-ROUNDS = 4
-BLOCK = 8192  # cells of a part table that are sent as one row
-KINDS = b" \t\n\x0b\x0c\r"  # stops; the end is one more
+FAN = 64
 FLUSH = 300_000
-# keys with a space are no words: kinds of stops " 0" to " 6" (the end), and empty words
-EMPTY = b" e"
+SLICE = 1024
+# keys with a space are no words: " 65" is the symbol pair of that number, " e" the end
+END_KEY = b" e"
 
 
 def held_out(doc_id) -> object:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _stops(text: bytes) -> list[int]:
-    return [*(text.count(bytes([k])) for k in KINDS), 1]
+def _lower(value) -> bytes:
+    return value.as_buffer().to_pybytes().lower() if value.is_valid else b""
+
+
+def _sliced(batches):
+    return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
 
 
 def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(word, c, total): occurrences in training texts and in all; also of the special keys."""
+    """(word, c, total): occurrences in training texts and in all; also of the end and, in training texts, of symbol pairs, by their keys."""
 
     def run(batches):
-        seen = Counter(), Counter()
+        seen, pairs = (Counter(), Counter()), np.zeros(PAIRS, np.int64)
 
         def rows():
+            seen[0].update({b" %d" % i: int(pairs[i]) for i in np.flatnonzero(pairs)})
             words = list(seen[0] | seen[1])
             c, h = ([s[w] for w in words] for s in seen)
             out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([a + b for a, b in zip(c, h)], pa.int64())], ["word", "c", "total"])
             seen[0].clear()
             seen[1].clear()
+            pairs[:] = 0
             return out
 
-        for batch in batches:
+        for batch in _sliced(batches):
+            learned = []
             for t, held in zip(batch.column(0), batch.column(1).to_pylist()):
-                text = t.as_buffer().to_pybytes().lower() if t.is_valid else b""
-                words, stops = text.split(), _stops(text)
-                s = seen[held]
-                s.update(words)
-                for i, n in enumerate(stops):
-                    if n:
-                        s[b" %d" % i] += n
-                s[EMPTY] += sum(stops) - len(words)
-                if len(seen[0]) + len(seen[1]) > FLUSH:
-                    yield rows()
+                text = _lower(t)
+                seen[held].update(text.split())
+                seen[held][END_KEY] += 1
+                if not held:
+                    learned.append(text)
+            pairs += pair_counts(learned)
+            if len(seen[0]) + len(seen[1]) > FLUSH:
+                yield rows()
         if seen[0] or seen[1]:
             yield rows()
 
@@ -86,198 +88,80 @@ def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return part.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
-def _special(word: bytes) -> bool:
-    return b" " in word
-
-
-def count_grams(words: DataFrame) -> dict[int, int]:
-    """Distinct (context, byte) pairs of the training words, by order."""
-
-    def run(batches):
-        seen = np.zeros(0, np.uint64)
-        for batch in batches:
-            if batch.num_rows:
-                seen = np.union1d(seen, grams_of(batch.column(0).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], ["gram"])
-
-    grams = words.select("word").mapInArrow(run, "gram long").distinct()
-    return {r["k"]: r["count"] for r in grams.groupBy(F.shiftright("gram", 40).cast("int").alias("k")).count().collect()}
-
-
-def fill_tables(words: DataFrame, bits: tuple[int, ...]) -> np.ndarray:
-    """The tables' counts (cells, 2) from all training words; what reaches the driver has their size."""
-    cells = int(base_of(bits)[-1])
-
-    def run(batches):
-        tab = np.zeros((cells, 2), np.float32)
-        for batch in batches:
-            add_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy(), tab, bits)
-        rows = [(i // BLOCK, tab[i : i + BLOCK]) for i in range(0, cells, BLOCK)]
-        rows = [(k, b.tobytes()) for k, b in rows if b.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["block", "counts"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in group.column("counts"))
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    parts = words.select("word", "c").mapInArrow(run, "block int, counts binary")
-    out = np.zeros((cells, 2), np.float32)
-    for r in parts.groupBy("block").applyInArrow(merge, "block int, counts binary").toLocalIterator():
-        b = np.frombuffer(bytes(r["counts"]), np.float32).reshape(-1, 2)
-        out[r["block"] * BLOCK : r["block"] * BLOCK + len(b)] = b
-    return out
-
-
-def cut_words(plain: DataFrame, group: int = GROUP) -> list[bytes]:
-    """Words (with their stop) that cut the vocabulary, in byte order, into groups of about ``group`` bytes: every 16th of a random choice."""
-    size = plain.agg(F.sum(F.octet_length("word") + 1)).first()[0] or 0
-    u = (F.pmod(F.xxhash64("word", F.lit(6)), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-    chosen = plain.select("word", (-F.log(u) / (F.octet_length("word") + 1)).alias("k")).orderBy("k", "word").limit(16 * (size // group)).collect()
-    return sorted(bytes(r["word"]) + b" " for r in chosen)[15::16]
-
-
-def with_group(plain: DataFrame, cuts: list[bytes]) -> DataFrame:
-    shared = plain.sparkSession.sparkContext.broadcast(cuts)
-
-    def run(batches):
-        for batch in batches:
-            part = [bisect_right(shared.value, w + b" ") for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], [*batch.schema.names, "part"])
-
-    return plain.select("word", "c", "total").mapInArrow(run, "word binary, c long, total long, part int")
-
-
-def _by_group(words: DataFrame, f, schema: str) -> DataFrame:
-    """``f(part, words, counts, table)`` for each group, its words in byte order."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("word")
-        return f(group.column("part")[0].as_py(), group.column("word").to_pylist(), group.column("c").to_numpy(), group)
-
-    return words.groupBy("part").applyInArrow(run, schema)
-
-
-def shared_contexts(words: DataFrame, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids in order, zeros and ones) of the whole-word contexts that reach over a cut, and of those of the empty word."""
-
-    def f(part, w, c, _):
-        ids, n = Group(w, c, None).shared([b"", *(x[:-1] for x in cuts[max(0, part - 1) : part + 1])])
-        return pa.table({"id": pa.array(ids.view(np.int64)), "n0": pa.array(n[:, 0]), "n1": pa.array(n[:, 1])})
-
-    got = _by_group(words, f, "id long, n0 double, n1 double").groupBy("id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    ids = got.column("id").to_numpy().view(np.uint64)
-    by = np.argsort(ids)
-    return ids[by], np.stack([got.column(k).to_numpy() for k in ("n0", "n1")], 1)[by]
-
+def fit(docs: DataFrame, pairs: np.ndarray, id_col: str, text_col: str) -> Model:
+    """The model of the training texts; what reaches the driver has the model's size."""
 
-def _summed(words: DataFrame, f) -> np.ndarray:
-    """The sum over groups of the array ``f(words, counts)``, added in the order of the groups."""
+    coder = docs.sparkSession.sparkContext.broadcast(Coder(pairs))
 
-    def one(part, w, c, _):
-        return pa.table({"part": pa.array([part], pa.int32()), "x": pa.array([f(w, c).tobytes()], pa.binary())})
+    def learn(batches):
+        learner = Learner(coder.value)
+        for run in runs(p for b in _sliced(batches) for t in b.column(0) for p in pieces(_lower(t))):
+            learner.learn(run)
+        rows = list(learner.blocks())
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["block", "data"])
 
     def merge(group: pa.Table) -> pa.Table:
         group = group.sort_by("part")
-        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in group.column("x"))
-        return pa.table({"part": group.column("part")[:1], "x": pa.array([total.tobytes()], pa.binary())})
+        block, part = group.column("block")[0].as_py(), group.column("part")[0].as_py()
+        return pa.table({"block": pa.array([block], pa.int32()), "part": pa.array([part // FAN], pa.int32()), "data": pa.array([added(block, [x.as_py() for x in group.column("data")])], pa.binary())})
 
-    schema = "part int, x binary"
-    rows = _by_group(words, one, schema).groupBy(F.col("part") % 32).applyInArrow(merge, schema).collect()
-    return sum(np.frombuffer(bytes(r["x"]), np.float64) for r in sorted(rows, key=lambda r: r["part"])) if rows else np.zeros(1)
+    train = docs.filter(~held_out(F.col(id_col))).select(F.col(text_col).cast("binary").alias("t"))
+    states = train.mapInArrow(learn, "block int, data binary").select("block", F.spark_partition_id().alias("part"), "data")
+    width = train.rdd.getNumPartitions()
+    while width:
+        states = states.groupBy("block", F.expr(f"part div {FAN}")).applyInArrow(merge, "block int, part int, data binary")
+        width = 0 if width <= FAN else -(-width // FAN)
+    return Model(coder.value, {r["block"]: bytes(r["data"]) for r in states.toLocalIterator()})
 
 
-def fit(words: DataFrame, cuts: list[bytes], rounds: int = ROUNDS) -> Model:
-    """``words`` have their group. Tables, weights and map come from all with a training count."""
-    spark = words.sparkSession
-    train = words.filter("c > 0")
-    bits = table_bits(count_grams(train))
-    model = Model(fill_tables(train, bits), bits, shared_contexts(train, cuts))
-    if train.isEmpty():
-        return model
-    fixed = spark.sparkContext.broadcast(model)  # the tables are sent once, the weights each round
-
-    def at(weights, method):
-        def f(w, c):
-            m = fixed.value
-            m.weights = weights
-            return getattr(m, method)(m.group(w, c)).ravel()
-
-        return _summed(train, f)
-
-    shape = model.weights.shape[0]
-    model.learn(lambda: at(model.weights, "slopes").reshape(shape, -1), rounds)
-    model.set_map(at(model.weights, "bins").reshape(-1, 2))
-    return model
-
-
-def score_vocabulary(words: DataFrame, model) -> DataFrame:
-    """(word, c, total, logp) of the words; ``model`` is a broadcast variable."""
-
-    def f(_, w, c, group):
-        m = model.value
-        return group.select(["word", "c", "total"]).append_column("logp", pa.array(m.log10(m.group(w, c))))
-
-    return _by_group(words, f, "word binary, c long, total long, logp double")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, sample: int | None = None, group: int = GROUP) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. All training words are learned; ``sample`` has no effect."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
-    vocabulary = count_words(docs, id_col, text_col)
-    vocabulary = materialize(vocabulary.withColumn("special", F.position(F.lit(b" "), F.col("word")) > 0), "vocabulary")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    vocabulary = materialize(count_words(docs, "id", "text").withColumn("special", F.position(F.lit(b" "), F.col("word")) > 0), "vocabulary")
     plain = vocabulary.filter("NOT special")
-    special = {bytes(r["word"]): (r["c"], r["total"]) for r in vocabulary.filter("special").collect()}  # eight keys at most
+    special = {bytes(r["word"]): (r["c"], r["total"]) for r in vocabulary.filter("special").collect()}  # PAIRS + 1 keys at most
     sums = plain.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("total"), F.lit(0))).first()
-    ends = special.get(b" 6", (0, 0))[0]
+    ends = special.get(END_KEY, (0, 0))[0]
     n, v = sums[0] + ends, sums[1] + (ends > 0)
     least = max(1, -(-sums[2] // head))
-    cuts = cut_words(plain, group)
-    plain = materialize(with_group(plain, cuts), "groups")
-    model = fit(plain, cuts)
-    shared = spark.sparkContext.broadcast(model)
-    scored = materialize(score_vocabulary(plain, shared), "scored")
-    top = scored.filter(F.col("total") >= least).toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), zip(top.column("c").to_pylist(), top.column("logp").to_pylist()))))
+    pairs = np.zeros(PAIRS, np.int64)
+    for key, (c, _) in special.items():
+        if key != END_KEY:
+            pairs[int(key)] = c
+    model = spark.sparkContext.broadcast(fit(docs, pairs, "id", "text"))
+    top = plain.filter(F.col("total") >= least).select("word", "c").toArrow()
     base = lambda c: math.log10((c + 1) / (n + v + 1))
-    kinds = [special.get(b" %d" % i, (0, 0))[0] + 1 for i in range(len(KINDS) + 1)]
-    kinds = [math.log10(k / sum(kinds)) for k in kinds]
-    nothing = float(model.log10(model.group([b""], np.zeros(1)))[0])
+    known = spark.sparkContext.broadcast({w: base(c) for w, c in zip(top.column("word").to_pylist(), top.column("c").to_pylist())})
+    schema = "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bytes long"
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        table_ = known.value
-        get = table_.get
-        for batch in batches:
-            row, word, times, out = [], [], [], []
-            for i, t, doc, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                text = t.as_buffer().to_pybytes().lower() if t.is_valid else b""
-                words, stops = text.split(), _stops(text)
-                n_known, b, s = int(ends > 0), base(ends), nothing * (sum(stops) - len(words)) + sum(k * z for k, z in zip(kinds, stops) if z)
-                late = []
+        get, never = known.value.get, base(0)
+        for batch in _sliced(batches):
+            texts = [_lower(t) for t in batch.column(1)]
+            facts, row, word, times = [], [], [], []
+            for i, text, doc, h, s in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), model.value.log10(texts)):
+                words = text.split()
+                n_known, b, late = int(ends > 0), base(ends), len(word)
                 for w, k in Counter(words).items():
-                    hit = get(w)
-                    if hit is None:
-                        late.append((w, k))
+                    x = get(w)
+                    if x is None:
+                        word.append(w)
+                        times.append(k)
                     else:
-                        c, logp = hit
-                        n_known += k * (c > 0)
-                        b += k * base(c)
-                        s += k * logp
-                row.append(i)
-                word.append(b" %d" % i)  # no word: joins nothing
-                times.append(0)
-                out.append((doc, h, len(words) + 1, n_known, b, s, len(text) + 1))
-                for w, k in late:
-                    row.append(i)
-                    word.append(w)
-                    times.append(k)
-                    out.append(None)
-            whole = list(zip(*(o or (None,) * 7 for o in out))) if out else [[]] * 7
-            kinds_ = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(times, pa.int64()), *[pa.array(x, k) for x, k in zip(whole, kinds_)]], ["row", "word", "times", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bytes"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("i"), F.col(text_col).cast("binary").alias("t"), F.col(id_col).cast("long").alias("d"), held_out(F.col(id_col)).alias("h"))
-    rows = rows.mapInArrow(run, "row long, word binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bytes long")
-    tail = scored.filter(F.col("total") < least).drop("total")
+                        b += k * x
+                        if x != never:
+                            n_known += k
+                row += [i] * (len(word) - late)
+                facts.append((i, b" %d" % i, 0, doc, h, len(words) + 1, n_known, b, float(s), len(text) + 1))  # the key is no word: it joins nothing
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*facts) if facts else [[]] * len(kinds), kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(row, kinds[0]), pa.array(word, kinds[1]), pa.array(times, kinds[2]), *[pa.nulls(len(row), k) for k in kinds[3:]]], names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("i"), F.col("text").cast("binary").alias("t"), F.col("id").cast("long").alias("d"), held_out(F.col("id")).alias("h"))
+    rows = rows.mapInArrow(run, schema)
+    tail = plain.filter(F.col("total") < least).select("word", "c")
     j = rows.join(tail, "word", "left")
     late = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
     d = j.groupBy("row").agg(
@@ -286,7 +170,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
         F.max("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("n_known", F.when(F.col("c") > 0, F.col("times")), F.lit(0))).alias("n_known"),
         F.sum(F.coalesce("base_score", F.col("times") * late)).alias("base_score"),
-        F.sum(F.coalesce("score", F.col("times") * F.col("logp"))).alias("score"),
+        F.max("score").alias("score"),
         F.max("bytes").alias("bytes"),
     )
     bits = -F.col("score") * F.lit(math.log2(10)) / F.col("bytes")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarn.llm import flac, mixing_model, op1_license_scan, op2_mixing, op3_media, op4_packing, op5_url_filter, op6_lm_score, op7_sharding, op8_toxicity, op9_exact_dedup, op10_jaccard_join
+from tarn.llm import flac, op1_license_scan, op2_mixing, op3_media, op4_packing, op5_url_filter, op7_sharding, op8_toxicity, op9_exact_dedup, op10_jaccard_join
 from tarn.llm.lexicon import EXACT, FUZZY, STEM, Matcher
 
 LONG = "word " * 30_000
@@ -191,39 +191,6 @@ def test_toxicity(spark, docs):
     assert op8_toxicity.fit(d.filter("false"), labels)["weights"] is None
 
 
-def test_lm_score(docs):
-    out = op6_lm_score.score(docs, sample=50).collect()
-    assert len(out) == len(TEXTS) and all(r["score"] < 0 for r in out)
-    assert {r["n_tokens"] for r in out if r["doc_id"] == 5} == {30_001}
-
-
-def test_lm_learns_from_all_training_words(spark):
-    rng = np.random.default_rng(1)
-    texts = [" ".join("".join(rng.choice(list("abcde\x01"), rng.integers(1, 9))) for _ in range(40)) for _ in range(60)]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    one, many = ({r["doc_id"]: r for r in op6_lm_score.score(d, **k).collect()} for k in ({"sample": 20}, {"sample": 1_000, "group": 100}))
-    assert one.keys() == many.keys() and all(abs(one[i]["score"] - many[i]["score"]) < 1e-6 for i in one)
-    assert sum(r["bits_per_byte"] for r in one.values()) / len(one) < 4
-
-
-def test_lm_counts_whole_word_contexts_exactly_over_cuts(spark):
-    words = [b"a", b"ab", b"ab\x01", b"ab!", b"abc", b"b", b"ba", b"\xc3\xa9"]
-    plain = spark.createDataFrame([(bytearray(w), i + 1, i + 2) for i, w in enumerate(words)], "word binary, c long, total long")
-    cuts = sorted(w + b" " for w in (b"ab\x01", b"abc", b"ba"))
-    edges = op6_lm_score.shared_contexts(op6_lm_score.with_group(plain, cuts), cuts)
-    whole = mixing_model.Group(words, np.arange(1, 9), None)
-    want = dict(zip(whole.ids.tolist(), whole.n.tolist()))
-    for part in range(4):
-        mine = [i for i, w in enumerate(words) if sum(w + b" " >= c for c in cuts) == part]
-        g = mixing_model.Group([words[i] for i in mine], np.array(mine) + 1, None, edges)
-        assert mine and all(want[k] == n for k, n in zip(g.ids.tolist(), g.n.tolist()))
-
-
-def test_lm_tables_grow_with_the_vocabulary():
-    assert mixing_model.table_bits({}) == mixing_model.BITS
-    assert mixing_model.table_bits({1: 5000, 2: 10**6, 3: 10**8})[1:] == (16, 23, 30)
-
-
 def brute_components(texts, n, percent):
     sets = []
     for t in texts:

@@ -66,10 +66,36 @@ class _Columns:
 
     sin, cos, tan, atan, atan2, sinh, cosh, asinh, atanh, sqrt, exp, log = (getattr(F, n) for n in "sin cos tan atan atan2 sinh cosh asinh atanh sqrt exp log".split())
 
+    @staticmethod
+    def let(f, *values):
+        """The struct or column ``f`` makes of the values, each of which is computed once however often it is used."""
+        bound = F.struct(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+        return F.transform(F.array(bound), lambda b: f(*[b[f"v{i}"] for i in range(len(values))]))[0]
+
+    @staticmethod
+    def pair(x, y):
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    @staticmethod
+    def split(p):
+        return p["x"], p["y"]
+
 
 class _Arrays:
     """The same on numpy arrays and numbers."""
 
+    @staticmethod
+    def let(f, *values):
+        return f(*values)
+
+    @staticmethod
+    def pair(x, y):
+        return x, y
+
+    @staticmethod
+    def split(p):
+        return p
+
     def __getattr__(self, name: str):
         import numpy as np
 
@@ -94,15 +120,19 @@ def _forward(m, epsg: int, lon, lat):
     if epsg == MERCATOR:
         return lon * (rad * R), m.log(m.tan(lat * (rad / 2) + math.pi / 4)) * R
     centre, north = _zone(epsg)
-    s = m.sin(lat * rad)
-    t = m.sinh(m.atanh(s) - m.atanh(s * E) * E)
-    d = (lon - centre) * rad
-    xi, eta = m.atan2(t, m.cos(d)), m.atanh(m.sin(d) / m.sqrt(t * t + 1))
-    x, y = eta, xi
-    for j, a in enumerate(ALPHA, 1):
-        x = x + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * a
-        y = y + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * a
-    return x * (K0 * A) + FALSE_E, y * (K0 * A) + north
+
+    def conformal(s, d):
+        t = m.sinh(m.atanh(s) - m.atanh(s * E) * E)
+        return m.pair(m.atan2(t, m.cos(d)), m.atanh(m.sin(d) / m.sqrt(t * t + 1)))
+
+    def series(xi, eta):
+        x, y = eta, xi
+        for j, a in enumerate(ALPHA, 1):
+            x = x + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * a
+            y = y + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * a
+        return m.pair(x * (K0 * A) + FALSE_E, y * (K0 * A) + north)
+
+    return m.split(m.let(series, *m.split(m.let(conformal, m.sin(lat * rad), (lon - centre) * rad))))
 
 
 def _backward(m, epsg: int, x, y):
@@ -112,20 +142,27 @@ def _backward(m, epsg: int, x, y):
     if epsg == MERCATOR:
         return x * (deg / R), (m.atan(m.exp(y / R)) * 2 - math.pi / 2) * deg
     centre, north = _zone(epsg)
-    xi, eta = (y - north) / (K0 * A), (x - FALSE_E) / (K0 * A)
-    p, q = xi, eta
-    for j, b in enumerate(BETA, 1):
-        p = p - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
-        q = q - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
-    # tangent of the conformal latitude, then of the geodetic one by Newton's steps
-    conformal = m.sin(p) / m.sqrt(m.sinh(q) * m.sinh(q) + m.cos(p) * m.cos(p))
-    tau = conformal
-    for _ in range(3):
+
+    def series(xi, eta):
+        p, q = xi, eta
+        for j, b in enumerate(BETA, 1):
+            p = p - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
+            q = q - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
+        return m.pair(p, q)
+
+    def newton(conformal, tau):
         root = m.sqrt(tau * tau + 1)
-        sigma = m.sinh(m.atanh(tau / root * E) * E)
-        now = tau * m.sqrt(sigma * sigma + 1) - sigma * root
-        tau = tau + (conformal - now) / m.sqrt(now * now + 1) * (tau * tau * (1 - E * E) + 1) / (root * (1 - E * E))
-    return m.atan2(m.sinh(q), m.cos(p)) * deg + centre, m.atan(tau) * deg
+        return m.let(lambda c, t, r, s: m.let(lambda c, t, r, now: t + (c - now) / m.sqrt(now * now + 1) * (t * t * (1 - E * E) + 1) / (r * (1 - E * E)), c, t, r, t * m.sqrt(s * s + 1) - s * r), conformal, tau, root, m.sinh(m.atanh(tau / root * E) * E))
+
+    def geodetic(p, q):
+        # tangent of the conformal latitude, then of the geodetic one by Newton's steps
+        conformal = m.sin(p) / m.sqrt(m.sinh(q) * m.sinh(q) + m.cos(p) * m.cos(p))
+        tau = conformal
+        for _ in range(3):
+            tau = m.let(newton, conformal, tau)
+        return m.pair(m.atan2(m.sinh(q), m.cos(p)) * deg + centre, m.atan(tau) * deg)
+
+    return m.split(m.let(geodetic, *m.split(m.let(series, (y - north) / (K0 * A), (x - FALSE_E) / (K0 * A)))))
 
 
 def project(x, y, source: int, target: int):
@@ -140,7 +177,8 @@ def project_columns(x: Column, y: Column, source: int, target: int) -> tuple[Col
     """:func:`project` of columns."""
     if source == target:
         return x, y
-    return _forward(_Columns, target, *_backward(_Columns, source, x, y))
+    whole = _Columns.let(lambda lon, lat: _Columns.pair(*_forward(_Columns, target, lon, lat)), *_backward(_Columns, source, x, y))
+    return whole["x"], whole["y"]
 
 
 def utm_of(lon: float, lat: float) -> int:

@@ -60,9 +60,14 @@ def common_area(left, right) -> float:
     return total
 
 
-@F.pandas_udf("double")
-def overlap_area(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([common_area(a, b) for a, b in zip(left, right)], dtype=float)
+def overlap_area(left: str, right: str) -> Column:
+    """:func:`common_area` of two columns of rings."""
+
+    @F.pandas_udf("double")
+    def area(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([common_area(x, y) for x, y in zip(a, b)], dtype=float)
+
+    return area(left, right)
 
 
 def shape_measures(rings: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classes, crs, tiles
-from ..operators import blocks, compose, features, graph, lakes, profiles, raster, rivers
+from ..functions import classes, crs, geometry, tiles
+from ..operators import blocks, compose, features, graph, lakes, overlap, profiles, raster, rivers
 from ..session import shared_folder, ship
 from ..sources import shapefile
 from . import bridge as b
@@ -179,7 +179,30 @@ def _(s, d):
     return b.points(s, d).select("id", F.round(x, 4).alias("x"), (F.round(y, 4) + 0.0).alias("y"))
 
 
-@query("utm_forward")
+def _utm_sql() -> str:
+    """The sixth-order series written out; the zone's meridian from the place."""
+    n = "(1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE))"
+    alpha = (
+        "n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180 - 127 * n ** 5 / 288 + 7891 * n ** 6 / 37800",
+        "13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440 + 281 * n ** 5 / 630 - 1983433 * n ** 6 / 1935360",
+        "61 * n ** 3 / 240 - 103 * n ** 4 / 140 + 15061 * n ** 5 / 26880 + 167603 * n ** 6 / 181440",
+        "49561 * n ** 4 / 161280 - 179 * n ** 5 / 168 + 6601661 * n ** 6 / 7257600",
+        "34729 * n ** 5 / 80640 - 3418889 * n ** 6 / 1995840",
+        "212378941 * n ** 6 / 319334400",
+    )
+    x = "eta + " + " + ".join(f"({a}) * cos({2 * j} * xi) * (exp({2 * j} * eta) - exp(-{2 * j} * eta)) / 2" for j, a in enumerate(alpha, 1))
+    y = "xi + " + " + ".join(f"({a}) * sin({2 * j} * xi) * (exp({2 * j} * eta) + exp(-{2 * j} * eta)) / 2" for j, a in enumerate(alpha, 1))
+    return b.with_(
+        b.POINTS,
+        f"a AS (SELECT id, lon * 0.99::DOUBLE AS lon, lat, {n} AS n, sqrt(1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE)) AS e FROM pt WHERE lat BETWEEN -80 AND 84)",
+        "z AS (SELECT *, radians(lon - (least(60, greatest(1, floor((lon + 180) / 6) + 1)) * 6 - 183)) AS dl, sin(radians(lat)) AS s FROM a)",
+        "q AS (SELECT *, ln((1 + s) / (1 - s)) / 2 - e * ln((1 + e * s) / (1 - e * s)) / 2 AS psi FROM z)",
+        "c AS (SELECT *, (exp(psi) - exp(-psi)) / 2 AS t FROM q)",
+        "u AS (SELECT *, atan2(t, cos(dl)) AS xi, ln((1 + sin(dl) / sqrt(1 + t * t)) / (1 - sin(dl) / sqrt(1 + t * t))) / 2 AS eta FROM c)",
+    ) + f"SELECT pt.id, round(500000 + 0.9996::DOUBLE * r * ({x}), 4) AS x, round(0.9996::DOUBLE * r * ({y}) + CASE WHEN u.lat < 0 THEN 10000000 ELSE 0 END, 4) AS y FROM pt LEFT JOIN (SELECT *, 6378137.0::DOUBLE / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64 + n ** 6 / 256) AS r FROM u) u ON u.id = pt.id"
+
+
+@query("utm_forward", _utm_sql())
 def _(s, d):
     x, y = crs.utm(F.col("lon") * 0.99, F.col("lat"))
     return b.points(s, d).select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
@@ -284,6 +307,141 @@ def _(s, d):
     return features.classify(f, a, li, 32.0)
 
 
+# ---- general shapes: right triangles, boxes and slanted lines, whose measures the SQL has in closed form
+TRI = (*REF, "tri AS (SELECT id, layer, CAST(minx AS DOUBLE) AS tx, CAST(miny AS DOUBLE) AS ty, CAST(maxx - minx + 6 AS DOUBLE) AS n FROM areas)", "sl AS (SELECT id, layer, CAST(minx AS DOUBLE) AS x0, CAST(miny AS DOUBLE) AS y0, CAST(maxx - minx AS DOUBLE) AS dx, CAST(10 + (maxx - minx) % 7 * 5 AS DOUBLE) AS dy FROM lines)")
+# the part of a triangle beyond a corner is a triangle again
+BEYOND = lambda x, y: f"greatest(0.0::DOUBLE, n - greatest({x} - tx, 0) - greatest({y} - ty, 0)) ** 2 / 2"
+TRI_AREA = f"{BEYOND('f.minx', 'f.miny')} - {BEYOND('f.maxx', 'f.miny')} - {BEYOND('f.minx', 'f.maxy')} + {BEYOND('f.maxx', 'f.maxy')}"
+TRI_MEET = "f.maxx >= tx AND f.maxy >= ty AND greatest(f.minx - tx, 0) + greatest(f.miny - ty, 0) <= n"
+T0 = "greatest(0.0::DOUBLE, (f.minx - x0) / dx, (f.miny - y0) / dy)"
+T1 = "least(1.0::DOUBLE, (f.maxx - x0) / dx, (f.maxy - y0) / dy)"
+
+
+def shapes(s, d):
+    """Water boxes, reference triangles and slanted segments as (id, rings) and (id, segment)."""
+    f, a, li = reference(s, d)
+    p = geometry.point
+    box = lambda x0, y0, x1, y1: F.array(F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1), p(x0, y0)))
+    water = f.select("id", box(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")).alias("rings"))
+    n = F.col("maxx") - F.col("minx") + 6
+    tri = a.select("id", "layer", F.array(F.array(p(F.col("minx"), F.col("miny")), p(F.col("minx") + n, F.col("miny")), p(F.col("minx"), F.col("miny") + n), p(F.col("minx"), F.col("miny")))).alias("rings"))
+    dx = F.col("maxx") - F.col("minx")
+    seg = li.select("id", "layer", F.struct(p(F.col("minx"), F.col("miny")).alias("a"), p(F.col("minx") + dx, F.col("miny") + 10 + dx % 7 * 5).alias("b")).alias("segment"))
+    return water, tri, seg
+
+
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(feature, ref, rings, other) of polygons whose boxes meet."""
+    boxed = lambda x: x.select("id", geometry.bounds(F.col("rings")).alias("b")).select("id", "b.*")
+    j = features.box_join(boxed(left), boxed(right), 32.0).select(F.col("l_id").alias("feature"), F.col("r_id").alias("ref"))
+    return j.join(left.select(F.col("id").alias("feature"), "rings"), "feature").join(right.select(F.col("id").alias("ref"), F.col("rings").alias("other")), "ref")
+
+
+@query("overlap_area", b.with_(*TRI) + f"SELECT feature, ref, round(area, 6) AS area FROM (SELECT f.id AS feature, t.id AS ref, {TRI_AREA} AS area FROM feat f JOIN tri t ON {TRI_MEET}) WHERE round(area, 6) > 0")
+def _(s, d):
+    water, tri, _seg = shapes(s, d)
+    out = near_pairs(water, tri).select("feature", "ref", F.round(overlap.overlap_area("rings", "other"), 6).alias("area"))
+    return out.filter("area > 0")
+
+
+@query("polygons_meet", b.with_(*TRI) + f"SELECT f.id AS feature, t.id AS ref FROM feat f JOIN tri t ON {TRI_MEET}")
+def _(s, d):
+    water, tri, _seg = shapes(s, d)
+    return near_pairs(water, tri).filter(geometry.polygons_meet(geometry.edges(F.col("rings")), geometry.edges(F.col("other")))).select("feature", "ref")
+
+
+@query("line_clip_length", b.with_(*TRI) + f"SELECT feature, line, round(part * sqrt(dx * dx + dy * dy), 6) AS length FROM (SELECT f.id AS feature, l.id AS line, dx, dy, {T1} - {T0} AS part FROM feat f JOIN sl l ON {T0} < {T1}) WHERE round(part * sqrt(dx * dx + dy * dy), 6) > 0")
+def _(s, d):
+    water, _tri, seg = shapes(s, d)
+    ends = seg.select("id", F.array(F.array(F.col("segment.a"), F.col("segment.b"))).alias("rings"), "segment")
+    j = near_pairs(water, ends).join(seg.select(F.col("id").alias("ref"), "segment"), "ref")
+    j = j.select("feature", F.col("ref").alias("line"), F.round(geometry.clipped_length(F.col("segment"), geometry.edges(F.col("rings"))), 6).alias("length"))
+    return j.filter("length > 0")
+
+
+GENERAL = f"""ghits AS (
+  SELECT f.id, layer, '_polygon' AS how FROM feat f JOIN tri t ON {TRI_MEET} WHERE ((f.minx + f.maxx) / 2.0::DOUBLE > tx AND (f.miny + f.maxy) / 2.0::DOUBLE > ty AND (f.minx + f.maxx) / 2.0::DOUBLE - tx + (f.miny + f.maxy) / 2.0::DOUBLE - ty < n)
+    OR ({TRI_AREA}) / CAST((f.maxx - f.minx) * (f.maxy - f.miny) AS DOUBLE) >= 0.2
+  UNION ALL SELECT f.id, layer, '_line' AS how FROM feat f JOIN sl l ON {T0} < {T1} WHERE ({T1} - {T0}) * sqrt(dx * dx + dy * dy) >= 20)"""
+
+
+@query("classify_general", b.with_(*TRI, PRIO, GENERAL, "best AS (SELECT id, min_by(layer, p) AS layer, min_by(layer || how, p) AS reason FROM ghits JOIN prio USING (layer) GROUP BY id)") + "SELECT feat.id, coalesce(layer, 'water') AS fclass, coalesce(reason, 'fallback') AS reason FROM feat LEFT JOIN best USING (id)")
+def _(s, d):
+    water, tri, seg = shapes(s, d)
+    return overlap.classify(water, tri, seg, 32.0)
+
+
+# ---- projections of shapes and grids
+MERC = lambda lat: f"6378137.0::DOUBLE * ln(tan(pi() / 4 + radians({lat}) / 2))"
+PLACE = "pl AS (SELECT p_partkey AS id, CAST(p_partkey % 300 - 150 AS DOUBLE) AS x0, CAST(p_partkey % 130 - 65 AS DOUBLE) AS y0, CAST(1 + p_size % 20 AS DOUBLE) AS dx, CAST(1 + p_size % 10 AS DOUBLE) AS dy FROM part)"
+MX = lambda v: f"6378137.0::DOUBLE * radians({v})"
+
+
+def places(s, d) -> DataFrame:
+    k, z = F.col("p_partkey"), F.col("p_size")
+    return b.read(s, d, "part").select(k.alias("id"), (k % 300 - 150).cast("double").alias("x0"), (k % 130 - 65).cast("double").alias("y0"), (1 + z % 20).cast("double").alias("dx"), (1 + z % 10).cast("double").alias("dy"))
+
+
+@query("densified_bounds", b.with_(PLACE) + f"SELECT id, round({MX('x0')}, 3) AS minx, round({MERC('y0')}, 3) + 0.0 AS miny, round({MX('x0 + dx')}, 3) AS maxx, round({MERC('y0 + dy')}, 3) + 0.0 AS maxy FROM pl")
+def _(s, d):
+    box = crs.densified_bounds_columns(F.col("x0"), F.col("y0"), F.col("x0") + F.col("dx"), F.col("y0") + F.col("dy"), crs.GEOGRAPHIC, crs.MERCATOR)
+    return places(s, d).select("id", box.alias("q")).select("id", *[(F.round(f"q.{c}", 3) + 0.0).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
+@query("reproject_ring", b.with_(PLACE, "v AS (SELECT id, unnest([0, 1, 2, 3, 4]) AS k, unnest([0, 1, 1, 0, 0]) AS i, unnest([0, 0, 1, 1, 0]) AS j, x0, y0, dx, dy FROM pl)") + f"SELECT id, CAST(k AS INT) AS k, round({MX('x0 + i * dx')}, 3) AS x, round({MERC('(y0 + j * dy)')}, 3) + 0.0 AS y FROM v")
+def _(s, d):
+    rect = places(s, d).select(F.col("id").alias("poly"), F.col("x0").alias("c0"), F.col("y0").alias("r0"), F.col("dx").alias("w"), F.col("dy").alias("h"))
+    rings = raster.rectangle_rings(rect).select(F.col("poly").alias("id"), geometry.reproject(F.array("ring"), crs.GEOGRAPHIC, crs.MERCATOR)[0].alias("ring"))
+    return rings.select("id", F.posexplode("ring").alias("k", "p")).select("id", "k", F.round("p.x", 3).alias("x"), (F.round("p.y", 3) + 0.0).alias("y"))
+
+
+@query("reproject_there_and_back", b.with_(PLACE) + "SELECT id, x0 AS x, y0 AS y FROM pl")
+def _(s, d):
+    """Through the UTM zone of 117 degrees east and back, kept near its meridian."""
+    near = F.col("x0") / 50 + 117
+    x, y = crs.project_columns(near, F.col("y0"), crs.GEOGRAPHIC, 32650)
+    p = places(s, d).select("id", x.alias("e"), y.alias("n"))
+    lon, lat = crs.project_columns(F.col("e"), F.col("n"), 32650, crs.GEOGRAPHIC)
+    return p.select("id", (F.round((lon - 117) * 50, 6) + 0.0).alias("x"), (F.round(lat, 6) + 0.0).alias("y"))
+
+
+@query("warp_grid", b.with_(PLACE, f"e AS (SELECT id, {MX('x0')} AS l, {MX('x0 + 50 * dx / 100')} AS r, {MERC('(y0 - 40 * dx / 100)')} AS bt, {MERC('y0')} AS t FROM pl), q AS (SELECT *, sqrt((r - l) ** 2 + (t - bt) ** 2) / sqrt(50.0::DOUBLE * 50 + 40 * 40) AS px FROM e)") + "SELECT id, round(px, 4) AS px, round(l, 3) AS left, round(t, 3) + 0.0 AS top, CAST(floor((r - l) / px + 0.5) AS INT) AS width, CAST(floor((t - bt) / px + 0.5) AS INT) AS height FROM q")
+def _(s, d):
+    step = F.col("dx") / 100
+    g = crs.warp_grid_columns(crs.GEOGRAPHIC, crs.MERCATOR, step, F.col("x0"), -step, F.col("y0"), F.lit(50), F.lit(40))
+    return places(s, d).select("id", g.alias("g")).select("id", F.round("g.px", 4).alias("px"), F.round("g.left", 3).alias("left"), (F.round("g.top", 3) + 0.0).alias("top"), "g.width", "g.height")
+
+
+@query(
+    "roi_window",
+    b.with_(PLACE, "w AS (SELECT id, floor((x0 + 180) / 0.1::DOUBLE) AS c0, ceil((x0 + dx + 180) / 0.1::DOUBLE) AS c1, floor((y0 + dy - 90) / -0.1::DOUBLE) AS r0, ceil((y0 - 90) / -0.1::DOUBLE) AS r1 FROM pl)", "q AS (SELECT *, greatest(64, floor(0.05::DOUBLE * greatest(c1 - c0, r1 - r0))) AS pad FROM w)", "z AS (SELECT id, greatest(0, c0 - pad) AS a, greatest(0, r0 - pad) AS b, least(3000, c1 + pad) AS c, least(1500, r1 + pad) AS d FROM q)")
+    + "SELECT id, CASE WHEN c > a AND d > b THEN CAST(a AS INT) END AS col0, CASE WHEN c > a AND d > b THEN CAST(b AS INT) END AS row0, CASE WHEN c > a AND d > b THEN CAST(c - a AS INT) END AS w, CASE WHEN c > a AND d > b THEN CAST(d - b AS INT) END AS h FROM z",
+)
+def _(s, d):
+    w = crs.roi_window_columns(F.col("x0"), F.col("y0"), F.col("x0") + F.col("dx"), F.col("y0") + F.col("dy"), (0.1, 0.0, -180.0, 0.0, -0.1, 90.0), 3000, 1500)
+    return places(s, d).select("id", w.alias("w")).select("id", "w.*")
+
+
+@query("tile_counters", b.with_(b.RECT, TILES8, f"bx AS ({BOXES})", "wet AS (SELECT DISTINCT tile FROM bx JOIN t ON c1 >= x AND c0 < x + 8 AND r1 >= y AND r0 < y + 8)") + "SELECT count(*) AS total, count(wet.tile) AS water, count(*) - count(wet.tile) AS dry FROM t LEFT JOIN wet USING (tile)")
+def _(s, d):
+    return tiles.counters(tiles.plan(s, 50, 40, 8), tiles.overlaps(boxes(s, d), s, 50, 40, 8))
+
+
+FAULTS = "fk AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN repeat('0123', 7) WHEN 2 THEN '01' || CAST(c_custkey % 10 AS VARCHAR) || '3' WHEN 3 THEN '0' WHEN 4 THEN NULL ELSE '3 1' END AS k FROM customer)"
+
+
+@query("quadkey_faults", b.with_(FAULTS) + "SELECT id, CASE WHEN coalesce(length(k), 0) = 0 THEN 'empty' WHEN length(k) > 22 THEN 'length ' || length(k) || ' over 22' WHEN regexp_matches(k, '[^0-3]') THEN 'bad digit ' || regexp_extract(k, '[^0-3]') || ' at ' || (strpos(k, regexp_extract(k, '[^0-3]')) - 1) END AS fault FROM fk")
+def _(s, d):
+    k = F.col("c_custkey")
+    key = F.when(k % 6 == 0, "").when(k % 6 == 1, F.repeat(F.lit("0123"), 7)).when(k % 6 == 2, F.concat(F.lit("01"), (k % 10).cast("string"), F.lit("3"))).when(k % 6 == 3, "0").when(k % 6 == 5, "3 1")
+    return b.read(s, d, "customer").select(k.alias("id"), key.alias("k")).select("id", tiles.fault(F.col("k")).alias("fault"))
+
+
+@query("class_guidance", "SELECT * FROM (VALUES (0, 'stream', 1.0::DOUBLE, 0.5::DOUBLE, 1.5::DOUBLE, 1.5::DOUBLE, 0.2::DOUBLE, 0.5::DOUBLE), (1, 'dock', 3, 15, 75, 5, 5, 18), (2, 'water', 5, 5, 20, 3, 1, 3), (3, 'river', 10, 3, 20, 2.8, 1, 3), (4, 'lake', 15, 20, 200, 4.5, 2, 10), (5, 'reservoir', 3, 20, 100, 6, 3, 8), (6, 'glacier', 10, 10, 50, 6, 5, 15), (7, 'sea', 15, 500, 'inf'::DOUBLE, 8, 20, 'inf'::DOUBLE)) g(ordinal, fclass, edgeexpand, edge_least, edge_most, depth, depth_least, depth_most)")
+def _(s, d):
+    return classes.guidance(s)
+
+
 # ---- rasters
 @query("rasterize_center", b.with_(*MASKS) + "SELECT poly, r, c FROM mask")
 def _(s, d):
@@ -382,7 +540,6 @@ def _(s, d):
 
 WARP_T = (0.01, 0.0, 100.0, 0.0, -0.01, 30.0)  # the terrain laid over longitudes and latitudes
 BACK = "back AS (SELECT r, c, ((x0 + (c + 0.5) * px) / 6378137.0 * 180 / pi() - 100) / 0.01 AS x, ((2 * atan(exp((y1 - (r + 0.5) * px) / 6378137.0)) - pi() / 2) * 180 / pi() - 30) / -0.01 AS y FROM wg, (SELECT unnest(range(0, 60)) AS r), (SELECT unnest(range(0, 60)) AS c) WHERE r < h AND c < w)"
-MERC = lambda lat: f"6378137.0::DOUBLE * ln(tan(pi() / 4 + radians({lat}) / 2))"
 WG = f"wg0 AS (SELECT 6378137.0::DOUBLE * radians(100.0) AS x0, 6378137.0::DOUBLE * radians(100.5) AS x1, {MERC('29.6::DOUBLE')} AS y0, {MERC('30.0::DOUBLE')} AS y1), wg1 AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / sqrt(50.0 * 50 + 40 * 40) AS px FROM wg0), wg AS (SELECT *, floor((x1 - x0) / px + 0.5) AS w, floor((y1 - y0) / px + 0.5) AS h FROM wg1)"
 
 

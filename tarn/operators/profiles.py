@@ -82,3 +82,14 @@ def multi_peak(s: DataFrame) -> DataFrame:
         return pdf.assign(v=fit(pdf["v"].to_numpy(dtype=float, na_value=float("nan"))))[["grp", "seq", "v"]]
 
     return s.select("grp", "seq", "v").groupBy("grp").applyInPandas(run, "grp long, seq int, v double")
+
+
+def first_occurrences(s: DataFrame) -> DataFrame:
+    """(grp, seq, key): the first row of each key in a series."""
+    return s.groupBy("grp", "key").agg(F.min("seq").alias("seq")).select("grp", "seq", "key")
+
+
+def finite_mean(s: DataFrame) -> DataFrame:
+    """(grp, mean) over finite values; null without any."""
+    finite = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v"))
+    return s.groupBy("grp").agg(F.avg(finite).alias("mean"))

@@ -9,11 +9,19 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once, so that Python workers import it wherever they start."""
+    """Send this package to the executors once, so that Python workers import it wherever they start.
+
+    Rows with texts go to Python in batches of ``BATCH_ROWS``, unless the session asks for less: at Spark's default of
+    10,000 the buffers of two workers and their JVM take hundreds of MB of an executor.
+    """
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = os.path.dirname(os.path.abspath(__file__))

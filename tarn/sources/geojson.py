@@ -1,8 +1,8 @@
-"""GeoJSON features from (kind, parts, attributes), as built-in expressions."""
+"""GeoJSON features, read and written by built-in expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,32 @@ def features(df: DataFrame) -> DataFrame:
     names = [c for c in df.columns if c not in ("feature_idx", "kind", "parts")]
     properties = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}) if names else F.lit("{}")
     return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), properties, F.lit("}")).alias("feature"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(feature_idx, type, geometry, kind, parts, properties map<string,string>) of GeoJSON files: FeatureCollections, or a feature a line.
+
+    Files are read by Spark's text reader. ``kind`` and ``parts`` are as in :mod:`.shapefile`; a geometry collection or a
+    null geometry has null in both (see :func:`tarn.operators.layers.simple`). Property values are texts: of strings as they
+    are, of others their JSON. ``feature_idx`` is the place in its file.
+    """
+    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = F.get_json_object("value", "$.type") == "FeatureCollection"
+    listed = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    f = text.select("file", F.posexplode(F.when(whole, listed).otherwise(lines)).alias("feature_idx", "f"))
+    f = f.select("file", F.col("feature_idx").cast("long").alias("feature_idx"), F.get_json_object("f", "$.geometry").alias("geometry"), F.from_json(F.get_json_object("f", "$.properties"), "map<string,string>").alias("properties"))
+    return f.select("feature_idx", F.get_json_object("geometry", "$.type").alias("type"), "geometry", *parts_of("geometry"), "properties")
+
+
+def parts_of(geometry: str) -> list[Column]:
+    """``kind`` and ``parts`` of a column of GeoJSON geometries."""
+    kind, c = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+    deep = lambda n: F.from_json(c, "array<" * n + "double" + ">" * n)
+    point = lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))
+    line = lambda q: F.transform(q, point)
+    lines = lambda q: F.transform(q, line)
+    parts = F.when(kind == "Polygon", lines(deep(3))).when(kind == "MultiPolygon", F.flatten(F.transform(deep(4), lines))).when(kind == "LineString", F.array(line(deep(2)))).when(kind == "MultiLineString", lines(deep(3)))
+    parts = parts.when(kind == "Point", F.array(F.array(point(deep(1))))).when(kind == "MultiPoint", F.transform(deep(2), lambda q: F.array(point(q))))
+    name = F.when(kind.isin("Polygon", "MultiPolygon"), "polygon").when(kind.isin("LineString", "MultiLineString"), "line").when(kind.isin("Point", "MultiPoint"), "point")
+    return [name.alias("kind"), parts.alias("parts")]

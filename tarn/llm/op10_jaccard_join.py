@@ -16,12 +16,15 @@ of g is signed for both steps, so pairs number O(d), and lists of frequent token
 scanned for a token alone. Tokens met in one prefix only are dropped at once.
 
 Verification in rounds. Equal posting lists are one list. In the first rounds each
-list names a few pivots (1, 1, then 64) and its members of other components are
-verified against them on their full sets; links join components, and lists of one
-component are done: a group of thousands of near copies costs a few comparisons a
-member, not all pairs. A last round takes the pairs between components that are
-left in any list, so components are exact. A pair is emitted only if the sizes and
-the parity bitmaps of the two sets (computed inside the join) still allow a link.
+list names a pivot and its members of other components are verified against it on
+their full sets; links join components, and lists of one component are done: a
+group of thousands of near copies costs a few comparisons a member, not all pairs.
+Members of lists that are still longer than ``LONG`` get new signatures (:func:`refined`):
+prefixes in the order of a token's count among these members, so a passage that
+many share, which made the lists, comes last and no longer brings them together.
+After rounds with one and with more pivots a list a last one takes the pairs between
+components that are left in any list, so components are exact. A pair is emitted only if the sizes and the parity bitmaps of the two sets (computed
+inside the join) still allow a link. Tables are deleted as rounds end.
 
 Defined results: null or empty texts have no tokens and link with nothing;
 texts shorter than a shingle are one token; a null id counts as larger than any
@@ -32,6 +35,7 @@ one by one; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free, free_since, if_small, mark, materialize, numbered, sweep, table
 
 FREQUENT = 64
-PIVOTS = (1, 1, 64)
+LONG = 64  # members of a list that is compared pair by pair
+ROUNDS = ("pivot", "pivot", "refine", "pivot", 8, 64, "pairs")  # a number: so many pivots a list
 LONGS = 8  # of a set's parity bitmap
 WIDE_FROM = 384
 MAPS = [f"m{i}" for i in range(LONGS)]
-BROADCAST_ROWS = 2_000_000  # of two numbers a row
+SLICE = 512  # documents in a batch of what Python returns
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -54,7 +59,7 @@ class WordHashes(OrderedDict):
     """word -> 64-bit hash; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 60_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -129,7 +134,7 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             n, cls, prefix, maps, wide = [], [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, known)
@@ -143,7 +148,7 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
                     cls.append(None)
                     prefix.append(np.empty(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
-            values = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64))
+            values = pa.array(np.concatenate(prefix))
             m = np.array(maps, np.int64).reshape(-1, LONGS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(wide, pa.binary()), *[pa.array(m[:, i]) for i in range(LONGS)]], ["doc_id", "th", "n", "cls", "prefix", "wide", *MAPS])
 
@@ -156,35 +161,33 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shin
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             s = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in s], pa.binary())], ["cls", "tokens"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th"))
-    w = wanted.select(F.col("doc_id").alias("wid"), F.col("th").alias("wth"), "cls")
-    small = w.count() <= BROADCAST_ROWS
-    joined = d.join(F.broadcast(w) if small else w, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid")))
+    w = if_small(wanted.select(F.col("doc_id").alias("wid"), F.col("th").alias("wth"), "cls"), 64)
+    joined = d.join(w, (F.col("th") == F.col("wth")) & F.col("doc_id").eqNullSafe(F.col("wid")))
     out = materialize(joined.select("cls", "t").mapInArrow(run, "cls long, tokens binary"), "sets")
     repeated = out.groupBy("cls").agg(F.count("*").alias("c")).filter("c > 1")  # equal rows with one id
     return out if repeated.isEmpty() else out.dropDuplicates(["cls"])
 
 
 def signatures(classes: DataFrame, percent: int) -> DataFrame:
-    """(sig, cls, n) for classes (cls, n, prefix): only signatures that two classes share."""
-    spark = classes.sparkSession
-    rows = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
+    """(sig, cls) for classes (cls, n, prefix): only signatures that two classes share."""
+    place = (F.shiftleft(F.col("n"), 32) + F.col("pos")).alias("place")
+    rows = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token")).select("cls", place, "token")
     shared = materialize(rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared-tokens")
-    small = shared.count() <= BROADCAST_ROWS
-    hits = rows.join(F.broadcast(shared) if small else shared, "token")
-    hits = hits.withColumn("frequent", F.col("df") >= FREQUENT)
-    per = hits.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "frequent"))).alias("hits"))  # within one document's prefix
+    sweep(classes.sparkSession)
+    hits = rows.join(shared, "token").select("cls", F.struct("place", "token", (F.col("df") >= FREQUENT).alias("frequent")).alias("hit"))
+    per = hits.groupBy("cls").agg(F.array_sort(F.collect_list("hit")).alias("hits"))  # within one document's prefix
 
     def run(batches):
-        for batch in batches:
-            sig, cls, size = [], [], []
-            for c, n, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                v = h.values
-                pos, token, freq = (v.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            sig, cls = [], []
+            for c, h in zip(batch.column(0).to_pylist(), batch.column(1)):
+                place, token, freq = (h.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                n, pos = int(place[0]) >> 32, place & 0xFFFFFFFF
                 d, g = misses(n, percent), cells(n, percent)
                 p = prefix_length(n, percent)
                 flags = np.zeros(p, bool)
@@ -211,18 +214,17 @@ def signatures(classes: DataFrame, percent: int) -> DataFrame:
                 s = np.concatenate(own)
                 sig.append(s)
                 cls.append(np.full(len(s), c, np.int64))
-                size.append(np.full(len(s), n, np.int64))
             if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, cls, size)], ["sig", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, cls)], ["sig", "cls"])
 
-    return per.mapInArrow(run, "sig long, cls long, n long")
+    return per.mapInArrow(run, "sig long, cls long")
 
 
 def distinct_lists(sigs: DataFrame) -> DataFrame:
-    """Posting lists of two or more, one for each distinct set of members: (list, cls, n)."""
+    """Posting lists of two or more, one for each distinct set of members: (list, cls)."""
     marks = sigs.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("y")).filter("m > 1")
     first = marks.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    return sigs.join(first, "sig", "left_semi").select(F.col("sig").alias("list"), "cls", "n")
+    return sigs.join(first, "sig", "left_semi").select(F.col("sig").alias("list"), "cls")
 
 
 def narrow(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -259,73 +261,131 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, comp) for nodes of ``edges`` (a, b): comp is the least node of the component.
+    """(node, comp), a written table, for nodes of ``edges`` (a, b): comp is the least node of the component.
 
     Alternating large-star and small-star rounds; each is an aggregate and a
     join, so neither a long chain nor a large component is one task.
     """
-    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("comp")).distinct(), name)
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        pairs = e.toDF("u", "v")
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("node"), F.col("m").alias("comp")).filter("node <> comp").distinct()
         nxt = materialize(small, name)
-        state = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (e, nxt)]
+        state = [x.agg(F.count("*"), F.sum(F.xxhash64("node", "comp").cast("decimal(38,0)"))).first() for x in (e, nxt)]
+        free(e)
         e = nxt
         if state[0] == state[1]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            return e
+
+
+def refined(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, cls): signatures of the classes ``members`` (cls, n) that meet in long lists, in place of those lists.
+
+    A token's rank is now its count among the members. Two that link have their first common token, in this order,
+    among the first misses + 1 of either side, so no link is lost. ``sets`` has the members' full sets.
+    """
+    count = F.expr("length(tokens) div 8")
+    # eight bytes a token; only equality and one order for all matter
+    token = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.substring(F.col("tokens"), (i * 8 + 1).cast("int"), F.lit(8))))
+    rows = members.select("cls", "n").join(sets, "cls").select("cls", "n", F.explode(token).alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"))
+    own = rows.join(counts, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # one document's
+    missing = (F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0))).cast("int")
+    first = own.select("cls", F.explode(F.slice("t", F.lit(1), missing + 2)).alias("t"))  # one more than needed: the quotient is rounded
+    return first.filter("t.df > 1").select(F.col("t.token").alias("sig"), "cls")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id; and ``cls`` (class of equal sets), ``comp`` (class of the component), ``th`` (hash of the text)."""
-    spark = docs.sparkSession
-    rows = materialize(prepare(docs, id_col, text_col, shingle, percent), "shingles")
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls", "n", *MAPS).agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.first("prefix").alias("prefix"), F.first("wide").alias("wide"))
+    spark, start = docs.sparkSession, mark()
+    wide = materialize(prepare(docs, id_col, text_col, shingle, percent), "shingles")
+    rows = materialize(wide.select("doc_id", "th", "n", "cls"), "rows")
+    classes = wide.filter("cls IS NOT NULL").groupBy("cls", "n", *MAPS).agg(F.min_by(F.struct("doc_id", "th"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "th")).alias("rep"), F.first("prefix").alias("prefix"), F.first("wide").alias("wide"))
     classes = materialize(classes, "classes")
-    lists = materialize(distinct_lists(signatures(classes, percent)), "lists")
-    lists = lists.join(classes.select("cls", *MAPS), "cls").withColumn("comp", F.col("cls"))
-    tested = links = None
+    free(wide)
+    sweep(spark)
+    sigs = materialize(signatures(classes, percent), "signatures")
+    sweep(spark)
+    facts = classes.select("cls", "n", *MAPS)
+    lists = materialize(distinct_lists(sigs).join(facts, "cls").withColumn("comp", F.col("cls")), "lists")
+    free(sigs)
     columns = lists.columns
-    for pivots in (*PIVOTS, None):
+    tested: list[DataFrame] = []
+    links: list[DataFrame] = []
+    sets: list[DataFrame] = []
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+
+    def load(wanted: DataFrame) -> DataFrame:
+        """Full sets of the classes ``wanted``, each read from its text once."""
+        new = wanted.join(union([s.select("cls") for s in sets]), "cls", "left_anti") if sets else wanted
+        reps = materialize(classes.join(new, "cls", "left_semi").select("cls", "rep.doc_id", "rep.th"), "reps")
+        if not reps.isEmpty():
+            sets.append(sets_of(docs, reps, id_col, text_col, shingle))
+        free(reps)
+        return union(sets) if sets else classes.select("cls", F.lit(None).cast("binary").alias("tokens")).filter("false")
+
+    for step in ROUNDS:
         # lists that still hold two components
         member = F.struct("cls", "n", "comp", *MAPS)
-        open_ = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *([F.min_by(member, "cls").alias("h")] if pivots == 1 else [])).filter("lo <> hi").drop("lo", "hi")
-        if pivots == 1:
+        first = [F.min_by(member, "cls").alias("h")] if step == "pivot" else []
+        open_ = lists.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"), *first).filter("lo <> hi").drop("lo", "hi")
+        if step == "refine":
+            before, lists = lists, materialize(lists.join(open_, "list"), "open-lists")
+            free(before)
+            long = lists.filter(F.col("members") > LONG)
+            if long.isEmpty():
+                lists = lists.drop("members")
+                continue
+            members = materialize(long.select(*[c for c in columns if c != "list"]).distinct(), "members")
+            new = materialize(refined(members, load(members.select("cls")), percent), "refined-signatures")
+            new = distinct_lists(new).join(members, "cls")
+            new = materialize(new.select(*columns), "refined-lists")
+            lists = lists.filter(F.col("members") <= LONG).select(*columns).unionByName(new)
+            continue
+        if step == "pivot":
             # one pivot a list, which is then done with its list: lists of two end here
             beside = lists.alias("x").join(open_.alias("y"), F.col("x.list") == F.col("y.list"))
             beside = materialize(beside.select("x.*", F.col("h.cls").alias("p"), may_link("x", "h", percent).alias("cand")), "open-lists")
+            free(lists)
             pairs = beside.filter("cand").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
             lists = beside.filter("cls <> p").select(*columns)
         else:
-            lists = materialize(lists.join(open_, "list", "left_semi"), "open-lists")
-            heads = lists  # what is left: each pair once
-            if pivots:
-                slot = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
-                heads = lists.groupBy("list", slot.alias("slot")).agg(F.min_by(member, "cls").alias("h")).select("list", "h.*")
-            once = F.lit(True) if pivots else F.col("x.cls") < F.col("y.cls")
+            before, lists = lists, materialize(lists.join(open_, "list", "left_semi"), "open-lists")
+            free(before)
+            heads, once = lists, F.col("x.cls") < F.col("y.cls")  # what is left: each pair once
+            if step != "pairs":
+                slot = F.pmod(F.xxhash64("cls", F.lit(step)), F.lit(step))
+                heads, once = lists.groupBy("list", slot.alias("slot")).agg(F.min_by(member, "cls").alias("h")).select("list", "h.*"), F.lit(True)
             pairs = lists.alias("x").join(heads.alias("y"), (F.col("x.list") == F.col("y.list")) & once & may_link("x", "y", percent))
             pairs = pairs.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(narrow(materialize(pairs, "bare-pairs"), classes, percent), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        # full sets of the few classes that candidates name
+        if tested:
+            pairs = pairs.join(union(tested), ["a", "b"], "left_anti")
+        bare = materialize(pairs, "bare-pairs")
+        pairs = materialize(narrow(bare, classes, percent), "pairs")
+        free(bare)
+        tested.append(pairs)
         named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        reps = materialize(classes.join(named, "cls", "left_semi").select("cls", "rep.doc_id", "rep.th"), "reps")
-        sets = sets_of(docs, reps, id_col, text_col, shingle)
-        found = materialize(verify(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        if pivots and not found.isEmpty():
-            comp = components(links)
-            lists = lists.drop("comp").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select(*columns)
-    comp = components(links) if links is not None else spark.createDataFrame([], "node long, comp long")
+        found = materialize(verify(pairs, load(named), percent), "links")
+        links.append(found)
+        if step != "pairs" and not found.isEmpty():
+            comp = components(union(links))
+            before, lists = lists, materialize(lists.drop("comp").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select(*columns), "lists")
+            free(comp)
+            if step == "pivot":
+                free(beside)
+        sweep(spark)
+    comp = components(union(links))
     whole = classes.select("cls", F.col("rep.doc_id").alias("first")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = whole.groupBy("comp").agg(F.min("first").alias("component"))
     whole = materialize(whole.join(least, "comp").select("cls", "comp", "component"), "class-components")
+    free_since(start, rows, whole)
+    sweep(spark)
     # only classes of more than one row or document need the join; a third of all rows may be one class, which Spark splits
-    out = rows.select("doc_id", "th", "n", "cls").join(whole, "cls", "left")
+    out = rows.join(whole, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", "comp", "th")
 
 
@@ -355,21 +415,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay: of each component the row with the smallest id (a null id counts as largest); rows without tokens stay.
 
     Where the smallest id stands on several rows of a component, the row with the smallest text hash stays, and equal rows leave one.
+    All columns are carried, whatever their names.
     """
-    keyed = docs.withColumns({"__th": F.xxhash64(F.col(text_col)), "__id": F.col(id_col).cast("long")})
-    linked = link_components(docs, id_col, text_col, shingle, percent)
+    names = docs.columns
+    d = numbered(docs)
+    key, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    own_id, own_hash = F.col(key).cast("long"), F.xxhash64(F.col(text))
+    linked = link_components(d, key, text, shingle, percent).filter("cls IS NOT NULL")
     low = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("th").alias("h"))
-    groups = linked.filter("cls IS NOT NULL").groupBy("comp").agg(F.min(low).alias("k"), F.count("*").alias("rows")).filter("rows > 1").select("comp", "k.*")
-    members = linked.filter("cls IS NOT NULL").join(groups, "comp")
-    lost = members.filter(low != F.struct("i", "h")).select(F.col("doc_id").alias("__lid"), F.col("th").alias("__lth")).distinct()
-    lost = materialize(lost, "near-lost")
-    small = lost.count() <= BROADCAST_ROWS
-    out = keyed.join(F.broadcast(lost) if small else lost, (F.col("__th") == F.col("__lth")) & F.col("__id").eqNullSafe(F.col("__lid")), "left_anti")
+    groups = linked.groupBy("comp").agg(F.min(low).alias("k"), F.count("*").alias("rows")).filter("rows > 1").select("comp", "k.*")
+    lost = linked.join(groups, "comp").filter(low != F.struct("i", "h")).select(F.col("doc_id").alias("lid"), F.col("th").alias("lth")).distinct()
+    lost = if_small(materialize(lost, "near-lost"), 64)
+    out = d.join(lost, (own_hash == F.col("lth")) & own_id.eqNullSafe(F.col("lid")), "left_anti")
     # an id that repeats with an equal text
-    twice = linked.filter("cls IS NOT NULL").groupBy("doc_id", "th").agg(F.count("*").alias("c")).filter("c > 1")
+    twice = materialize(linked.groupBy("doc_id", "th").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("lid"), F.col("th").alias("lth")), "near-twice")
     if not twice.isEmpty():
-        t = twice.select(F.col("doc_id").alias("__lid"), F.col("th").alias("__lth"))
-        match = (F.col("__th") == F.col("__lth")) & F.col("__id").eqNullSafe(F.col("__lid"))
-        once = out.join(t, match, "left_semi").dropDuplicates(["__id", "__th"])
-        out = out.join(t, match, "left_anti").unionByName(once)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        match = (own_hash == F.col("lth")) & own_id.eqNullSafe(F.col("lid"))
+        once = out.join(twice, match, "left_semi").withColumn("h", own_hash).dropDuplicates([key, "h"]).drop("h")
+        out = out.join(if_small(twice, 64), match, "left_anti").unionByName(once)
+    return out.toDF(*names)

@@ -41,6 +41,7 @@ LEAST_TOXIC = 6  # toxic sample texts that a term must be in
 PRECISION = 0.95
 STEM_FROM, STEM_TO = 4, 8
 WINDOW = 6
+KNOWN = 60_000  # words whose match is remembered
 QUOTED = 0.4
 WORD = re.compile(r"[^\W_]+")
 QUOTES = "\"“”„«»"
@@ -99,7 +100,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     return sorted((w for w in words if w not in covered and len(w) > 2), key=lambda w: (-words[w], w)), stems
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _matcher(words: tuple[str, ...], stems: tuple[str, ...]) -> tuple[Matcher, dict[str, int]]:
     return Matcher(list(words), list(stems)), {}
 
@@ -108,7 +109,7 @@ def text_features(text: str, matcher: Matcher, known: dict[str, int]) -> list[fl
     """[exact, fuzzy, stem] context-weighted hits (log), any plain hit, hits for each word (log)."""
     low = text.lower()
     words = WORD.findall(low)
-    if len(known) > 400_000:
+    if len(known) > KNOWN:
         known.clear()
     for w in set(words):
         if w not in known:

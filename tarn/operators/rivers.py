@@ -22,18 +22,20 @@ def _window(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return mask, dem, r0, c0
 
 
-def windows(mask: DataFrame, dem: DataFrame, pad: int = PAD) -> DataFrame:
-    """(poly, r, c, inside, z) of each polygon's bounding window."""
+def windows(mask: DataFrame, dem: DataFrame, pad: int = PAD, grid: tuple[int, int] | None = None) -> DataFrame:
+    """(poly, r, c, inside, z) of each polygon's bounding window, within a raster of ``grid`` (rows, columns) where that is given."""
     box = mask.groupBy("poly").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.min("c").alias("x"), F.max("c").alias("y"))
+    if grid:
+        box = box.select("poly", F.greatest("a", F.lit(pad)).alias("a"), F.least("b", F.lit(grid[0] - 1 - pad)).alias("b"), F.greatest("x", F.lit(pad)).alias("x"), F.least("y", F.lit(grid[1] - 1 - pad)).alias("y"))
     cells = box.select("poly", F.explode(F.sequence(F.col("a") - pad, F.col("b") + pad)).alias("r"), "x", "y").select("poly", "r", F.explode(F.sequence(F.col("x") - pad, F.col("y") + pad)).alias("c"))
     return cells.join(mask.withColumn("inside", F.lit(True)), ["poly", "r", "c"], "left").join(dem, ["r", "c"], "left").select("poly", "r", "c", F.coalesce("inside", F.lit(False)).alias("inside"), F.col("z").cast("double").alias("z"))
 
 
-def _grouped(mask: DataFrame, dem: DataFrame, f, out: str) -> DataFrame:
-    return windows(mask, dem).groupBy("poly").applyInPandas(f, out)
+def _grouped(mask: DataFrame, dem: DataFrame, f, out: str, grid: tuple[int, int] | None = None) -> DataFrame:
+    return windows(mask, dem, grid=grid).groupBy("poly").applyInPandas(f, out)
 
 
-def surface(mask: DataFrame, dem: DataFrame, pixel: float = 1.0) -> DataFrame:
+def surface(mask: DataFrame, dem: DataFrame, pixel: float = 1.0, grid: tuple[int, int] | None = None) -> DataFrame:
     """(poly, r, c, z) of river polygons."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -44,7 +46,7 @@ def surface(mask: DataFrame, dem: DataFrame, pixel: float = 1.0) -> DataFrame:
         r, c = np.nonzero(np.isfinite(z))
         return pd.DataFrame({"poly": pdf["poly"].iloc[0], "r": (r + r0).astype("int32"), "c": (c + c0).astype("int32"), "z": z[r, c].astype("float32")})
 
-    return _grouped(mask, dem, solve, "poly long, r int, c int, z float")
+    return _grouped(mask, dem, solve, "poly long, r int, c int, z float", grid)
 
 
 def skeleton(mask: DataFrame, dem: DataFrame) -> DataFrame:

@@ -244,7 +244,7 @@ def process(dem: np.ndarray, transform, epsg: int, target: int, polygons: list,
     """
     h, w = dem.shape
     work_t, work_w, work_h = crs.warp_grid(epsg, target, transform, w, h)
-    same = epsg == target and work_w == w and work_h == h
+    same = epsg == target and (work_w, work_h) == (w, h) and np.allclose(work_t, transform, rtol=1e-12, atol=1e-9)
     ground = dem.astype(float) if same else reproject(dem.astype(float), transform, epsg, work_t, work_w, work_h, target, "bilinear", max_error).astype(np.float32).astype(float)
     surface, water = water_surface(work_t, ground, polygons, still, all_touched, skirt_pixels)
     surface = np.where(water, surface, np.nan)

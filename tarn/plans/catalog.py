@@ -687,7 +687,7 @@ def _(s, d):
 
 @query("river_solve")
 def _(s, d):
-    return rivers.surface(few_rivers(s, d), b.dem(s, d)).select("poly", "r", "c", F.round(F.col("z").cast("double"), 3).alias("z"))
+    return rivers.surface(few_rivers(s, d), b.dem(s, d), grid=(H, W)).select("poly", "r", "c", F.round(F.col("z").cast("double"), 3).alias("z"))
 
 
 @query("laplace_plane", "SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(100 + 0.5::DOUBLE * c + 0.2::DOUBLE * r, 6) AS z FROM (SELECT unnest(range(0, 12)) AS r), (SELECT unnest(range(0, 16)) AS c)")
@@ -781,7 +781,7 @@ def surface_of(s, d) -> DataFrame:
     """Rivers, lakes over them, bed lifted, skirt: the relational path that the tiled job is held against."""
     dem, m = b.dem(s, d), mask_of(s, d)
     still = b.rect(s, d).select("poly", classes.is_still_water(F.col("fclass")).alias("still"))
-    river = rivers.surface(few_rivers(s, d), dem).withColumn("still", F.lit(False))
+    river = rivers.surface(few_rivers(s, d), dem, grid=(H, W)).withColumn("still", F.lit(False))
     lake = m.join(still_level(s, d).filter("z IS NOT NULL").select("poly", F.col("z").cast("float").alias("z")), "poly").withColumn("still", F.lit(True)).select("poly", "r", "c", "z", "still")
     surf = compose.overlay(river.unionByName(lake))
     marks = m.join(still, "poly").groupBy("r", "c").agg(F.bool_or(~F.col("still")).alias("river"), F.bool_or("still").alias("lake"))
@@ -790,7 +790,7 @@ def surface_of(s, d) -> DataFrame:
     return compose.compose(dem, compose.skirt(lifted, dem, H, W))
 
 
-@query("hydro_surface")
+@query("hydro_relational")
 def _(s, d):
     return surface_of(s, d).select("r", "c", F.round(F.col("z").cast("double"), 2).alias("z"))
 

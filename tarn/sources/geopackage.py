@@ -131,6 +131,7 @@ def read(spark: SparkSession, path: str, layer: str, bbox: tuple[float, float, f
                     values = (bbox[2], bbox[0], bbox[3], bbox[1])
                 cursor = db.execute(query + " ORDER BY rowid", values)
                 names = [d[0] for d in cursor.description][1:]
+                keys = {r[1] for r in db.execute(f"PRAGMA table_info({_quoted(layer)})") if r[5]}  # the feature's own number
                 for rowid, *cells in cursor:
                     values_ = dict(zip(names, cells))
                     g = geometry(values_.pop(column))
@@ -140,7 +141,7 @@ def read(spark: SparkSession, path: str, layer: str, bbox: tuple[float, float, f
                         x0, y0, x1, y1 = box_of(g)
                         if x0 > bbox[2] or x1 < bbox[0] or y0 > bbox[3] or y1 < bbox[1]:
                             continue
-                    texts = {k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in values_.items() if not isinstance(v, bytes)}
+                    texts = {k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in values_.items() if k not in keys and not isinstance(v, bytes)}
                     rows.append((rowid, g and json.dumps(g), json.dumps(texts), epsg))
             yield pd.DataFrame(rows, columns=["feature_idx", "geometry", "p", "epsg"]).astype({"feature_idx": "int64", "epsg": "Int32"})
 

@@ -98,3 +98,39 @@ def gaussian(dem: DataFrame, sigma: float, h: int, w: int, narrow: bool = False)
         return _smooth(a.astype(np.float32).astype(float) if narrow else a, kern, narrow)
 
     return apply(dem, h, w, n, kernel)
+
+
+def morph(mask: DataFrame, n: int, h: int, w: int, grow: bool, size: int = 128) -> DataFrame:
+    """(poly, r, c): masks dilated or eroded n times by the cross, block by block with a halo of n; beyond the grid is false.
+
+    A block is one small array of one polygon, so a large polygon is many tasks, and a cell moves once and for its seams.
+    """
+    if n == 0:
+        return mask.select("poly", "r", "c")
+    size = max(size, n)
+    reach = n if grow else 0  # erosion leaves cells only where there were some
+    span = lambda axis, most: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(axis) - n) / size)), F.least(F.lit((most - 1) // size), F.floor((F.col(axis) + n) / size))))
+    d = mask.select("poly", "r", "c").withColumn("br", span("r", h)).withColumn("bc", span("c", w))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from tarn.operators import kernels
+
+        r0, c0 = int(pdf["br"].iloc[0]) * size, int(pdf["bc"].iloc[0]) * size
+        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+        # the part of the block, and its halo, where the mask can be or come
+        top, left = max(r0 - n, int(r.min()) - reach), max(c0 - n, int(c.min()) - reach)
+        low, right = min(r0 + size + n, int(r.max()) + reach + 1), min(c0 + size + n, int(c.max()) + reach + 1)
+        a = np.zeros((low - top, right - left), bool)
+        a[r - top, c - left] = True
+        if grow:
+            a = kernels.dilate(a, n)
+        else:
+            for _ in range(n):
+                a = kernels.erode(a)
+        rr, cc = np.nonzero(a)
+        rr, cc = rr + top, cc + left
+        keep = (rr >= r0) & (rr < min(h, r0 + size)) & (cc >= c0) & (cc < min(w, c0 + size))
+        return pd.DataFrame({"poly": pdf["poly"].iloc[0], "r": rr[keep].astype("int32"), "c": cc[keep].astype("int32")})
+
+    kind = mask.schema["poly"].dataType.simpleString()
+    return d.groupBy("poly", "br", "bc").applyInPandas(run, f"poly {kind}, r int, c int")

@@ -60,19 +60,39 @@ def contains(rings: DataFrame, points: DataFrame) -> DataFrame:
     return j.filter(F.size(F.filter(e, crosses)) % 2 == 1).select("poly", "id")
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """Pairs (left id, right id) of closed boxes (id, minx, miny, maxx, maxy) that meet.
+def box_join(left: DataFrame, right: DataFrame, cell: float, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (l_id, r_id and both boxes) of closed boxes (id, minx, miny, maxx, maxy) that meet; ``carry`` names columns of ``right`` to keep as r_*.
 
-    Boxes are filed under the grid cells they touch; a pair is taken in the one
-    cell that holds its common lower corner, so there is nothing to dedupe.
+    Each box has a level: cells of ``cell`` times a power of two, no smaller than the box, so it lies in four of them at most,
+    however large it is. It is filed at its level and, to meet larger boxes of the other side, at each coarser level that
+    these have. A pair is taken at the coarser of its levels in the one cell that holds its common lower corner, so there
+    is nothing to dedupe, and two small boxes never meet in a coarse cell.
     """
-    bins = lambda d, a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    side = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in ("id", "minx", "miny", "maxx", "maxy")], F.col("minx"), F.col("maxx")).withColumn("bx", bins(d, "minx", "maxx")).drop("minx", "maxx").withColumn("by", bins(d, p + "miny", p + "maxy"))
-    j = side(left, "l_").join(side(right, "r_"), ["bx", "by"])
+    extent = lambda: F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"), F.lit(cell))
+    own_level = lambda d: d.withColumn("level", F.ceil(F.log2(extent() / cell)).cast("int"))
+    left, right = own_level(left), own_level(right)
+    levels = [sorted(r[0] for r in d.select("level").distinct().collect() if r[0] is not None) for d in (left, right)]  # a few dozen numbers
+
+    def filed(d, p, at, more):
+        size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("at"))
+        names = ("id", "minx", "miny", "maxx", "maxy", *more)
+        d = d.withColumn("at", at).select(*[F.col(c).alias(p + c) for c in names], "at", size.alias(p + "size"))
+        span = lambda a, b: F.explode(F.sequence(F.floor(F.col(p + a) / F.col(p + "size")), F.floor(F.col(p + b) / F.col(p + "size"))))
+        return d.withColumn("bx", span("minx", "maxx")).withColumn("by", span("miny", "maxy"))
+
+    def above(d, p, others, more=()):
+        coarser = F.explode(F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col("level")))
+        return filed(d, p, coarser, more)
+
     lo = lambda c: F.greatest("l_" + c, "r_" + c)
     meets = (lo("minx") <= F.least("l_maxx", "r_maxx")) & (lo("miny") <= F.least("l_maxy", "r_maxy"))
-    own = (F.floor(lo("minx") / cell) == F.col("bx")) & (F.floor(lo("miny") / cell) == F.col("by"))
-    return j.filter(meets & own)
+    own = (F.floor(lo("minx") / F.col("l_size")) == F.col("bx")) & (F.floor(lo("miny") / F.col("l_size")) == F.col("by"))
+    l_own, r_own = filed(left, "l_", F.col("level"), ()), filed(right, "r_", F.col("level"), carry)
+    out = None
+    for a, b in ((l_own, r_own), (l_own, above(right, "r_", levels[0], carry)), (above(left, "l_", levels[1]), r_own)):
+        j = a.join(b, ["at", "bx", "by"]).filter(meets & own).drop("at", "bx", "by", "l_size", "r_size")
+        out = j if out is None else out.unionByName(j)
+    return out
 
 
 def classify(boxes: DataFrame, areas: DataFrame, lines: DataFrame, cell: float = 16.0, least_length: float = LEAST_LENGTH, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -83,12 +103,12 @@ def classify(boxes: DataFrame, areas: DataFrame, lines: DataFrame, cell: float =
     """
     order = F.create_map(*[x for i, c in enumerate(PRIORITY) for x in (F.lit(c), F.lit(i))])
     w, h = F.least("l_maxx", "r_maxx") - F.greatest("l_minx", "r_minx"), F.least("l_maxy", "r_maxy") - F.greatest("l_miny", "r_miny")
-    a = box_join(boxes, areas, cell).join(areas.select(F.col("id").alias("r_id"), "layer"), "r_id")
+    a = box_join(boxes, areas, cell, ("layer",)).withColumnRenamed("r_layer", "layer")
     cx, cy = (F.col("l_minx") + F.col("l_maxx")) / 2, (F.col("l_miny") + F.col("l_maxy")) / 2
     centre = (cx > F.col("r_minx")) & (cx < F.col("r_maxx")) & (cy > F.col("r_miny")) & (cy < F.col("r_maxy"))
     own = (F.col("l_maxx") - F.col("l_minx")) * (F.col("l_maxy") - F.col("l_miny"))
     a = a.filter((own > 0) & (centre | (w * h / own >= least_share))).select(F.col("l_id").alias("id"), "layer", F.lit("_polygon").alias("how"))
-    li = box_join(boxes, lines, cell).join(lines.select(F.col("id").alias("r_id"), "layer"), "r_id")
+    li = box_join(boxes, lines, cell, ("layer",)).withColumnRenamed("r_layer", "layer")
     li = li.filter(F.greatest(w, h) >= least_length).select(F.col("l_id").alias("id"), "layer", F.lit("_line").alias("how"))
     hits = a.unionByName(li).groupBy("id").agg(F.min(F.struct(order[F.col("layer")].alias("p"), "layer", "how")).alias("m"))
     out = boxes.select("id").join(hits, "id", "left")

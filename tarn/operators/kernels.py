@@ -137,8 +137,9 @@ def multi_peak(z: np.ndarray, least: float = 5.0, share: float = 0.05) -> np.nda
     return out
 
 
-def nearest_clear(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_clear(mask: np.ndarray, reach: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distance, row, column) of the nearest unset cell of each cell, ties by row, then column; inf and -1 where all are set.
+    With ``reach`` only cells that have one within that distance are answered rightly.
 
     Each column's nearest unset row by running extremes, then columns at growing offsets,
     as long as a closer one is possible.
@@ -157,7 +158,7 @@ def nearest_clear(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if not some.any():
         return np.full(mask.shape, np.inf), np.full(mask.shape, -1), np.full(mask.shape, -1)
     k = 1
-    while k < w and k * k * (h * w) <= best.max():
+    while k < w and k <= (w if reach is None else reach) and k * k * (h * w) <= best.max():
         step = np.int64(k * k) * (h * w)
         np.minimum(best[:, k:], own[:, :-k] + np.arange(w - k) + step, out=best[:, k:])
         np.minimum(best[:, :-k], own[:, k:] + np.arange(k, w) + step, out=best[:, :-k])

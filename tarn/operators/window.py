@@ -192,7 +192,7 @@ def skirt(surface: np.ndarray, water: np.ndarray, dem: np.ndarray, n: int) -> tu
     if n == 0 or not seeds.any():
         return surface, water
     flat, wide = kernels.dilate(water, n), kernels.dilate(water, 2 * n)
-    distance, row, col = kernels.nearest_clear(~seeds)
+    distance, row, col = kernels.nearest_clear(~seeds, 2 * n)
     level = surface[row, col]
     t = np.clip(distance.astype(np.float32) - np.float32(n), 0, np.float32(n)) / np.float32(n + 1)
     ground = dem.astype(np.float32)

@@ -89,6 +89,25 @@ def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
 atexit.register(release)
 
 
+def tree_sum(states: DataFrame, width: int, add, fan: int = 64) -> DataFrame:
+    """(block, part, data): blocks of the states of ``width`` tasks, summed by ``add(block, [data, ...])`` in a tree, ``fan`` at a time.
+
+    ``states`` has (block int, data binary), a few rows for each task.
+    """
+    import pyarrow as pa
+
+    def merge(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")
+        block, part = group.column("block")[0].as_py(), group.column("part")[0].as_py()
+        return pa.table({"block": pa.array([block], pa.int32()), "part": pa.array([part // fan], pa.int32()), "data": pa.array([add(block, [x.as_py() for x in group.column("data")])], pa.binary())})
+
+    out = states.select("block", F.spark_partition_id().alias("part"), "data")
+    while width:
+        out = out.groupBy("block", F.expr(f"part div {fan}")).applyInArrow(merge, "block int, part int, data binary")
+        width = 0 if width <= fan else -(-width // fan)
+    return out
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with its columns named c0, c1, ...: whatever they were called, no name that an operator adds can clash."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

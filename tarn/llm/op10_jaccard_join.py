@@ -20,8 +20,7 @@ list names a pivot and its members of other components are verified against it o
 their full sets; links join components, and lists of one component are done: a
 group of thousands of near copies costs a few comparisons a member, not all pairs.
 Members of lists that are still longer than ``LONG`` get new signatures (:func:`refined`):
-prefixes in the order of a token's count among these members, so a passage that
-many share, which made the lists, comes last and no longer brings them together.
+prefixes in the order of a token's count (by hashed buckets) among these members, so a passage that many share, which made the lists, comes last and no longer brings them together.
 After rounds with one and with more pivots a list a last one takes the pairs between
 components that are left in any list, so components are exact. A pair is emitted only if the sizes and the parity bitmaps of the two sets (computed
 inside the join) still allow a link. Tables are deleted as rounds end.
@@ -43,13 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, free_since, if_small, mark, materialize, numbered, sweep, table
+from .common import free, free_since, if_small, mark, materialize, numbered, sweep, table, tree_sum
 
 FREQUENT = 64
 LONG = 64  # members of a list that is compared pair by pair
 ROUNDS = ("pivot", "pivot", "refine", "pivot", 8, 64, "pairs")  # a number: so many pivots a list
 LONGS = 8  # of a set's parity bitmap
 WIDE_FROM = 384
+HEAT, HEAT_BLOCK = 22, 1 << 14  # log2 of the buckets that tokens of long lists are counted in; buckets sent as one row
 MAPS = [f"m{i}" for i in range(LONGS)]
 SLICE = 512  # documents in a batch of what Python returns
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -267,6 +267,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     join, so neither a long chain nor a large component is one task.
     """
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("comp")).distinct(), name)
+    digest = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("node", "comp").cast("decimal(38,0)"))).first()
+    state = digest(e)
     while True:
         pairs = e.toDF("u", "v")
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -275,28 +277,60 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("node"), F.col("m").alias("comp")).filter("node <> comp").distinct()
         nxt = materialize(small, name)
-        state = [x.agg(F.count("*"), F.sum(F.xxhash64("node", "comp").cast("decimal(38,0)"))).first() for x in (e, nxt)]
         free(e)
-        e = nxt
-        if state[0] == state[1]:
+        e, before, state = nxt, state, digest(nxt)
+        if before == state:
             return e
 
 
-def refined(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, cls): signatures of the classes ``members`` (cls, n) that meet in long lists, in place of those lists.
+def meetings(members: DataFrame) -> np.ndarray:
+    """How often tokens of the members' sets fall into each of ``1 << HEAT`` buckets, a table of one size."""
 
-    A token's rank is now its count among the members. Two that link have their first common token, in this order,
-    among the first misses + 1 of either side, so no link is lost. ``sets`` has the members' full sets.
+    def run(batches):
+        heat = np.zeros(1 << HEAT, np.int32)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(heat, bucket_of(np.frombuffer(t.as_buffer(), np.uint64)), np.int32(1))
+        rows = [(i, heat[i * HEAT_BLOCK : (i + 1) * HEAT_BLOCK]) for i in range(len(heat) // HEAT_BLOCK)]
+        rows = [(i, x.tobytes()) for i, x in rows if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["block", "data"])
+
+    def add(_, parts):
+        return sum(np.frombuffer(p, np.int32) for p in parts).tobytes()
+
+    states = members.select("tokens").mapInArrow(run, "block int, data binary")
+    out = np.zeros(1 << HEAT, np.int32)
+    for r in tree_sum(states, members.rdd.getNumPartitions(), add).toLocalIterator():
+        out[r["block"] * HEAT_BLOCK : (r["block"] + 1) * HEAT_BLOCK] = np.frombuffer(bytes(r["data"]), np.int32)
+    return out
+
+
+def bucket_of(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens * _M1) >> np.uint64(64 - HEAT)).astype(np.int64)
+
+
+def refined(members: DataFrame, percent: int) -> DataFrame:
+    """(sig, cls): signatures of the classes ``members`` (cls, tokens) that meet in long lists, in place of those lists.
+
+    Tokens are now ordered by the count of their bucket among the members, then by hash: one order for all. Two that link have
+    their first common token in it among the first misses + 1 of either side, so no link is lost. Tokens alone in their bucket
+    are in no other set and need no signature.
     """
-    count = F.expr("length(tokens) div 8")
-    # eight bytes a token; only equality and one order for all matter
-    token = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.substring(F.col("tokens"), (i * 8 + 1).cast("int"), F.lit(8))))
-    rows = members.select("cls", "n").join(sets, "cls").select("cls", "n", F.explode(token).alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df"))
-    own = rows.join(counts, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))  # one document's
-    missing = (F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100.0))).cast("int")
-    first = own.select("cls", F.explode(F.slice("t", F.lit(1), missing + 2)).alias("t"))  # one more than needed: the quotient is rounded
-    return first.filter("t.df > 1").select(F.col("t.token").alias("sig"), "cls")
+    heat = members.sparkSession.sparkContext.broadcast(meetings(members))
+
+    def run(batches):
+        for batch in batches:
+            sig, cls = [], []
+            for c, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(t.as_buffer(), np.uint64)
+                h = heat.value[bucket_of(s)]
+                first = np.lexsort((s, h))[: misses(len(s), percent) + 1]
+                first = first[h[first] > 1]
+                sig.append(s[first].view(np.int64))
+                cls.append(np.full(len(first), c, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (sig, cls)], ["sig", "cls"])
+
+    return members.select("cls", "tokens").mapInArrow(run, "sig long, cls long")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
@@ -341,7 +375,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 lists = lists.drop("members")
                 continue
             members = materialize(long.select(*[c for c in columns if c != "list"]).distinct(), "members")
-            new = materialize(refined(members, load(members.select("cls")), percent), "refined-signatures")
+            full = materialize(load(members.select("cls")).join(members.select("cls"), "cls", "left_semi"), "members-sets")
+            new = materialize(refined(full, percent), "refined-signatures")
             new = distinct_lists(new).join(members, "cls")
             new = materialize(new.select(*columns), "refined-lists")
             lists = lists.filter(F.col("members") <= LONG).select(*columns).unionByName(new)

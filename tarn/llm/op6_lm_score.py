@@ -3,7 +3,7 @@
 1. Words and bytes are counted (in Python for each batch, then by a partial and final sum).
 2. One pass over the training texts: each task learns a mixing model online
    (:mod:`.mixing_model`) over its whole texts; the learners' tables are summed
-   block by block in a tree of groups of ``FAN``. A model has one size whatever the
+   block by block in a tree (:func:`tarn.llm.common.tree_sum`). A model has one size whatever the
    corpus: five hashed tables of counts, which its contexts share.
 3. Every text is coded by the model, bytes and end: score is its log10 probability,
    bits_per_byte the code length by byte. In the same pass words with
@@ -31,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tree_sum
 from .mixing_model import PAIRS, Coder, Learner, Model, added, pair_counts, pieces, runs
 
 HEAD = 1 << 18
-FAN = 64
 FLUSH = 300_000
 SLICE = 1024
 # keys with a space are no words: " 65" is the symbol pair of that number, " e" the end
@@ -100,17 +99,8 @@ def fit(docs: DataFrame, pairs: np.ndarray, id_col: str, text_col: str) -> Model
         rows = list(learner.blocks())
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["block", "data"])
 
-    def merge(group: pa.Table) -> pa.Table:
-        group = group.sort_by("part")
-        block, part = group.column("block")[0].as_py(), group.column("part")[0].as_py()
-        return pa.table({"block": pa.array([block], pa.int32()), "part": pa.array([part // FAN], pa.int32()), "data": pa.array([added(block, [x.as_py() for x in group.column("data")])], pa.binary())})
-
     train = docs.filter(~held_out(F.col(id_col))).select(F.col(text_col).cast("binary").alias("t"))
-    states = train.mapInArrow(learn, "block int, data binary").select("block", F.spark_partition_id().alias("part"), "data")
-    width = train.rdd.getNumPartitions()
-    while width:
-        states = states.groupBy("block", F.expr(f"part div {FAN}")).applyInArrow(merge, "block int, part int, data binary")
-        width = 0 if width <= FAN else -(-width // FAN)
+    states = tree_sum(train.mapInArrow(learn, "block int, data binary"), train.rdd.getNumPartitions(), added)
     return Model(coder.value, {r["block"]: bytes(r["data"]) for r in states.toLocalIterator()})
 
 

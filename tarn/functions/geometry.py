@@ -32,6 +32,12 @@ def _cross(o: Column, p: Column, q: Column) -> Column:
     return (p["x"] - o["x"]) * (q["y"] - o["y"]) - (p["y"] - o["y"]) * (q["x"] - o["x"])
 
 
+def strictly_inside(p: Column, sides: Column) -> Column:
+    """Whether a point lies inside and on no edge."""
+    on = lambda q: (_cross(q["a"], q["b"], p) == 0) & p["x"].between(F.least(q["a"]["x"], q["b"]["x"]), F.greatest(q["a"]["x"], q["b"]["x"])) & p["y"].between(F.least(q["a"]["y"], q["b"]["y"]), F.greatest(q["a"]["y"], q["b"]["y"]))
+    return inside(p, sides) & ~F.exists(sides, on)
+
+
 def segments_meet(s: Column, t: Column) -> Column:
     """Whether two closed segments share a point."""
     d1, d2, d3, d4 = _cross(t["a"], t["b"], s["a"]), _cross(t["a"], t["b"], s["b"]), _cross(s["a"], s["b"], t["a"]), _cross(s["a"], s["b"], t["b"])

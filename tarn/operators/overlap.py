@@ -101,7 +101,7 @@ def classify(water: DataFrame, areas: DataFrame, lines: DataFrame, cell: float,
     near = box_join(_boxed(w, F.col("rings")), _boxed(a, F.col("rings")), cell).select(F.col("l_id").alias("id"), F.col("r_id").alias("rid"))
     near = near.join(w, "id").join(a.select(F.col("id").alias("rid"), "layer", F.col("rings").alias("other")), "rid")
     near = near.withColumns({"__s": geometry.edges(F.col("rings")), "__t": geometry.edges(F.col("other"))})
-    holds = geometry.inside(geometry.point(F.col("cx"), F.col("cy")), F.col("__t"))
+    holds = geometry.strictly_inside(geometry.point(F.col("cx"), F.col("cy")), F.col("__t"))
     hit = near.withColumn("__holds", holds).filter("__holds").select("id", "layer")
     share = near.withColumn("__holds", holds).filter(~F.col("__holds")).filter(geometry.polygons_meet(F.col("__s"), F.col("__t")))
     share = share.withColumn("__o", overlap_area("rings", "other")).filter(F.col("__o") / F.col("area") >= least_share).select("id", "layer")

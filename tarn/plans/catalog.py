@@ -308,7 +308,7 @@ def _(s, d):
 
 
 # ---- general shapes: right triangles, boxes and slanted lines, whose measures the SQL has in closed form
-TRI = (*REF, "tri AS (SELECT id, layer, CAST(minx AS DOUBLE) AS tx, CAST(miny AS DOUBLE) AS ty, CAST(maxx - minx + 6 AS DOUBLE) AS n FROM areas)", "sl AS (SELECT id, layer, CAST(minx AS DOUBLE) AS x0, CAST(miny AS DOUBLE) AS y0, CAST(maxx - minx AS DOUBLE) AS dx, CAST(10 + (maxx - minx) % 7 * 5 AS DOUBLE) AS dy FROM lines)")
+TRI = (*REF, "tri AS (SELECT id, layer, CAST(minx AS DOUBLE) AS tx, CAST(miny AS DOUBLE) AS ty, CAST(maxx - minx + 6.37 AS DOUBLE) AS n FROM areas)", "sl AS (SELECT id, layer, CAST(minx AS DOUBLE) AS x0, CAST(miny AS DOUBLE) AS y0, CAST(maxx - minx AS DOUBLE) AS dx, CAST(10 + (maxx - minx) % 7 * 5 AS DOUBLE) AS dy FROM lines)")
 # the part of a triangle beyond a corner is a triangle again
 BEYOND = lambda x, y: f"greatest(0.0::DOUBLE, n - greatest({x} - tx, 0) - greatest({y} - ty, 0)) ** 2 / 2"
 TRI_AREA = f"{BEYOND('f.minx', 'f.miny')} - {BEYOND('f.maxx', 'f.miny')} - {BEYOND('f.minx', 'f.maxy')} + {BEYOND('f.maxx', 'f.maxy')}"
@@ -323,7 +323,7 @@ def shapes(s, d):
     p = geometry.point
     box = lambda x0, y0, x1, y1: F.array(F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1), p(x0, y0)))
     water = f.select("id", box(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")).alias("rings"))
-    n = F.col("maxx") - F.col("minx") + 6
+    n = F.col("maxx") - F.col("minx") + 6.37
     tri = a.select("id", "layer", F.array(F.array(p(F.col("minx"), F.col("miny")), p(F.col("minx") + n, F.col("miny")), p(F.col("minx"), F.col("miny") + n), p(F.col("minx"), F.col("miny")))).alias("rings"))
     dx = F.col("maxx") - F.col("minx")
     seg = li.select("id", "layer", F.struct(p(F.col("minx"), F.col("miny")).alias("a"), p(F.col("minx") + dx, F.col("miny") + 10 + dx % 7 * 5).alias("b")).alias("segment"))
@@ -473,7 +473,7 @@ for p, rank in ((30, 7), (50, 12), (100, 24)):
     @query(
         f"rank_p{p}",
         b.with_(b.DEM, "o AS (SELECT i, j FROM (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j))", "g AS (SELECT * FROM (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(range(0, 50)) AS c))")
-        + f"SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, list_sort(list(dem.z))[{rank + 1}] AS z FROM g, o JOIN dem ON dem.r = {REFL('g.r + o.i', 40)} AND dem.c = {REFL('g.c + o.j', 50)} GROUP BY g.r, g.c",
+        + f"SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, list_sort(list(dem.z))[{rank + 1}] AS z FROM g, o JOIN dem ON dem.r = {REFL('g.r + o.i', 40)} AND dem.c = {REFL('g.c + o.j', 50)} GROUP BY g.r, g.c HAVING count(*) > {rank}",
     )
     def _(s, d, p=p):
         return raster.rank_filter(b.dem(s, d), 5, p, H, W)
@@ -484,9 +484,9 @@ for p, rank in ((30, 7), (50, 12), (100, 24)):
     b.with_(
         b.DEM, "k0 AS (SELECT i, exp(-0.5::DOUBLE * i * i) AS w FROM (SELECT unnest(range(-4, 5)) AS i))", "k AS (SELECT i, w / (SELECT sum(w) FROM k0) AS w FROM k0)",
         "g AS (SELECT * FROM (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(range(0, 50)) AS c))",
-        f"a AS (SELECT g.r, g.c, sum(z * w) AS z FROM g, k JOIN dem ON dem.r = {REFL('g.r + k.i', 40)} AND dem.c = g.c GROUP BY g.r, g.c)",
+        f"a AS (SELECT g.r, g.c, sum(z * w) AS z FROM g, k JOIN dem ON dem.r = {REFL('g.r + k.i', 40)} AND dem.c = g.c GROUP BY g.r, g.c HAVING count(*) = 9)",
     )
-    + f"SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, round(sum(z * w), 6) AS z FROM g, k JOIN a ON a.c = {REFL('g.c + k.i', 50)} AND a.r = g.r GROUP BY g.r, g.c",
+    + f"SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, round(sum(z * w), 6) AS z FROM g, k JOIN a ON a.c = {REFL('g.c + k.i', 50)} AND a.r = g.r GROUP BY g.r, g.c HAVING count(*) = 9",
 )
 def _(s, d):
     return raster.gaussian(b.dem(s, d), 1.0, H, W).select("r", "c", F.round("z", 6).alias("z"))
@@ -533,7 +533,7 @@ GRID = "g AS (SELECT * FROM (SELECT unnest(range(0, 40)) AS r), (SELECT unnest(r
 KERNEL = "k0 AS (SELECT i, exp(-0.5::DOUBLE * i * i / 4) AS w FROM (SELECT unnest(range(-8, 9)) AS i)), k AS (SELECT i, w / (SELECT sum(w) FROM k0) AS w FROM k0)"
 
 
-@query("gaussian_f32", b.with_(b.DEM, KERNEL, GRID, f"a AS (SELECT g.r, g.c, CAST(sum(CAST(z AS FLOAT)::DOUBLE * w) AS FLOAT) AS z FROM g, k JOIN dem ON dem.r = {REFL('g.r + k.i', 40)} AND dem.c = g.c GROUP BY g.r, g.c)") + f"SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, round(CAST(CAST(sum(z::DOUBLE * w) AS FLOAT) AS DOUBLE), 1) AS z FROM g, k JOIN a ON a.c = {REFL('g.c + k.i', 50)} AND a.r = g.r GROUP BY g.r, g.c")
+@query("gaussian_f32", b.with_(b.DEM, KERNEL, GRID, f"a AS (SELECT g.r, g.c, CAST(sum(CAST(z AS FLOAT)::DOUBLE * w) AS FLOAT) AS z FROM g, k JOIN dem ON dem.r = {REFL('g.r + k.i', 40)} AND dem.c = g.c GROUP BY g.r, g.c HAVING count(*) = 17)") + f"SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, round(CAST(CAST(sum(z::DOUBLE * w) AS FLOAT) AS DOUBLE), 1) AS z FROM g, k JOIN a ON a.c = {REFL('g.c + k.i', 50)} AND a.r = g.r GROUP BY g.r, g.c HAVING count(*) = 17")
 def _(s, d):
     return blocks.gaussian(b.dem(s, d), 2.0, H, W, narrow=True).select("r", "c", F.round("z", 1).alias("z"))
 
@@ -548,9 +548,9 @@ def warped(s, d, method: str) -> DataFrame:
     return raster.reproject(b.dem(s, d), WARP_T, crs.GEOGRAPHIC, t, w, h, crs.MERCATOR, method)
 
 
-@query("reproject_bilinear", b.with_(b.DEM, WG, BACK, "j AS (SELECT b.r, b.c, (1 - abs(x - 0.5 - dem.c)) * (1 - abs(y - 0.5 - dem.r)) AS k, z FROM back b JOIN dem ON dem.c IN (floor(x - 0.5), floor(x - 0.5) + 1) AND dem.r IN (floor(y - 0.5), floor(y - 0.5) + 1) WHERE x >= 0 AND x < 50 AND y >= 0 AND y < 40)") + "SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(sum(k * z) / sum(k), 4) AS z FROM j GROUP BY r, c HAVING sum(k) >= 1e-5")
+@query("reproject_bilinear", b.with_(b.DEM, WG, BACK, "j AS (SELECT b.r, b.c, (1 - abs(x - 0.5 - dem.c)) * (1 - abs(y - 0.5 - dem.r)) AS k, z FROM back b JOIN dem ON dem.c IN (floor(x - 0.5), floor(x - 0.5) + 1) AND dem.r IN (floor(y - 0.5), floor(y - 0.5) + 1) WHERE x >= 0 AND x < 50 AND y >= 0 AND y < 40)") + "SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(sum(k * z) / sum(k) + 1e-7::DOUBLE, 1) AS z FROM j GROUP BY r, c HAVING sum(k) >= 1e-5")
 def _(s, d):
-    return warped(s, d, "bilinear").select("r", "c", F.round("z", 4).alias("z"))
+    return warped(s, d, "bilinear").select("r", "c", F.round(F.col("z") + 1e-7, 1).alias("z"))
 
 
 @query("reproject_nearest", b.with_(b.DEM, WG, BACK) + "SELECT CAST(back.r AS INT) AS r, CAST(back.c AS INT) AS c, z FROM back JOIN dem ON dem.r = floor(y) AND dem.c = floor(x)")

@@ -172,7 +172,7 @@ def _(s, d):
     """Tiles without water are the terrain: one small polygon in the first tile, the others put together again."""
     water = water_of(s, d).limit(0).unionByName(s.range(1).select(F.lit(1).cast("long").alias("poly"), F.array(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((2.0, 38.0), (5.0, 38.0), (5.0, 35.0), (2.0, 35.0), (2.0, 38.0))])).alias("rings"), F.lit("lake").alias("fclass")))
     out = geotiff.cells(jobs.hydro(water, EPSG, terrain(s, d), size=16, pad=2, skirt=0))
-    return out.filter("r < 16 AND c >= 16").select("r", "c", F.col("z").cast("double").alias("z"))
+    return out.filter("r < 16 AND c >= 16 AND z <> -9999").select("r", "c", F.col("z").cast("double").alias("z"))
 
 
 TWO = "two AS (SELECT r, c, z, z + ((r * 7 + c * 3) % 9 - 4) * 1.5::DOUBLE AS q FROM dem)"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import op2_mixing, op4_packing, op8_toxicity, op9_exact_dedup, op10_jaccard_join
-from tarn.llm.common import materialize, table
+from tarn.llm.common import free, free_since, mark, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,5 +58,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        start = mark()
+        done = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        free_since(start, done)  # the stage's own tables, and its input unless that is the given table
+        free(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

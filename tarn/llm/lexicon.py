@@ -16,7 +16,7 @@ class Matcher:
     edit (a changed, missing, extra character). ``stems`` match as exact prefixes.
     """
 
-    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = 5, most_states: int = 40_000):
+    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = 5, most_states: int = 15_000):
         self.children: list[dict[str, int]] = [{}]
         self.word = [False]
         self.stem = [False]

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, free_since, if_small, mark, materialize, numbered, sweep, table, tree_sum
+from .common import free, free_since, give_back, if_small, mark, materialize, numbered, sweep, table, tree_sum
 
 FREQUENT = 64
 LONG = 64  # members of a list that is compared pair by pair
@@ -151,6 +151,8 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
             values = pa.array(np.concatenate(prefix))
             m = np.array(maps, np.int64).reshape(-1, LONGS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(wide, pa.binary()), *[pa.array(m[:, i]) for i in range(LONGS)]], ["doc_id", "th", "n", "cls", "prefix", "wide", *MAPS])
+        known.clear()
+        give_back()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th"))
     return source.mapInArrow(run, "doc_id long, th long, n long, cls long, prefix array<long>, wide binary, " + ", ".join(f"{m} long" for m in MAPS))
@@ -164,6 +166,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shin
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             s = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in s], pa.binary())], ["cls", "tokens"])
+        known.clear()
+        give_back()
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.col(text_col)).alias("th"))
     w = if_small(wanted.select(F.col("doc_id").alias("wid"), F.col("th").alias("wth"), "cls"), 64)
@@ -230,12 +234,10 @@ def distinct_lists(sigs: DataFrame) -> DataFrame:
 def narrow(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that the wide bitmaps of large sets still allow."""
 
-    @F.pandas_udf("boolean")
-    def allowed(x, y, m, n):
-        import pandas as pd
-
-        ok = [p is None or q is None or (100 + percent) * (a + b - wide_differ(p, q)) >= 2 * percent * (a + b) for p, q, a, b in zip(x, y, m, n)]
-        return pd.Series(ok, dtype=bool)
+    @F.arrow_udf("boolean")
+    def allowed(x: pa.Array, y: pa.Array, m: pa.Array, n: pa.Array) -> pa.Array:
+        ok = [p is None or q is None or (100 + percent) * (a + b - wide_differ(p, q)) >= 2 * percent * (a + b) for p, q, a, b in zip(*(v.to_pylist() for v in (x, y, m, n)))]
+        return pa.array(ok, pa.bool_())
 
     c = classes.select("cls", "n", "wide").join(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls", "left_semi")
     j = pairs.join(c.toDF("a", "na", "wa"), "a").join(c.toDF("b", "nb", "wb"), "b")
@@ -245,16 +247,14 @@ def narrow(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, on their full sets."""
 
-    @F.pandas_udf("boolean")
-    def links(x, y):
+    @F.arrow_udf("boolean")
+    def links(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
         for p, q in zip(x, y):
-            a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
             both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(100 * both >= percent * (len(a) + len(b) - both))
-        import pandas as pd
-
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     j = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     return j.filter(links("ta", "tb")).select("a", "b")
@@ -302,7 +302,7 @@ def meetings(members: DataFrame) -> np.ndarray:
     out = np.zeros(1 << HEAT, np.int32)
     for r in tree_sum(states, members.rdd.getNumPartitions(), add).toLocalIterator():
         out[r["block"] * HEAT_BLOCK : (r["block"] + 1) * HEAT_BLOCK] = np.frombuffer(bytes(r["data"]), np.int32)
-    return out
+    return np.minimum(out, 65535).astype(np.uint16)  # above that hashes alone decide the order
 
 
 def bucket_of(tokens: np.ndarray) -> np.ndarray:

@@ -28,7 +28,6 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,10 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def _features(df: DataFrame, text_col: str, words: list[str], stems: list[str]) -> DataFrame:
     w, s = tuple(words), tuple(stems)
 
-    @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def features(texts: pa.Array) -> pa.Array:
         matcher, known = _matcher(w, s)
-        return pd.Series([text_features(t or "", matcher, known) for t in texts])
+        return pa.array([text_features(t or "", matcher, known) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
     return df.withColumn("f", features(F.col(text_col)))
 
@@ -174,11 +173,11 @@ def score_texts(docs: DataFrame, model: dict, text_col: str = "text", out: str =
         return docs.withColumn(out, F.lit(0.0))
     w, s, weights = tuple(model["words"]), tuple(model["stems"]), np.array(model["weights"])
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         matcher, known = _matcher(w, s)
-        z = np.array([weights[0] + np.dot(weights[1:], text_features(t or "", matcher, known)) for t in texts])
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        z = np.array([weights[0] + np.dot(weights[1:], text_features(t or "", matcher, known)) for t in texts.to_pylist()], float)
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return docs.withColumn(out, score(F.col(text_col)))
 

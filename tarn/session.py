@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> SparkSession:
     Rows with texts go to Python in batches of ``BATCH_ROWS``, unless the session asks for less: at Spark's default of
     10,000 the buffers of two workers and their JVM take hundreds of MB of an executor.
     """
-    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _shipped:

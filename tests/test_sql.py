@@ -1,5 +1,7 @@
 """Queries against their SQL on small tables made for a case."""
 
+from datetime import datetime
+
 import pytest
 
 from tarn.plans import catalog
@@ -24,3 +26,11 @@ def test_hops_end_where_the_sql_ends(spark, tmp_path):
         chain.append(next(k for k in (3 * chain[-1] + i for i in range(3)) if k % 11))
     got = agrees(spark, tmp_path, "bfs_outlet", part=([(k,) for k in chain], "p_partkey long"))
     assert [h for _, h in got] == [*range(13), -1, -1, -1]
+
+
+@pytest.mark.parametrize("name", ["local_maxima"])
+def test_equal_neighbours_are_no_peak(spark, tmp_path, name):
+    series = {1: [10.0, 90.0, 90.0, 20.0, 70.0, 5.0, 80.0, 80.0, 80.0, 1.0, 60.0, 2.0], 2: [1.0, 50.0, None, 60.0, 3.0, 90.0, 4.0, None, 9.0], 3: [7.0, 7.0]}
+    rows = [(100 * u + i, datetime(2020, 1, 1, 0, i), u, "view", v, "{}") for u, x in series.items() for i, v in enumerate(x)]
+    got = agrees(spark, tmp_path, name, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
+    assert [r[:2] for r in got] == [(1, 4), (1, 10), (2, 5)]

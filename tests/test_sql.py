@@ -28,7 +28,7 @@ def test_hops_end_where_the_sql_ends(spark, tmp_path):
     assert [h for _, h in got] == [*range(13), -1, -1, -1]
 
 
-@pytest.mark.parametrize("name", ["local_maxima", "prominence"])
+@pytest.mark.parametrize("name", ["local_maxima", "prominence", "peaks_filtered"])
 def test_equal_neighbours_are_no_peak(spark, tmp_path, name):
     series = {1: [10.0, 90.0, 90.0, 20.0, 70.0, 5.0, 80.0, 80.0, 80.0, 1.0, 60.0, 2.0], 2: [1.0, 50.0, None, 60.0, 3.0, 90.0, 4.0, None, 9.0], 3: [7.0, 7.0]}
     rows = [(100 * u + i, datetime(2020, 1, 1, 0, i), u, "view", v, "{}") for u, x in series.items() for i, v in enumerate(x)]

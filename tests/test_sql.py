@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+from tarn.operators import features, overlap
 from tarn.plans import catalog
 
 
@@ -34,3 +35,29 @@ def test_equal_neighbours_are_no_peak(spark, tmp_path, name):
     rows = [(100 * u + i, datetime(2020, 1, 1, 0, i), u, "view", v, "{}") for u, x in series.items() for i, v in enumerate(x)]
     got = agrees(spark, tmp_path, name, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
     assert [r[:2] for r in got] == [(1, 4), (1, 10), (2, 5)]
+
+
+COPIES = {
+    "customer": ([(1200 * i,) for i in range(5)], "c_custkey long"),
+    "part": ([(400 * i, 7) for i in range(4)], "p_partkey long, p_size int"),
+    "orders": ([(1200 * i,) for i in range(3)], "o_orderkey long"),
+    "supplier": ([(2924 * i, 2) for i in range(6)], "s_suppkey long, s_nationkey int"),
+}
+
+
+@pytest.mark.parametrize("name, rows", [("classify_priority", 5)])
+def test_equal_shapes_are_joined_once(spark, tmp_path, monkeypatch, name, rows):
+    joins, join = [], features.box_join
+    for module in (features, overlap):
+        monkeypatch.setattr(module, "box_join", lambda *a: joins.append(join(*a)) or joins[-1])
+    assert len(agrees(spark, tmp_path, name, **COPIES)) == rows
+    assert [j.count() for j in joins] == [1] * (2 if name.startswith("classify") else 1)
+
+
+def test_lists_of_ids_are_parted_and_keep_nulls(spark, monkeypatch):
+    monkeypatch.setattr(features, "CHUNK", 2)
+    rows = [(i, 0.0) for i in range(5)] + [(None, 0.0), (None, 0.0), (7, 1.0), (7, 1.0), (None, None)]
+    lists = features.alike(spark.createDataFrame(rows, "id long, x double"), "x")
+    assert all(len(r.ids) <= 2 for r in lists.collect())
+    got = features.apart(lists.selectExpr("x", "ids AS l_ids", "array(x) AS r_ids"), "id", "copy", "x").select("id", "x")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from .features import LEAST_LENGTH, LEAST_SHARE, PRIORITY, box_join
+from .features import LEAST_LENGTH, LEAST_SHARE, box_join, decided, ranked
 
 LINES, AREAS = ("sea", "river", "stream"), ("lake", "glacier", "reservoir", "dock")
 
@@ -84,7 +84,7 @@ def shape_measures(rings: Column) -> Column:
 
 
 def _boxed(shapes: DataFrame, rings: Column, *more: str) -> DataFrame:
-    return shapes.withColumn("__b", geometry.bounds(rings)).select("id", "__b.*", *more)
+    return shapes.withColumn("__b", geometry.bounds(rings)).select("__b.*", *more)
 
 
 def classify(water: DataFrame, areas: DataFrame, lines: DataFrame, cell: float, least_length: float = LEAST_LENGTH, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -94,24 +94,25 @@ def classify(water: DataFrame, areas: DataFrame, lines: DataFrame, cell: float,
     parts of it inside are ``least_length`` together. Polygons count for lake, glacier, reservoir and dock, lines for
     sea, river and stream; the first class in priority order wins, and a shape without area falls back to ``water``.
     """
-    order = F.create_map(*[x for i, c in enumerate(PRIORITY) for x in (F.lit(c), F.lit(i))])
-    w = water.withColumn("__m", shape_measures(F.col("rings"))).filter("__m.area > 0")
-    w = w.select("id", "rings", F.col("__m.area").alias("area"), F.col("__m.cx").alias("cx"), F.col("__m.cy").alias("cy"))
+    # what hits a polygon depends on nothing else, so equal polygons, and equal lines, are joined as one
+    w = water.select("rings").distinct().withColumn("__m", shape_measures(F.col("rings"))).filter("__m.area > 0")
+    w = w.select("rings", F.col("__m.area").alias("area"), F.col("__m.cx").alias("cx"), F.col("__m.cy").alias("cy"))
     a, li = areas.filter(F.col("layer").isin(*AREAS)), lines.filter(F.col("layer").isin(*LINES))
-    near = box_join(_boxed(w, F.col("rings")), _boxed(a, F.col("rings")), cell).select(F.col("l_id").alias("id"), F.col("r_id").alias("rid"))
-    near = near.join(w, "id").join(a.select(F.col("id").alias("rid"), "layer", F.col("rings").alias("other")), "rid")
+    a = a.select("layer", "rings").distinct()
+    near = box_join(_boxed(w, F.col("rings"), "rings", "area", "cx", "cy"), _boxed(a, F.col("rings"), "layer", "rings"), cell)
+    near = near.select(F.col("l_rings").alias("rings"), F.col("l_area").alias("area"), F.col("l_cx").alias("cx"), F.col("l_cy").alias("cy"), F.col("r_layer").alias("layer"), F.col("r_rings").alias("other"))
     near = near.withColumns({"__s": geometry.edges(F.col("rings")), "__t": geometry.edges(F.col("other"))})
     holds = geometry.strictly_inside(geometry.point(F.col("cx"), F.col("cy")), F.col("__t"))
-    hit = near.withColumn("__holds", holds).filter("__holds").select("id", "layer")
+    hit = near.withColumn("__holds", holds).filter("__holds").select("rings", "layer")
     share = near.withColumn("__holds", holds).filter(~F.col("__holds")).filter(geometry.polygons_meet(F.col("__s"), F.col("__t")))
-    share = share.withColumn("__o", overlap_area("rings", "other")).filter(F.col("__o") / F.col("area") >= least_share).select("id", "layer")
-    polygons = hit.unionByName(share).withColumn("how", F.lit("_polygon"))
+    share = share.withColumn("__o", overlap_area("rings", "other")).filter(F.col("__o") / F.col("area") >= least_share).select("rings", "layer")
+    polygons = hit.unionByName(share).select("rings", ranked(F.col("layer"), "_polygon").alias("p"))
+    whole = li.groupBy("id", "layer").agg(F.array_sort(F.collect_list("segment")).alias("segments"))
+    # a line's segments go to cells one by one; the least id of equal lines tells them apart within a layer
+    parts = whole.groupBy("layer", "segments").agg(F.min("id").alias("line")).select("layer", "line", F.explode("segments").alias("segment"))
     ends = F.array(F.array(F.col("segment.a"), F.col("segment.b")))
-    parts = li.select(F.monotonically_increasing_id().alias("sid"), "id", "layer", "segment")
-    boxes = parts.withColumn("__b", geometry.bounds(ends)).select(F.struct("sid", "id", "layer", "segment").alias("id"), "__b.*")
-    met = box_join(_boxed(w, F.col("rings")), boxes, cell).select(F.col("l_id").alias("id"), F.col("r_id.id").alias("line"), F.col("r_id.layer").alias("layer"), F.col("r_id.segment").alias("segment")).join(w.select("id", "rings"), "id")
+    met = box_join(_boxed(w, F.col("rings"), "rings"), _boxed(parts, ends, "layer", "line", "segment"), cell)
+    met = met.select(F.col("l_rings").alias("rings"), F.col("r_layer").alias("layer"), F.col("r_line").alias("line"), F.col("r_segment").alias("segment"))
     inner = met.withColumn("__n", geometry.clipped_length(F.col("segment"), geometry.edges(F.col("rings"))))
-    long = inner.groupBy("id", "layer", "line").agg(F.sum("__n").alias("n")).filter(F.col("n") >= least_length).select("id", "layer", F.lit("_line").alias("how"))
-    best = polygons.unionByName(long).groupBy("id").agg(F.min(F.struct(order[F.col("layer")].alias("p"), "layer", "how")).alias("m"))
-    out = water.select("id").join(best, "id", "left")
-    return out.select("id", F.coalesce("m.layer", F.lit("water")).alias("fclass"), F.coalesce(F.concat("m.layer", "m.how"), F.lit("fallback")).alias("reason"))
+    long = inner.groupBy("rings", "layer", "line").agg(F.sum("__n").alias("n")).filter(F.col("n") >= least_length).select("rings", ranked(F.col("layer"), "_line").alias("p"))
+    return decided(water.select("id", "rings"), polygons.unionByName(long), "rings")

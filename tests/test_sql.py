@@ -45,7 +45,7 @@ COPIES = {
 }
 
 
-@pytest.mark.parametrize("name, rows", [("classify_priority", 5), ("classify_general", 5), ("overlap_area", 20), ("polygons_meet", 20), ("line_clip_length", 15), ("point_in_polygon", 24), ("bbox_join", 20)])
+@pytest.mark.parametrize("name, rows", [("classify_priority", 5), ("classify_general", 5), ("bbox_join", 20), ("rect_overlap_ratio", 20), ("point_in_polygon", 24), ("overlap_area", 20), ("polygons_meet", 20), ("line_clip_length", 15)])
 def test_equal_shapes_are_joined_once(spark, tmp_path, monkeypatch, name, rows):
     joins, join = [], features.box_join
     for module in (features, overlap):

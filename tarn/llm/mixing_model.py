@@ -14,6 +14,11 @@ the weights step against the error, the map counts what came, and the run is the
 added to the tables. Learners of several tasks are summed: counts and map cells
 add up, weights are averaged by the decisions behind them.
 
+Symbols of the same case (what stands before, the symbol and the cells of all tables)
+have the same decisions and inputs. As the tables stand still within a run, and
+the finished model for good, each case is looked up once for a run, or kept with its
+cost when texts are scored; results are those of looking up every decision.
+
 The decisions at a node have probabilities that sum to one, so the model is a
 distribution over texts. Texts longer than ``PIECE`` bytes are read in pieces, each
 with the ``LEAD`` bytes before it as context.
@@ -42,6 +47,8 @@ MAP = BEFORE * BUCKETS
 PIECE, LEAD, PAD = 1 << 18, 64, 5
 RUN = 1 << 19  # bytes between two updates of the tables
 STEP = 1 << 15  # decisions between two updates of the weights
+SLOTS = 20  # log2 of the slots for cases met before
+CHUNK = 1 << 13  # cases looked up at once, so that their arrays stay near the processor
 START, RATE, FEW = 0.35, 0.02, 0.4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(258, bool)
@@ -74,14 +81,16 @@ def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
 
 def pair_counts(texts: list[bytes]) -> np.ndarray:
     """How often each symbol follows each in lower-cased texts, ends included: PAIRS numbers."""
-    if not texts:
-        return np.zeros(PAIRS, np.int64)
-    data = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int64)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    data[ends] = END
-    before = np.concatenate(([0], data[:-1] + 1))
-    before[ends[:-1] + 1] = 0
-    return np.bincount(before * SYMBOLS + data, minlength=PAIRS)
+    out = np.zeros(PAIRS, np.int64)
+    for part in runs(((b"", t) for t in texts), 1 << 18):
+        data = np.frombuffer(b"".join(t + b"\0" for _, t in part), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(t) + 1 for _, t in part]) - 1
+        data[ends] = END
+        pair = data.copy()
+        pair[1:] += (data[:-1] + 1) * SYMBOLS
+        pair[ends[:-1] + 1] = data[ends[:-1] + 1]
+        out += np.bincount(pair, minlength=PAIRS)
+    return out
 
 
 def pieces(text: bytes):
@@ -144,23 +153,41 @@ class Coder:
         hashes = [((c * _ODD) >> np.uint64(28)).astype(np.uint32).take(at) & np.uint32(0xFFFFFFF0) for c in (two, three, five ^ five >> np.uint64(31), word ^ word >> np.uint64(29))]
         return data.take(at + PAD).astype(np.int64) - 1, p[0].take(at).astype(np.int64), hashes, own
 
-    def decisions(self, parts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(cells (K, n), what stands before, bit, first decision of each part)."""
-        symbols, before, hashes, own = self.contexts(parts)
-        pair = before * SYMBOLS + symbols
-        steps = self.steps[pair]
+    def paths(self, pair: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cells (K, n), symbol, bit, decisions up to each symbol's last) of symbols, ``pair``: what stands before * SYMBOLS + symbol."""
+        steps = self.steps.take(pair)
         upto = np.cumsum(steps)
-        owner = np.repeat(np.arange(len(symbols)), steps)
-        flat = (self.first[pair] - (upto - steps)).take(owner)
+        owner = np.repeat(np.arange(len(pair)), steps)
+        flat = (self.first.take(pair) - (upto - steps)).take(owner)
         flat += np.arange(len(owner))
         spread, bit = self.spread.take(self.node.take(flat)), self.bit.take(flat)
         cells = np.empty((K, len(owner)), np.int64)
         for k in range(K):
             np.add((hashes[k].take(owner) ^ spread) & np.uint32((1 << CELLS[k]) - 1), OFFSET[k], out=cells[k], casting="unsafe")
+        return cells, owner, bit, upto
+
+    def decisions(self, parts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cells (K, n), what stands before, bit, first decision of each part)."""
+        symbols, before, hashes, own = self.contexts(parts)
+        cells, owner, bit, upto = self.paths(before * SYMBOLS + symbols, hashes)
         ends = np.cumsum(own)
         return cells, before.take(owner), bit, np.concatenate(([0], upto[ends[:-1] - 1]))
 
 
+def cases(pair: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, slot) of symbols: all that their decisions depend on. Symbols with the same key and slot have the same pair
+    and the same cells: the key holds the lines of all tables, and with the key the slot tells the pair. No key is 0."""
+    key, place = np.zeros(len(pair), np.uint64), 0
+    for h, c in zip(hashes, CELLS):
+        key |= (h >> np.uint32(4) & np.uint32((1 << c - 4) - 1)).astype(np.uint64) << np.uint64(place)
+        place += c - 4
+    mixed = key ^ key >> np.uint64(32)
+    mixed *= _ODD
+    mixed >>= np.uint64(64 - SLOTS)
+    key += np.uint64(1)
+    return key, mixed.view(np.int64) ^ pair
+
+
 _power_tables: list[np.ndarray] = []
 
 
@@ -174,8 +201,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
-    """The table of inputs for counts (cells, 2)."""
-    return np.log((counts[:, 1] + np.float32(FEW)) / (counts[:, 0] + np.float32(FEW)))
+    """The table of inputs for counts (..., cells, 2)."""
+    one, zero = (np.add(counts[..., i], np.float32(FEW), dtype=np.float32, casting="unsafe") for i in (1, 0))
+    one /= zero
+    return np.log(one, out=one)
 
 
 def evidence(counts: np.ndarray) -> np.ndarray:
@@ -200,9 +229,13 @@ class Mixer:
         return x, gate, z
 
 
+def level(z: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(z, -8, 8) * 2 + 16).astype(np.int64)
+
+
 def bucket(before: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Cell of the map."""
-    return before * BUCKETS + np.rint(np.clip(z, -8, 8) * 2 + 16).astype(np.int64)
+    return before * BUCKETS + level(z)
 
 
 class Learner:
@@ -210,35 +243,74 @@ class Learner:
 
     def __init__(self, coder: Coder):
         self.coder = coder
-        self.counts = np.zeros((TOTAL, 2), np.float32)
+        self.counts = np.zeros((TOTAL, 2), np.int32)
         self.weights = np.full((K, GATES), START, np.float32)
         self.past = np.full((K, GATES), 1e-6)  # squared slopes so far
         self.behind = np.zeros(GATES)  # decisions behind each gate's weights
         self.map = np.zeros((MAP, 2))
+        self.last = np.zeros(1 << SLOTS, np.int32)
+
+    def distinct(self, pair: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(a symbol for each case, the number of each symbol's case). A case whose slot another took may have several numbers."""
+        key, slot = cases(pair, hashes)
+        at = np.arange(len(pair), dtype=np.int32)
+        self.last[slot] = at  # what earlier runs left is not read: every slot asked for is written here
+        same = self.last.take(slot)
+        same = np.where(key.take(same) == key, same, at)
+        own = same == at
+        return np.flatnonzero(own), (np.cumsum(own) - 1).take(same)
+
+    def look(self, pair: np.ndarray, hashes: list[np.ndarray]) -> tuple:
+        """What the tables say of cases: (inputs by decision, gate, map cell and bit), (places in the counts, decisions of each case)."""
+        cells, owner, bit, upto = self.coder.paths(pair, hashes)
+        counts = self.counts.view(np.int64).ravel().take(cells).view(np.int32).reshape(K, -1, 2)
+        rows = np.ascontiguousarray(stretched(counts).T)
+        levels = evidence(counts[K - 2 :].reshape(-1, 2)).reshape(2, -1)
+        cells += cells
+        cells += bit
+        places = (pair // SYMBOLS * (2 * BUCKETS)).take(owner) + bit
+        return rows, levels[0] * np.uint8(len(LEVELS) + 1) + levels[1], places, cells, np.diff(upto, prepend=0)
 
     def learn(self, parts) -> None:
-        """Predict a run of parts, correct the weights, then count the run."""
-        cells, before, bit, _ = self.coder.decisions(parts)
-        mixer = Mixer(stretched(self.counts), evidence(self.counts[OFFSET[K - 2] :]), self.weights)
-        for a in range(0, len(bit), STEP):
-            cut = slice(a, a + STEP)
-            x, gate, z = mixer.mixed(cells[:, cut])
-            error = bit[cut] - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+        """Predict a run of parts, correct the weights, then count the run.
+
+        The tables stand still within a run, so what they say is looked up once for each different case."""
+        symbols, before, hashes, _ = self.coder.contexts(parts)
+        pair = before * SYMBOLS + symbols
+        some, case = self.distinct(pair, hashes)
+        cuts = [some[a : a + CHUNK] for a in range(0, len(some), CHUNK)]
+        looked = [self.look(pair.take(c), [h.take(c) for h in hashes]) for c in cuts]
+        rows, gates, places = (np.concatenate([x[i] for x in looked]) for i in range(3))
+        inputs = rows.view(np.complex128).ravel()  # K = 4 numbers of four bytes, moved as one
+        steps = np.concatenate([x[4] for x in looked])
+        first = (np.cumsum(steps) - steps).take(case)
+        steps = steps.take(case)
+        ends = np.cumsum(steps)
+        for a in range(0, ends[-1], STEP):
+            # the decisions of all symbols, by their numbers among those of the cases
+            i, j = np.searchsorted(ends, (a, a + STEP - 1), "right")
+            own = steps[i : j + 1]
+            start = ends[i] - own[0]
+            cut = np.repeat(first[i : j + 1] - (ends[i : j + 1] - own), own)
+            cut += np.arange(start, start + len(cut))
+            cut = cut[a - start : a - start + STEP]
+            x, gate, place = np.ascontiguousarray(inputs.take(cut).view(np.float32).reshape(-1, K).T), gates.take(cut).astype(np.int64), places.take(cut)
+            z = self.weights[0].take(gate) * x[0]
+            for k in range(1, K):
+                z += self.weights[k].take(gate) * x[k]
+            error = (place & 1).astype(np.uint8) - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
             for k in range(K):
                 slope = np.bincount(gate, error * x[k], GATES)
                 self.past[k] += slope**2
                 self.weights[k] += (RATE * slope / np.sqrt(self.past[k])).astype(np.float32)
-            self.behind += np.bincount(gate, minlength=GATES)
-            where = bucket(before[cut], z)
-            where += where
-            where += bit[cut]
-            self.map += np.bincount(where, minlength=2 * MAP).reshape(-1, 2)
-        for k in range(K):
-            size = 2 << CELLS[k]
-            at = cells[k] - OFFSET[k]
-            at += at
-            at += bit
-            self.counts[OFFSET[k] : OFFSET[k + 1]] += np.bincount(at, minlength=size).reshape(-1, 2)
+            place += 2 * level(z)
+            self.map += np.bincount(place, minlength=2 * MAP).reshape(-1, 2)
+        times = np.bincount(case, minlength=len(some)).astype(np.int32)
+        for a, (_, gate, _, cells, own) in zip(range(0, len(some), CHUNK), looked):
+            n = np.repeat(times[a : a + CHUNK], own)
+            self.behind += np.bincount(gate, n, GATES)
+            for k in range(K):
+                np.add.at(self.counts.ravel(), cells[k], n)
 
     def blocks(self):
         """(block, bytes): the counts by blocks of ``BLOCK`` cells that are not empty, and at ``BLOCKS`` the weights, the decisions behind them and the map."""
@@ -281,17 +353,34 @@ class Model(Mixer):
         first = 1 / (1 + np.exp(-(np.arange(BUCKETS) - 16) / 2))
         self.map = ((seen[..., 1] + 8 * first) / (seen.sum(-1) + 8)).ravel().astype(np.float32)
         self.coder = coder
+        self.keys = self.known = None  # made where texts are scored, not sent
+
+    def costs(self, pair: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
+        """log10 P of symbols."""
+        if not len(pair):
+            return np.zeros(0)
+        cells, owner, bit, upto = self.coder.paths(pair, hashes)
+        _, _, z = self.mixed(cells)
+        refined = self.map.take(bucket((pair // SYMBOLS).take(owner), z))
+        p = (1 / (1 + np.exp(-np.clip(z, -20, 20))) + 3 * refined) / 4
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        p = np.where(bit, p, 1 - p)
+        return np.add.reduceat(np.log10(p).astype(np.float64), upto - self.coder.steps.take(pair))
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 P of each lower-cased text, its end included."""
+        """log10 P of each lower-cased text, its end included. The model stands still, so costs of cases met before are kept, the last in each slot."""
+        if self.keys is None:
+            self.keys, self.known = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS)
         out = np.zeros(len(texts))
         parts = ((*p, i) for i, t in enumerate(texts) for p in pieces(t))
         for run in runs(parts, 1 << 15):
-            cells, before, bit, first = self.coder.decisions([p[:3] for p in run])
-            _, _, z = self.mixed(cells)
-            refined = self.map.take(bucket(before, z))
-            p = (1 / (1 + np.exp(-np.clip(z, -20, 20))) + 3 * refined) / 4
-            p = np.clip(p, 1e-6, 1 - 1e-6)
-            p = np.where(bit, p, 1 - p)
-            np.add.at(out, [p[3] for p in run], np.add.reduceat(np.log10(p).astype(np.float64), first))
+            symbols, before, hashes, own = self.coder.contexts([p[:3] for p in run])
+            pair = before * SYMBOLS + symbols
+            key, slot = cases(pair, hashes)
+            cost = self.known.take(slot)
+            new = np.flatnonzero(self.keys.take(slot) != key)
+            cost[new] = self.costs(pair.take(new), [h.take(new) for h in hashes])
+            self.keys[slot[new]] = key[new]
+            self.known[slot[new]] = cost[new]
+            np.add.at(out, [p[3] for p in run], np.add.reduceat(cost, np.cumsum(own) - own))
         return out

@@ -1,12 +1,13 @@
 """Language-model scoring: a word unigram base and online logistic context mixing.
 
-1. Words and bytes are counted (in Python for each batch, then by a partial and final sum).
+1. Words and bytes are counted (by a dictionary of each batch's words, then by a partial and final sum).
 2. One pass over the training texts: each task learns a mixing model online
    (:mod:`.mixing_model`) over its whole texts; the learners' tables are summed
    block by block in a tree (:func:`tarn.llm.common.tree_sum`). A model has one size whatever the
    corpus: five hashed tables of counts, which its contexts share.
 3. Every text is coded by the model, bytes and end: score is its log10 probability,
-   bits_per_byte the code length by byte. In the same pass words with
+   bits_per_byte the code length by byte; what a symbol costs is kept for the next
+   one in the same case. In the same pass words with
    1 / ``HEAD`` of all tokens or more (so ``HEAD`` at most) are looked up in a
    broadcast table for the base; the others, none of which can be hot, are joined
    with the vocabulary and summed for each text.
@@ -24,10 +25,11 @@ on their order), as learning is online within a task.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,10 @@ from .mixing_model import PAIRS, Coder, Learner, Model, added, pair_counts, piec
 
 HEAD = 1 << 18
 FLUSH = 300_000
-SLICE = 1024
+SLICE, SLICE_BYTES = 1024, 1 << 22
 # keys with a space are no words: " 65" is the symbol pair of that number, " e" the end
 END_KEY = b" e"
+_INSIDE = bytes(b not in b" \t\n\v\f\r" for b in range(256))  # by byte: 1 inside words
 
 
 def held_out(doc_id) -> object:
@@ -49,39 +52,67 @@ def _lower(value) -> bytes:
     return value.as_buffer().to_pybytes().lower() if value.is_valid else b""
 
 
-def _sliced(batches):
-    return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+def _sliced(batches, text: int = 0):
+    """Slices of at most ``SLICE`` rows and, if they have several, about ``SLICE_BYTES`` bytes of texts (column ``text``)."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < b.num_rows:
+            most = int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_BYTES, "right"))
+            j = min(max(most, i + 1), i + SLICE)
+            yield b.slice(i, j - i)
+            i = j
+
+
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words of lower-cased texts, the number of each word in reading order, words of each text)."""
+    joined = b" ".join((b"", *texts, b""))  # a space at both ends
+    inside = np.frombuffer(joined.translate(_INSIDE), bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start = edges[::2]
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(edges[1::2] - start, out=offsets[1:])
+    data = np.frombuffer(joined, np.uint8)[inside]
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return words.dictionary, words.indices.to_numpy(), np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def _counted(words: pa.Array, *counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([words, *(pa.array(c, pa.int64()) for c in counts)], ["word", "c", "total"])
+
+
+def _merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Counts of the same word added."""
+    words = pa.concat_arrays([p.column(0) for p in parts]).dictionary_encode()
+    at, n = words.indices.to_numpy(), len(words.dictionary)
+    return _counted(words.dictionary, *(np.bincount(at, np.concatenate([p.column(k) for p in parts]), n).astype(np.int64) for k in (1, 2)))
 
 
 def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(word, c, total): occurrences in training texts and in all; also of the end and, in training texts, of symbol pairs, by their keys."""
 
-    def run(batches):
-        seen, pairs = (Counter(), Counter()), np.zeros(PAIRS, np.int64)
-
-        def rows():
-            seen[0].update({b" %d" % i: int(pairs[i]) for i in np.flatnonzero(pairs)})
-            words = list(seen[0] | seen[1])
-            c, h = ([s[w] for w in words] for s in seen)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([a + b for a, b in zip(c, h)], pa.int64())], ["word", "c", "total"])
-            seen[0].clear()
-            seen[1].clear()
-            pairs[:] = 0
-            return out
+    def sent(b):
+        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), b.column(1), b.column(2)], b.schema.names)
 
+    def run(batches):
+        seen, ends, pairs = [], np.zeros(2, np.int64), np.zeros(PAIRS, np.int64)
         for batch in _sliced(batches):
-            learned = []
-            for t, held in zip(batch.column(0), batch.column(1).to_pylist()):
-                text = _lower(t)
-                seen[held].update(text.split())
-                seen[held][END_KEY] += 1
-                if not held:
-                    learned.append(text)
-            pairs += pair_counts(learned)
-            if len(seen[0]) + len(seen[1]) > FLUSH:
-                yield rows()
-        if seen[0] or seen[1]:
-            yield rows()
+            texts, held = [_lower(t) for t in batch.column(0)], np.array(batch.column(1).to_pylist(), bool)
+            words, at, n = words_of(texts)
+            seen.append(_counted(words, np.bincount(at[np.repeat(~held, n)], minlength=len(words)), np.bincount(at, minlength=len(words))))
+            ends += (len(held) - held.sum(), len(held))
+            pairs += pair_counts([t for t, h in zip(texts, held) if not h])
+            if sum(b.num_rows for b in seen) > 2 * FLUSH:
+                seen = [_merged(seen)]
+                if seen[0].num_rows > FLUSH:
+                    yield sent(seen.pop())
+        if seen:
+            yield sent(_merged(seen))
+        if ends[1]:
+            some = np.flatnonzero(pairs)
+            keys = pa.array([END_KEY, *(b" %d" % i for i in some)], pa.binary())
+            yield _counted(keys, np.append(ends[0], pairs[some]), np.append(ends[1], pairs[some]))
 
     part = docs.select(F.col(text_col).cast("binary").alias("t"), held_out(F.col(id_col)).alias("h")).mapInArrow(run, "word binary, c long, total long")
     return part.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
@@ -129,25 +160,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
 
     def run(batches):
         get, never = known.value.get, base(0)
-        for batch in _sliced(batches):
+        for batch in _sliced(batches, 1):
             texts = [_lower(t) for t in batch.column(1)]
-            facts, row, word, times = [], [], [], []
-            for i, text, doc, h, s in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), model.value.log10(texts)):
-                words = text.split()
-                n_known, b, late = int(ends > 0), base(ends), len(word)
-                for w, k in Counter(words).items():
-                    x = get(w)
-                    if x is None:
-                        word.append(w)
-                        times.append(k)
-                    else:
-                        b += k * x
-                        if x != never:
-                            n_known += k
-                row += [i] * (len(word) - late)
-                facts.append((i, b" %d" % i, 0, doc, h, len(words) + 1, n_known, b, float(s), len(text) + 1))  # the key is no word: it joins nothing
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*facts) if facts else [[]] * len(kinds), kinds)], names)
-            yield pa.RecordBatch.from_arrays([pa.array(row, kinds[0]), pa.array(word, kinds[1]), pa.array(times, kinds[2]), *[pa.nulls(len(row), k) for k in kinds[3:]]], names)
+            words, at, n = words_of(texts)
+            value = np.fromiter(map(get, words.to_numpy(zero_copy_only=False), repeat(math.nan)), float, len(words)).take(at)
+            late, owner = np.isnan(value), np.repeat(np.arange(len(texts)), n)
+            n_known = np.bincount(owner[~late & (value != never)], minlength=len(texts)) + int(ends > 0)
+            b = np.bincount(owner, np.where(late, 0, value), len(texts)) + base(ends)
+            i = batch.column(0)
+            facts = [
+                i,
+                pa.array([b" %d" % x for x in i.to_pylist()], kinds[1]),  # the key is no word: it joins nothing
+                pa.array(np.zeros(len(texts), np.int64)),
+                batch.column(2),
+                batch.column(3),
+                pa.array(n + 1),
+                pa.array(n_known),
+                pa.array(b),
+                pa.array(model.value.log10(texts)),
+                pa.array([len(t) + 1 for t in texts], kinds[9]),
+            ]
+            yield pa.RecordBatch.from_arrays(facts, names)
+            pair, times = np.unique(owner[late] * len(words) + at[late], return_counts=True)
+            row, word = np.divmod(pair, max(1, len(words)))
+            yield pa.RecordBatch.from_arrays([i.take(pa.array(row)), words.take(pa.array(word)).cast(kinds[1]), pa.array(times), *[pa.nulls(len(row), k) for k in kinds[3:]]], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("i"), F.col("text").cast("binary").alias("t"), F.col("id").cast("long").alias("d"), held_out(F.col("id")).alias("h"))
     rows = rows.mapInArrow(run, schema)

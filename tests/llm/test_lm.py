@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarn.llm import mixing_model as m
@@ -165,3 +166,93 @@ def test_lm_odd_tables(clashing):
     assert op6_lm_score.score(clashing.filter("false")).count() == 0
     only = op6_lm_score.score(clashing.filter("doc_id = 8")).collect()
     assert len(only) == 1
+
+
+def plain_learn(learner, parts):
+    """One run, every decision looked up by itself."""
+    cells, before, bit, _ = learner.coder.decisions(parts)
+    mixer = m.Mixer(m.stretched(learner.counts), m.evidence(learner.counts[m.OFFSET[m.K - 2] :]), learner.weights)
+    for a in range(0, len(bit), m.STEP):
+        cut = slice(a, a + m.STEP)
+        x, gate, z = mixer.mixed(cells[:, cut])
+        error = bit[cut] - 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+        for k in range(m.K):
+            slope = np.bincount(gate, error * x[k], m.GATES)
+            learner.past[k] += slope**2
+            learner.weights[k] += (m.RATE * slope / np.sqrt(learner.past[k])).astype(np.float32)
+        learner.behind += np.bincount(gate, minlength=m.GATES)
+        np.add.at(learner.map, (m.bucket(before[cut], z), bit[cut]), 1)
+    for k in range(m.K):
+        np.add.at(learner.counts, (cells[k], bit), 1)
+
+
+@pytest.mark.parametrize("slots", [m.SLOTS, 17])  # 17: few slots, which cases take from each other
+def test_learning_by_cases_equals_learning_by_decisions(learned, monkeypatch, slots):
+    monkeypatch.setattr(m, "SLOTS", slots)
+    texts, counts, _ = learned
+    a, b = (m.Learner(m.Coder(counts)) for _ in range(2))
+    odd = [b"", b" ", b"a\x00 \xc3\xa9", b"x " * 30_000]
+    for some in (texts[:60], odd, texts[60:] * 3, odd[:1]):
+        run = [p for t in some for p in m.pieces(t)]
+        a.learn(run)
+        plain_learn(b, run)
+    assert (a.counts == b.counts).all() and (a.map == b.map).all() and (a.behind == b.behind).all()
+    assert np.allclose(a.weights, b.weights, rtol=1e-5)
+
+
+def looked_up(monkeypatch):
+    sizes, paths = [], m.Coder.paths
+    monkeypatch.setattr(m.Coder, "paths", lambda self, pair, hashes: sizes.append(len(pair)) or paths(self, pair, hashes))
+    return sizes
+
+
+def test_each_case_is_looked_up_once(learned, monkeypatch):
+    texts, counts, model = learned
+    sizes = looked_up(monkeypatch)
+    text = b" ".join(texts[:20])
+    m.Learner(m.Coder(counts)).learn([(b"", text, True)] * 30)
+    assert 0 < sum(sizes) < 1.1 * len(text)
+    model.log10(texts)
+    sizes.clear()
+    again = model.log10(texts)
+    assert sum(sizes) < 0.1 * sum(map(len, texts))
+    fresh = m.Model.__new__(m.Model)
+    fresh.__dict__.update(model.__dict__, keys=None, known=None)
+    monkeypatch.setattr(m, "SLOTS", 17)
+    assert np.allclose(again, fresh.log10(texts), rtol=1e-12)
+    assert np.allclose(again, [fresh.log10([t])[0] for t in texts], rtol=1e-12)
+
+
+def test_symbols_of_one_case_have_the_same_decisions(learned, monkeypatch):
+    texts, counts, _ = learned
+    monkeypatch.setattr(m, "SLOTS", 17)
+    coder = m.Coder(counts)
+    symbols, before, hashes, _ = coder.contexts([p for t in texts for p in m.pieces(t)])
+    pair = before * m.SYMBOLS + symbols
+    key, slot = m.cases(pair, hashes)
+    assert key.min() > 0 and 0 <= slot.min() and slot.max() < 1 << 17
+    cells, _, bit, upto = coder.paths(pair, hashes)
+    first = upto - coder.steps[pair]
+    seen = {}
+    for i in range(len(pair)):
+        own = (cells[:, first[i] : upto[i]].tobytes(), bit[first[i] : upto[i]].tobytes(), pair[i])
+        assert seen.setdefault((key[i], slot[i]), own) == own
+
+
+def test_words_of_texts():
+    texts = [b"", b" \t", b" a\x0bb\x0c\x00 a", "é\x85　 x".encode(), b"a", b"\xff\xfe a"]
+    words, at, n = op6_lm_score.words_of(texts)
+    words = words.to_pylist()
+    assert [words[i] for i in at] == [w for t in texts for w in t.split()] and len(set(words)) == len(words)
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert op6_lm_score.words_of([b"", b" "])[2].tolist() == [0, 0] and len(op6_lm_score.words_of([])[2]) == 0
+
+
+def test_slices_and_merged_counts():
+    texts = [None, b"x" * 3_000_000, b"", b"y" * 3_000_000, b"z" * 9_000_000, *[b"a"] * 2000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["t"])
+    got = list(op6_lm_score._sliced([batch, batch.slice(0, 0)]))
+    assert [t for b in got for t in b.column(0).to_pylist()] == texts
+    assert [b.num_rows for b in got][:3] == [3, 1, 1] and max(b.num_rows for b in got) == op6_lm_score.SLICE
+    parts = [op6_lm_score._counted(pa.array(w, pa.large_binary()), np.array(c), np.array(c) + 1) for w, c in (([b"a", b"b"], [1, 0]), ([b"b", b"c"], [5, 2**40]))]
+    assert op6_lm_score._merged(parts).to_pylist() == [{"word": b"a", "c": 1, "total": 2}, {"word": b"b", "c": 5, "total": 7}, {"word": b"c", "c": 2**40, "total": 2**40 + 1}]

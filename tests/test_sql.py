@@ -54,6 +54,15 @@ def test_equal_shapes_are_joined_once(spark, tmp_path, monkeypatch, name, rows):
     assert [j.count() for j in joins] == [1] * (2 if name.startswith("classify") else 1)
 
 
+def test_long_lists_clip_a_pair_of_shapes_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(features, "CHUNK", 2)
+    joins, join = [], features.box_join
+    monkeypatch.setattr(features, "box_join", lambda *a: joins.append(join(*a)) or joins[-1])
+    more = {t: (rows + [(None, *rows[0][1:])], schema) for t, (rows, schema) in COPIES.items()}
+    assert len(agrees(spark, tmp_path, "line_clip_length", **more)) == 15 + 3
+    assert [j.count() for j in joins] == [1]
+
+
 def test_lists_of_ids_are_parted_and_keep_nulls(spark, monkeypatch):
     monkeypatch.setattr(features, "CHUNK", 2)
     rows = [(i, 0.0) for i in range(5)] + [(None, 0.0), (None, 0.0), (7, 1.0), (7, 1.0), (None, None)]
